@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import binary_output, packing, sharding
+from quillon.llm import binary_output, html_text, language, packing, quality, sharding
 from quillon.llm.common import table
 from quillon.llm.tokens import default_tokenizer
 
@@ -25,9 +25,23 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), default_tokenizer(), capacity=2048, end_id=0)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_output.token_output(table(spark, sf_dir, "documents"), default_tokenizer(), end_id=1)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_resharding, op2_packing, op5_token_output)}
-ORACLES: dict[str, str] = {}
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs.where(language.fold(F.col("doc_id")) != 0))
+    return language.predict(docs.select("doc_id", "text"), model).select("doc_id", (language.fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_resharding, op2_packing, op3_quality_rules, op5_token_output, op6_html_extraction, op8_language_id)}
+ORACLES: dict[str, str] = {"op3_quality_rules": quality.oracle(), "op6_html_extraction": html_text.ORACLE}
