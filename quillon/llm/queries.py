@@ -17,7 +17,7 @@ OLD_SHARDS = 16
 
 def op1_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    done = sharding.reshard(docs, F.pmod(F.xxhash64("source"), F.lit(OLD_SHARDS)), shards=8)
+    done = sharding.reshard(docs, F.pmod(F.xxhash64("source"), F.lit(OLD_SHARDS)), shards=8, carry=False)
     return done.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "old_shard", "moved")
 
 
