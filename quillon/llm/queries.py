@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import binary_output, html_text, language, packing, quality, sharding
-from quillon.llm.common import table
+from quillon.llm import binary_output, decontaminate, html_text, language, line_dedup, near_dup, packing, quality, sharding
+from quillon.llm.common import crc32_utf8, table
 from quillon.llm.tokens import default_tokenizer
 
 #: Old shards of the resharding query: documents lie sharded by a hash of their source, so one source makes one hot shard.
@@ -29,6 +29,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "contaminated", "item_ids", "distance")
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_output.token_output(table(spark, sf_dir, "documents"), default_tokenizer(), end_id=1)
 
@@ -37,11 +42,20 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "kept")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.fit(docs.where(language.fold(F.col("doc_id")) != 0))
     return language.predict(docs.select("doc_id", "text"), model).select("doc_id", (language.fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_resharding, op2_packing, op3_quality_rules, op5_token_output, op6_html_extraction, op8_language_id)}
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    return done.select("doc_id", "n_lines", "n_removed", crc32_utf8(F.col("text")).alias("text_crc32"), F.octet_length("text").cast("long").alias("n_bytes"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_resharding, op2_packing, op3_quality_rules, op4_decontamination, op5_token_output, op6_html_extraction, op7_near_dedup, op8_language_id, op9_line_dedup)}
 ORACLES: dict[str, str] = {"op3_quality_rules": quality.oracle(), "op6_html_extraction": html_text.ORACLE}
