@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import binary_output, decontaminate, html_text, language, line_dedup, near_dup, packing, quality, sharding
+from quillon.llm import binary_output, decontaminate, html_text, language, line_dedup, near_dup, packing, quality, sharding, suffix_dedup
 from quillon.llm.common import crc32_utf8, table
 from quillon.llm.tokens import default_tokenizer
 
@@ -57,5 +57,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_removed", crc32_utf8(F.col("text")).alias("text_crc32"), F.octet_length("text").cast("long").alias("n_bytes"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_resharding, op2_packing, op3_quality_rules, op4_decontamination, op5_token_output, op6_html_extraction, op7_near_dedup, op8_language_id, op9_line_dedup)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_resharding, op2_packing, op3_quality_rules, op4_decontamination, op5_token_output, op6_html_extraction, op7_near_dedup, op8_language_id, op9_line_dedup, op10_suffix_dedup)}
 ORACLES: dict[str, str] = {"op3_quality_rules": quality.oracle(), "op6_html_extraction": html_text.ORACLE}
