@@ -1,17 +1,17 @@
 """From buckets of candidates to components, without all pairs: used by the near-duplicate operators.
 
-A bucket (a band's value) holds items that may be alike. In each round every bucket names one pivot and its members are verified
-against that pivot alone, so work is in proportion to the members, whatever the size of the bucket. Links join items into
-components; a bucket whose members are one component is finished. In the others the next pivot is taken from the members outside the
-bucket's largest component, so strays are compared with everything that is not yet theirs. A bucket of n members is settled after
-n - 1 pivots; what is still open after ``rounds`` is verified pair by pair, strays against the members of other components.
+A bucket (a band's value) holds items that may be alike. At first every bucket names one pivot and its members are verified against
+that pivot alone, so work is in proportion to the members, whatever the size of the bucket. Links join items into components; a bucket
+whose members are one component is finished. In the others, up to ``pivots`` members outside the bucket's largest component are the
+next pivots, compared with everything that is not yet theirs: a stray that has been a pivot is settled. What is still open after
+``rounds`` of these is verified pair by pair, strays against the members of other components.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import connected_components, materialize
@@ -20,49 +20,71 @@ from quillon.llm.common import connected_components, materialize
 BITS = 1 << 24
 
 
-def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 5) -> DataFrame:
-    """members: distinct rows (bucket, id), both long. verify keeps the linked ones of rows (a, b), a < b. Returns (node, comp)."""
-    buckets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("bucket", "id").alias("h"), "id")).getField("id").alias("pivot")).where("n > 1")
-    shared = materialize(members.join(buckets, "bucket"), "shared-buckets")
-    pairs = shared.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 2, pivots: int = 8) -> DataFrame:
+    """members: rows (id, buckets), a long and a list of different longs. verify keeps the linked ones of rows (a, b), a < b.
+
+    Returns (node, comp) for the ids that have a link.
+    """
+    flat = members.select("id", F.explode("buckets").alias("bucket"))
+    # the pivot is the id of least value once mixed with the bucket: a single number, so that the counting is a plain hash aggregate
+    shared = flat.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.col("id").bitwiseXOR(F.col("bucket"))).alias("p")).where("n > 1")
+    shared = materialize(shared.select("bucket", "n", F.col("p").bitwiseXOR(F.col("bucket")).alias("pivot")), "shared-buckets")
+    open_ = materialize(maybe_in(flat, "bucket", bitmap(shared, "bucket")).join(shared, "bucket"), "bucket-members")
+    pairs = open_.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
     tested = materialize(pairs, "pairs")
     edges = materialize(verify(tested), "edges")
-    used = shared.select("bucket", F.col("pivot").alias("id")).distinct()
-    open_ = shared.where("n > 2").select("bucket", "id", "n")
+    used = shared.where("n > 2").select("bucket", F.col("pivot").alias("id"))
+    open_ = open_.where("n > 2").select("bucket", "id")
     comps = connected_components(edges)
-    for k in range(1, rounds + 2):
-        named = open_.where(F.col("n") > k + 1).join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    for k in range(rounds + 1):
+        named = open_.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         mixed = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
         named = materialize(named.join(mixed, "bucket"), "mixed-buckets")
         largest = named.groupBy("bucket", "comp").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "comp")).getField("comp").alias("large"))
         strays = named.join(largest, "bucket").where("comp <> large").select("bucket", "id", "comp").join(used, ["bucket", "id"], "left_anti")
-        if k <= rounds:
-            strays = strays.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "id").alias("h"), "id", "comp")).alias("s")).select("bucket", "s.id", "s.comp")
+        if k < rounds:
+            strays = strays.selectExpr("*", "row_number() over (partition by bucket order by id) as r").where(F.col("r") <= pivots).drop("r")
         strays = materialize(strays, "strays")
         if strays.isEmpty():
             break
         other = strays.select("bucket", F.col("id").alias("x"), F.col("comp").alias("x_comp"))
         pairs = named.join(other, "bucket").where("comp <> x_comp").select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
-        found = materialize(verify(pairs), "edges")
-        used, tested, open_ = used.union(strays.select("bucket", "id")), tested.union(pairs), named.select("bucket", "id", "n")
-        if not found.isEmpty():
-            edges = edges.union(found)
-            comps = connected_components(edges)
+        if not pairs.isEmpty():
+            found = materialize(verify(pairs), "edges")
+            if not found.isEmpty():
+                edges = edges.union(found)
+                comps = connected_components(edges)
+        used, tested, open_ = used.union(strays.select("bucket", "id")), tested.union(pairs), named.select("bucket", "id")
     return comps
 
 
+def ends_of(pairs: DataFrame, name: str) -> DataFrame:
+    return pairs.select(F.col("a").alias(name)).union(pairs.select("b")).distinct()
+
+
 def bitmap(keys: DataFrame, key: str) -> DataFrame:
     """The set of a long column's values, hashed to a fixed number of bits: at most 512 rows (_lm_bucket, _lm_bits)."""
     at = F.pmod(F.col(key), F.lit(BITS)) + 1
     return keys.select(F.bitmap_bucket_number(at).alias("_lm_bucket"), F.bitmap_bit_position(at).alias("_lm_p")).groupBy("_lm_bucket").agg(F.bitmap_construct_agg("_lm_p").alias("_lm_bits"))
 
 
-def maybe_in(df: DataFrame, key: str, bits: DataFrame) -> DataFrame:
-    """Rows whose key may be in the set; the others surely are not. The bitmap has a fixed size, so it may be broadcast."""
+def _marked(df: DataFrame, key: str, bits: DataFrame, how: str) -> tuple[DataFrame, Column]:
     at = F.pmod(F.col(key), F.lit(BITS)) + 1
     bit = F.bitmap_bit_position(at)
     byte = F.conv(F.hex(F.substring("_lm_bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    joined = df.join(F.broadcast(bits.withColumnRenamed("_lm_bucket", "_lm_bucket2")), F.bitmap_bucket_number(at) == F.col("_lm_bucket2"))
     masks = F.array(*[F.lit(1 << k) for k in range(8)])
-    return joined.where(byte.bitwiseAND(F.get(masks, (bit % 8).cast("int"))) != 0).drop("_lm_bits", "_lm_bucket2")
+    joined = df.join(F.broadcast(bits.withColumnRenamed("_lm_bucket", "_lm_bucket2")), F.bitmap_bucket_number(at) == F.col("_lm_bucket2"), how)
+    return joined, F.coalesce(byte.bitwiseAND(F.get(masks, (bit % 8).cast("int"))) != 0, F.lit(False))
+
+
+def maybe_in(df: DataFrame, key: str, bits: DataFrame) -> DataFrame:
+    """Rows whose key may be in the set; the others surely are not. The bitmap has a fixed size, so it may be broadcast."""
+    joined, there = _marked(df, key, bits, "inner")
+    return joined.where(there).drop("_lm_bits", "_lm_bucket2")
+
+
+def not_in(df: DataFrame, key: str, bits: DataFrame) -> DataFrame:
+    """The rows that ``maybe_in`` leaves out, those with a null key too."""
+    joined, there = _marked(df, key, bits, "left")
+    return joined.where(~there).drop("_lm_bits", "_lm_bucket2")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import materialize
-from quillon.llm.linking import bitmap, link, maybe_in
+from quillon.llm.linking import bitmap, ends_of, link, maybe_in
 
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
@@ -156,14 +156,14 @@ def classes(docs: DataFrame, bands: int = 20, rows: int = 5, threshold: float =
     # one representative of each text: the row of least number; a null text is alone
     text_key = F.coalesce("text_md5", F.concat(F.lit("row "), F.col("_lm_row")))
     reps = materialize(rows_.groupBy(text_key.alias("_lm_text")).agg(F.min("_lm_row").alias("id")), "text-classes")
-    members = rows_.select(F.col("_lm_row").alias("id"), F.explode("keys").alias("bucket")).join(reps.select("id"), "id", "left_semi").distinct()
+    members = materialize(rows_.select(F.col("_lm_row").alias("id"), F.col("keys").alias("buckets")).join(reps.select("id"), "id", "left_semi"), "band-members")
 
     store: list[DataFrame] = []
 
     def verify(pairs: DataFrame) -> DataFrame:
         if not store:
             # the shingles of every document that a pair names at first; later rounds name no other
-            needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(reps, "id").select("id", "_lm_text")
+            needed = ends_of(pairs, "id").join(reps, "id").select("id", "_lm_text")
             needed = materialize(needed.withColumn("_lm_k", F.xxhash64("_lm_text")), "to-verify")
             source = docs.select(F.md5(F.encode("text", "UTF-8")).alias("_lm_text"), "text").withColumn("_lm_k", F.xxhash64("_lm_text"))
             texts = maybe_in(source, "_lm_k", bitmap(needed, "_lm_k")).join(needed.select("id", "_lm_text"), "_lm_text")
@@ -173,7 +173,9 @@ def classes(docs: DataFrame, bands: int = 20, rows: int = 5, threshold: float =
                 return text.map(lambda t: cells(t, words).tobytes())
 
             store.append(materialize(texts.select("id", packed("text").alias("cells")).dropDuplicates(["id"]), "shingles"))
-        held = store[0]
+            held = store[0]
+        else:
+            held = maybe_in(store[0], "id", bitmap(ends_of(pairs, "id"), "id"))
 
         @F.pandas_udf("double")
         def similarity(x, y):  # noqa: ANN001, ANN202
