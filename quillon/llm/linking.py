@@ -1,10 +1,10 @@
 """From buckets of candidates to components, without all pairs: used by the near-duplicate operators.
 
-A bucket (a band's value) holds items that may be alike. At first every bucket names one pivot and its members are verified against
-that pivot alone, so work is in proportion to the members, whatever the size of the bucket. Links join items into components; a bucket
-whose members are one component is finished. In the others, up to ``pivots`` members outside the bucket's largest component are the
-next pivots, compared with everything that is not yet theirs: a stray that has been a pivot is settled. What is still open after
-``rounds`` of these is verified pair by pair, strays against the members of other components.
+A bucket (a band's value) holds items that may be alike. At first every bucket names one pivot and its members are compared with that
+pivot alone, so work is in proportion to the members, whatever the size of the bucket. Links join items into components; a bucket whose
+members are one component is finished. In the others, up to ``pivots`` members outside the bucket's largest component are the next
+pivots, compared with everything that is not yet theirs: a stray that has been a pivot is settled. What is still open after ``rounds``
+of these is settled at once, strays against the members of other components.
 """
 
 from __future__ import annotations
@@ -20,19 +20,20 @@ from quillon.llm.common import connected_components, materialize
 BITS = 1 << 24
 
 
-def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 2, pivots: int = 8) -> DataFrame:
-    """members: rows (id, buckets), a long and a list of different longs. verify keeps the linked ones of rows (a, b), a < b.
+def link(members: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame, DataFrame], DataFrame]], rounds: int = 1, pivots: int = 8) -> DataFrame:
+    """members: rows (id, buckets), a long and a list of different longs. Returns (node, comp) for the ids that have a link.
 
-    Returns (node, comp) for the ids that have a link.
+    ``prepare`` gets all (bucket, id) that share a bucket, and returns the comparison: of rows (bucket, id, comp) with rows
+    (bucket, x, x_comp) of the same bucket and another component it returns the linked (a, b).
     """
     flat = members.select("id", F.explode("buckets").alias("bucket"))
     # the pivot is the id of least value once mixed with the bucket: a single number, so that the counting is a plain hash aggregate
     shared = flat.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.col("id").bitwiseXOR(F.col("bucket"))).alias("p")).where("n > 1")
     shared = materialize(shared.select("bucket", "n", F.col("p").bitwiseXOR(F.col("bucket")).alias("pivot")), "shared-buckets")
-    open_ = materialize(maybe_in(flat, "bucket", bitmap(shared, "bucket")).join(shared, "bucket"), "bucket-members")
-    pairs = open_.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-    tested = materialize(pairs, "pairs")
-    edges = materialize(verify(tested), "edges")
+    open_ = materialize(maybe_in(flat, "bucket", bitmap(shared, "bucket")).join(shared.select("bucket", "n"), "bucket"), "bucket-members")
+    compare = prepare(open_)
+    first = shared.select("bucket", F.col("pivot").alias("x"), F.col("pivot").alias("x_comp"))
+    edges = materialize(compare(open_.select("bucket", "id", F.col("id").alias("comp")), first), "edges")
     used = shared.where("n > 2").select("bucket", F.col("pivot").alias("id"))
     open_ = open_.where("n > 2").select("bucket", "id")
     comps = connected_components(edges)
@@ -47,22 +48,14 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: i
         strays = materialize(strays, "strays")
         if strays.isEmpty():
             break
-        other = strays.select("bucket", F.col("id").alias("x"), F.col("comp").alias("x_comp"))
-        pairs = named.join(other, "bucket").where("comp <> x_comp").select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        if not pairs.isEmpty():
-            found = materialize(verify(pairs), "edges")
-            if not found.isEmpty():
-                edges = edges.union(found)
-                comps = connected_components(edges)
-        used, tested, open_ = used.union(strays.select("bucket", "id")), tested.union(pairs), named.select("bucket", "id")
+        found = materialize(compare(named, strays.select("bucket", F.col("id").alias("x"), F.col("comp").alias("x_comp"))), "edges")
+        used, open_ = used.union(strays.select("bucket", "id")), named.select("bucket", "id")
+        if not found.isEmpty():
+            edges = edges.union(found)
+            comps = connected_components(edges)
     return comps
 
 
-def ends_of(pairs: DataFrame, name: str) -> DataFrame:
-    return pairs.select(F.col("a").alias(name)).union(pairs.select("b")).distinct()
-
-
 def bitmap(keys: DataFrame, key: str) -> DataFrame:
     """The set of a long column's values, hashed to a fixed number of bits: at most 512 rows (_lm_bucket, _lm_bits)."""
     at = F.pmod(F.col(key), F.lit(BITS)) + 1

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import materialize
-from quillon.llm.linking import bitmap, ends_of, link, maybe_in
+from quillon.llm.linking import bitmap, link, maybe_in
 
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
@@ -158,40 +158,46 @@ def classes(docs: DataFrame, bands: int = 20, rows: int = 5, threshold: float =
     reps = materialize(rows_.groupBy(text_key.alias("_lm_text")).agg(F.min("_lm_row").alias("id")), "text-classes")
     members = materialize(rows_.select(F.col("_lm_row").alias("id"), F.col("keys").alias("buckets")).join(reps.select("id"), "id", "left_semi"), "band-members")
 
-    store: list[DataFrame] = []
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        if not store:
-            # the shingles of every document that a pair names at first; later rounds name no other
-            needed = ends_of(pairs, "id").join(reps, "id").select("id", "_lm_text")
-            needed = materialize(needed.withColumn("_lm_k", F.xxhash64("_lm_text")), "to-verify")
-            source = docs.select(F.md5(F.encode("text", "UTF-8")).alias("_lm_text"), "text").withColumn("_lm_k", F.xxhash64("_lm_text"))
-            texts = maybe_in(source, "_lm_k", bitmap(needed, "_lm_k")).join(needed.select("id", "_lm_text"), "_lm_text")
-
-            @F.pandas_udf("binary")
-            def packed(text):  # noqa: ANN001, ANN202
-                return text.map(lambda t: cells(t, words).tobytes())
-
-            store.append(materialize(texts.select("id", packed("text").alias("cells")).dropDuplicates(["id"]), "shingles"))
-            held = store[0]
-        else:
-            held = maybe_in(store[0], "id", bitmap(ends_of(pairs, "id"), "id"))
-
-        @F.pandas_udf("double")
-        def similarity(x, y):  # noqa: ANN001, ANN202
-            import pandas as pd
-
-            def one(p: bytes, q: bytes) -> float:
-                p, q = np.frombuffer(p, U), np.frombuffer(q, U)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                return both / (len(p) + len(q) - both)
-
-            return pd.Series([one(p, q) for p, q in zip(x, y, strict=True)], dtype="float64")
-
-        with_a = pairs.join(held.select(F.col("id").alias("a"), F.col("cells").alias("x")), "a")
-        return with_a.join(held.select(F.col("id").alias("b"), F.col("cells").alias("y")), "b").where(similarity("x", "y") >= threshold).select("a", "b")
-
-    comps = link(members, verify)
+    @F.pandas_udf("binary")
+    def packed(text):  # noqa: ANN001, ANN202
+        return text.map(lambda t: cells(t, words).tobytes())
+
+    @F.pandas_udf("double")
+    def similarity(x, y):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        def one(p: bytes, q: bytes) -> float:
+            p, q = np.frombuffer(p, U), np.frombuffer(q, U)
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            return both / (len(p) + len(q) - both)
+
+        return pd.Series([one(p, q) for p, q in zip(x, y, strict=True)], dtype="float64")
+
+    def prepare(shared: DataFrame):  # noqa: ANN202
+        # the shingles of every document that shares a bucket
+        needed = shared.select("id").distinct().join(reps, "id").select("id", "_lm_text")
+        needed = materialize(needed.withColumn("_lm_k", F.xxhash64("_lm_text")), "to-verify")
+        source = docs.select(F.md5(F.encode("text", "UTF-8")).alias("_lm_text"), "text").withColumn("_lm_k", F.xxhash64("_lm_text"))
+        texts = maybe_in(source, "_lm_k", bitmap(needed, "_lm_k")).join(needed.select("id", "_lm_text"), "_lm_text")
+        held = materialize(texts.select("id", packed("text").alias("cells")).dropDuplicates(["id"]), "shingles")
+        tested: list[DataFrame] = []
+
+        def compare(rows: DataFrame, others: DataFrame) -> DataFrame:
+            pairs = rows.join(others, "bucket").where("comp <> x_comp").select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
+            for done in tested:
+                pairs = pairs.join(done, ["a", "b"], "left_anti")
+            pairs = materialize(pairs, "pairs")
+            own = held
+            if tested:  # few pairs are left: only their shingles need move
+                ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+                own = maybe_in(held, "id", bitmap(ends, "id"))
+            tested.append(pairs)
+            with_a = pairs.join(own.select(F.col("id").alias("a"), F.col("cells").alias("p")), "a")
+            return with_a.join(own.select(F.col("id").alias("b"), F.col("cells").alias("q")), "b").where(similarity("p", "q") >= threshold).select("a", "b")
+
+        return compare
+
+    comps = link(members, prepare)
     named = rows_.select("doc_id", "text_md5", "_lm_row", text_key.alias("_lm_text")).join(reps, "_lm_text").join(comps, F.col("id") == F.col("node"), "left")
     named = materialize(named.select("doc_id", "text_md5", "_lm_row", F.coalesce("comp", "id").alias("_lm_class")), "near-classes")
     first = named.groupBy("_lm_class").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_lm_row")).getField("_lm_row").alias("_lm_first"))
