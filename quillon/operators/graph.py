@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from quillon.session import materialize
 
+#: Links up to which a graph is small.
+SMALL_GRAPH = 250_000
+
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph given as rows ``(a, b)``: returns ``(node, comp)``, comp the least node.
@@ -17,19 +20,23 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Null ends are ignored.
     """
     links = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a is not null and b is not null and a <> b").distinct()
-    links = materialize(links, "cc")
-    before = None
+    links, before = materialize(links, "cc"), None
+    # a small graph is worked on in one task, where no step needs a shuffle; a larger one by as many tasks as a shuffle has
+    one_task = links.count() <= SMALL_GRAPH
     for _ in range(max_rounds):
+        if one_task:
+            links = links.coalesce(1)
         # large-star: every larger neighbour of a node moves to the node's least neighbour (itself included)
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        if one_task:
+            both = both.coalesce(1)
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
         # small-star: every smaller neighbour of a node, and the node itself, move to its least neighbour
         least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(least, "b")
-        links = small.select(F.col("m").alias("a"), F.col("a").alias("b")).where("a <> b").union(least.select(F.col("m").alias("a"), "b")).distinct()
-        links = materialize(links, "cc")
-        now = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        links = large.join(least, "b").select(F.col("m").alias("a"), F.col("a").alias("b")).where("a <> b").union(least.select(F.col("m").alias("a"), "b"))
+        links = materialize((links.coalesce(1) if one_task else links).distinct(), "cc")
+        now = (links.coalesce(1) if one_task else links).agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if (now.n, now.h) == before:
             break
         before = (now.n, now.h)

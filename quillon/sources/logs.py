@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from fnmatch import fnmatch
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,7 +53,7 @@ def dated_paths(folder: str, start: str) -> list[str]:
     """
     out = []
     for name in sorted(os.listdir(folder)):
-        if name.startswith("Journal.") and name.endswith(".log"):
+        if fnmatch(name, GLOB):
             m = re.match(r"Journal\.(?:(\d{4}-\d{2}-\d{2})|(\d{2})(\d{2})(\d{2}))", name)
             date = (m[1] or f"20{m[2]}-{m[3]}-{m[4]}") if m else None
             if date is None or date >= start[:10]:

@@ -28,40 +28,44 @@ class TailReader(SimpleDataSourceStreamReader):
         return {os.path.basename(p): 0 if self.backlog else os.path.getsize(p) for p in self.files()}
 
     @staticmethod
-    def lines(path: str, start: int, end: int | None = None) -> tuple[list[str], int]:
+    def lines(path: str, start: int, end: int | None = None) -> tuple[list[tuple[int, str]], int]:
         with open(path, "rb") as f:
             f.seek(start)
             data = f.read() if end is None else f.read(end - start)
         whole = data.rfind(b"\n") + 1
-        return data[:whole].decode("utf-8", errors="replace").splitlines(), start + whole
+        rows, at = [], start
+        for line in data[:whole].splitlines(keepends=True):
+            rows.append((at, line.decode("utf-8", errors="replace").rstrip("\r\n")))
+            at += len(line)
+        return rows, start + whole
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         end, rows = dict(start), []
         for path in self.files():
             name = os.path.basename(path)
             found, end[name] = self.lines(path, int(start.get(name, 0)))
-            rows += [(name, line) for line in found]
+            rows += [(name, at, line) for at, line in found]
         return iter(rows), end
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
         for name, to in end.items():
             if to > start.get(name, 0):
-                for line in self.lines(os.path.join(self.folder, name), int(start.get(name, 0)), int(to))[0]:
-                    yield name, line
+                for at, line in self.lines(os.path.join(self.folder, name), int(start.get(name, 0)), int(to))[0]:
+                    yield name, at, line
 
     def commit(self, end: dict) -> None:
         pass
 
 
 class TailSource(DataSource):
-    """``spark.readStream.format("tail").load(folder)`` after ``spark.dataSource.register(TailSource)``: columns file, value."""
+    """``spark.readStream.format("tail").load(folder)`` after ``spark.dataSource.register(TailSource)``: columns file, position (of the line, in bytes), value."""
 
     @classmethod
     def name(cls) -> str:
         return "tail"
 
     def schema(self) -> str:
-        return "file string, value string"
+        return "file string, position bigint, value string"
 
     def simpleStreamReader(self, schema: StructType) -> TailReader:  # noqa: N802
         return TailReader(self.options)

@@ -101,9 +101,12 @@ class LiveTable(StatefulProcessor):
 
 
 def live_input(events: DataFrame, medians: dict[str, float], session: str | None = None) -> DataFrame:
-    """Rows (session, seq, kind, system, ring_key, tier, text) of jumps and rings; malformed events are gone already."""
+    """Rows (session, seq, kind, system, ring_key, tier, text) of jumps and rings; malformed events are gone already.
+
+    seq is the order of arrival: the file and the line's position in it.
+    """
     key = F.col(session) if session else F.lit("all")
-    numbered = events.withColumn("session", key).withColumn("seq", F.monotonically_increasing_id())
+    numbered = events.withColumn("session", key).withColumn("seq", F.concat_ws("|", "file", F.lpad(F.col("position").cast("string"), 20, "0")))
     jumps = numbered.where("event in ('FSDJump', 'Location')").select("session", "seq", F.lit("jump").alias("kind"), F.col("StarSystem").alias("system"), *[F.lit(None).cast("string").alias(c) for c in ("ring_key", "tier", "text")])
     rings = ring_rows(numbered, medians).select("session", "seq", F.lit("ring").alias("kind"), F.col("StarSystem").alias("system"), "ring_key", "tier", F.concat_ws(" ", "body", "body_type", "ring", "ring_type", "density_label", "delta_label").alias("text"))
     return jumps.unionByName(rings)
