@@ -5,27 +5,13 @@ Internal columns start with ``_lm_`` so that extra columns of the caller's table
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.operators.graph import connected_components
+from quillon.session import materialize, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new one where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends here, and lost executors lose nothing."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["connected_components", "crc32_utf8", "materialize", "partitions", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,33 +24,3 @@ def crc32_utf8(text: Column) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Components of an undirected graph given as rows ``(a, b)``: returns ``(node, comp)``, comp the least node.
-
-    Alternates large-star and small-star steps (each a grouped minimum and two narrow joins), so a star with millions of
-    leaves costs one pre-aggregated minimum, never a collected group. Every round is written to the shared folder; the
-    loop ends when a round changes nothing. Nodes without an edge do not appear. An empty edge table gives an empty result.
-    Null ends are ignored.
-    """
-    links = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a is not null and b is not null and a <> b").distinct()
-    links = materialize(links, "cc")
-    before = None
-    for _ in range(max_rounds):
-        # large-star: every larger neighbour of a node moves to the node's least neighbour (itself included)
-        both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
-        # small-star: every smaller neighbour of a node, and the node itself, move to its least neighbour
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(least, "b")
-        links = small.select(F.col("m").alias("a"), F.col("a").alias("b")).where("a <> b").union(least.select(F.col("m").alias("a"), "b")).distinct()
-        links = materialize(links, "cc")
-        now = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if (now.n, now.h) == before:
-            break
-        before = (now.n, now.h)
-    else:
-        raise RuntimeError(f"components have not settled in {max_rounds} rounds")
-    return links.select(F.col("b").alias("node"), F.col("a").alias("comp")).union(links.select(F.col("a").alias("node"), F.col("a").alias("comp")).distinct())
