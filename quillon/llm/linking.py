@@ -57,27 +57,31 @@ def link(members: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame,
 
 
 def bitmap(keys: DataFrame, key: str) -> DataFrame:
-    """The set of a long column's values, hashed to a fixed number of bits: at most 512 rows (_lm_bucket, _lm_bits)."""
+    """The set of a long column's values, hashed to a fixed number of bits: at most 512 rows (_lm_bucket, _lm_words).
+
+    _lm_words has 1024 numbers of 32 bits each.
+    """
     at = F.pmod(F.col(key), F.lit(BITS)) + 1
-    return keys.select(F.bitmap_bucket_number(at).alias("_lm_bucket"), F.bitmap_bit_position(at).alias("_lm_p")).groupBy("_lm_bucket").agg(F.bitmap_construct_agg("_lm_p").alias("_lm_bits"))
+    bits = keys.select(F.bitmap_bucket_number(at).alias("_lm_bucket"), F.bitmap_bit_position(at).alias("_lm_p")).groupBy("_lm_bucket").agg(F.bitmap_construct_agg("_lm_p").alias("_lm_bits"))
+    words = "transform(array(_lm_bits), b -> transform(sequence(0, 1023), i -> cast(conv(hex(substring(b, 4 * i + 1, 4)), 16, 10) as bigint)))[0]"
+    return bits.select("_lm_bucket", F.expr(words).alias("_lm_words"))
 
 
 def _marked(df: DataFrame, key: str, bits: DataFrame, how: str) -> tuple[DataFrame, Column]:
     at = F.pmod(F.col(key), F.lit(BITS)) + 1
-    bit = F.bitmap_bit_position(at)
-    byte = F.conv(F.hex(F.substring("_lm_bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    masks = F.array(*[F.lit(1 << k) for k in range(8)])
-    joined = df.join(F.broadcast(bits.withColumnRenamed("_lm_bucket", "_lm_bucket2")), F.bitmap_bucket_number(at) == F.col("_lm_bucket2"), how)
-    return joined, F.coalesce(byte.bitwiseAND(F.get(masks, (bit % 8).cast("int"))) != 0, F.lit(False))
+    joined = df.withColumns({"_lm_bucket2": F.bitmap_bucket_number(at), "_lm_bit": F.bitmap_bit_position(at)}).join(F.broadcast(bits), F.col("_lm_bucket2") == F.col("_lm_bucket"), how)
+    # the bytes of a word are its higher ones first, the bits of a byte its lower ones first
+    there = F.expr("shiftright(get(_lm_words, cast(shiftright(_lm_bit, 5) as int)), cast((3 - (shiftright(_lm_bit, 3) & 3)) * 8 + (_lm_bit & 7) as int)) & 1")
+    return joined, F.coalesce(there == 1, F.lit(False))
 
 
 def maybe_in(df: DataFrame, key: str, bits: DataFrame) -> DataFrame:
     """Rows whose key may be in the set; the others surely are not. The bitmap has a fixed size, so it may be broadcast."""
     joined, there = _marked(df, key, bits, "inner")
-    return joined.where(there).drop("_lm_bits", "_lm_bucket2")
+    return joined.where(there).drop("_lm_words", "_lm_bucket", "_lm_bucket2", "_lm_bit")
 
 
 def not_in(df: DataFrame, key: str, bits: DataFrame) -> DataFrame:
     """The rows that ``maybe_in`` leaves out, those with a null key too."""
     joined, there = _marked(df, key, bits, "left")
-    return joined.where(~there).drop("_lm_bits", "_lm_bucket2")
+    return joined.where(~there).drop("_lm_words", "_lm_bucket", "_lm_bucket2", "_lm_bit")
