@@ -1,7 +1,7 @@
 """From buckets of candidates to components, without all pairs: used by the near-duplicate operators.
 
-A bucket (a band's value) holds items that may be alike. At first every bucket names one pivot and its members are compared with that
-pivot alone, so work is in proportion to the members, whatever the size of the bucket. Links join items into components; a bucket whose
+A bucket (a band's value) holds items that may be alike. At first every bucket names one pivot, the member that meets most others in
+all its buckets, and its members are compared with that pivot alone, so work is in proportion to the members, whatever the size of the bucket. Links join items into components; a bucket whose
 members are one component is finished. In the others, up to ``pivots`` members outside the bucket's largest component are the next
 pivots, compared with everything that is not yet theirs: a stray that has been a pivot is settled. What is still open after ``rounds``
 of these is settled at once, strays against the members of other components.
@@ -20,36 +20,39 @@ from quillon.llm.common import connected_components, materialize
 BITS = 1 << 24
 
 
-def link(members: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame, DataFrame], DataFrame]], rounds: int = 1, pivots: int = 8) -> DataFrame:
+def link(members: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame, DataFrame], DataFrame]], rounds: int = 1, pivots: int = 8, carry: tuple[str, ...] = ()) -> DataFrame:
     """members: rows (id, buckets), a long and a list of different longs. Returns (node, comp) for the ids that have a link.
 
     ``prepare`` gets all (bucket, id) that share a bucket, and returns the comparison: of rows (bucket, id, comp) with rows
-    (bucket, x, x_comp) of the same bucket and another component it returns the linked (a, b).
+    (bucket, x, x_comp) of the same bucket and another component it returns the linked (a, b). Columns of members that ``carry`` names
+    come along, as they are and with x_ before their names.
     """
-    flat = members.select("id", F.explode("buckets").alias("bucket"))
-    # the pivot is the id of least value once mixed with the bucket: a single number, so that the counting is a plain hash aggregate
-    shared = flat.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.col("id").bitwiseXOR(F.col("bucket"))).alias("p")).where("n > 1")
-    shared = materialize(shared.select("bucket", "n", F.col("p").bitwiseXOR(F.col("bucket")).alias("pivot")), "shared-buckets")
-    open_ = materialize(maybe_in(flat, "bucket", bitmap(shared, "bucket")).join(shared.select("bucket", "n"), "bucket"), "bucket-members")
+    flat = members.select("id", F.explode("buckets").alias("bucket"), *carry)
+    shared = materialize(flat.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "shared-buckets")
+    open_ = materialize(maybe_in(flat, "bucket", bitmap(shared, "bucket")).join(shared, "bucket"), "bucket-members")
     compare = prepare(open_)
-    first = shared.select("bucket", F.col("pivot").alias("x"), F.col("pivot").alias("x_comp"))
-    edges = materialize(compare(open_.select("bucket", "id", F.col("id").alias("comp")), first), "edges")
-    used = shared.where("n > 2").select("bucket", F.col("pivot").alias("id"))
-    open_ = open_.where("n > 2").select("bucket", "id")
+    # what others were copied from meets most of them, while two copies may each be too far from the other: it is the best pivot
+    degrees = open_.groupBy("id").agg(F.sum("n").alias("degree"))
+    open_ = materialize(open_.join(degrees, "id"), "bucket-degrees")
+    first = open_.groupBy("bucket").agg(F.max(F.struct("degree", "id", *carry)).alias("p"))
+    first = materialize(first.select("bucket", F.col("p.id").alias("x"), F.col("p.id").alias("x_comp"), *[F.col(f"p.{c}").alias(f"x_{c}") for c in carry]), "pivots")
+    edges = materialize(compare(open_.select("bucket", "id", F.col("id").alias("comp"), *carry), first), "edges")
+    used = first.select("bucket", F.col("x").alias("id"))
+    open_ = open_.where("n > 2").select("bucket", "id", "degree", *carry)
     comps = connected_components(edges)
     for k in range(rounds + 1):
         named = open_.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         mixed = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
         named = materialize(named.join(mixed, "bucket"), "mixed-buckets")
         largest = named.groupBy("bucket", "comp").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "comp")).getField("comp").alias("large"))
-        strays = named.join(largest, "bucket").where("comp <> large").select("bucket", "id", "comp").join(used, ["bucket", "id"], "left_anti")
+        strays = named.join(largest, "bucket").where("comp <> large").select("bucket", "id", "comp", "degree", *carry).join(used, ["bucket", "id"], "left_anti")
         if k < rounds:
-            strays = strays.selectExpr("*", "row_number() over (partition by bucket order by id) as r").where(F.col("r") <= pivots).drop("r")
+            strays = strays.selectExpr("*", "row_number() over (partition by bucket order by degree desc, id) as r").where(F.col("r") <= pivots).drop("r")
         strays = materialize(strays, "strays")
         if strays.isEmpty():
             break
-        found = materialize(compare(named, strays.select("bucket", F.col("id").alias("x"), F.col("comp").alias("x_comp"))), "edges")
-        used, open_ = used.union(strays.select("bucket", "id")), named.select("bucket", "id")
+        found = materialize(compare(named, strays.select("bucket", *[F.col(c).alias(n) for c, n in [("id", "x"), *[(c, f"x_{c}") for c in ("comp", *carry)]]])), "edges")
+        used, open_ = used.union(strays.select("bucket", "id")), named.select("bucket", "id", "degree", *carry)
         if not found.isEmpty():
             edges = edges.union(found)
             comps = connected_components(edges)

@@ -132,12 +132,36 @@ def band_keys(signatures: np.ndarray, bands: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def classes(docs: DataFrame, bands: int = 20, rows: int = 5, threshold: float = 0.8, words: int = 5) -> DataFrame:
-    """Per row: doc_id, text_md5, class_id (the least doc_id of the class) and kept (true for one row of each class)."""
+def sketches(signatures: np.ndarray) -> np.ndarray:
+    """Four bits of each coordinate, 16 coordinates to a 64-bit number."""
+    n, k = signatures.shape
+    nibbles = np.zeros((n, -(-k // 16) * 16), U)
+    nibbles[:, :k] = signatures & U(15)
+    return (nibbles.reshape(n, -1, 16) << (U(4) * np.arange(16, dtype=U))).sum(axis=2, dtype=U).view(np.int64)
+
+
+def differing(words: int) -> str:
+    """SQL for the number of coordinates in which the sketches ``sketch`` and ``x_sketch`` differ."""
+    terms = []
+    for i in range(words):
+        z = f"(sketch[{i}] ^ x_sketch[{i}])"
+        pairs = f"({z} | shiftrightunsigned({z}, 1))"
+        terms.append(f"bit_count(({pairs} | shiftrightunsigned({pairs}, 2)) & 1229782938247303441)")  # the low bit of every nibble
+    return " + ".join(terms)
+
+
+def classes(docs: DataFrame, bands: int = 20, rows: int = 5, threshold: float = 0.8, words: int = 5, coordinates: int = 200) -> DataFrame:
+    """Per row: doc_id, text_md5, class_id (the least doc_id of the class) and kept (true for one row of each class).
+
+    Bands use the first bands * rows of the coordinates. Members of a bucket whose sketches (four bits a coordinate) agree in fewer
+    coordinates than a pair at the threshold does, less 3.3 standard deviations, are not looked at further: one true pair in 2000.
+    """
+    agree = threshold + (1 - threshold) / 16
+    most = math.floor(coordinates * (1 - agree) + 3.3 * math.sqrt(coordinates * agree * (1 - agree)))
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, keys = batch.column(0), [[]] * batch.num_rows
+            texts, keys, held = batch.column(0), [[]] * batch.num_rows, [[]] * batch.num_rows
             at = 0
             while at < len(texts):
                 found, size = [], 0
@@ -147,16 +171,18 @@ def classes(docs: DataFrame, bands: int = 20, rows: int = 5, threshold: float =
                         size += len(c)
                     at += 1
                 if found:
-                    for (i, _), k in zip(found, band_keys(dart_signatures([c for _, c in found], bands * rows), bands), strict=True):
-                        keys[i] = k.tolist()
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_md5", "_lm_row", "keys"])
+                    signatures = dart_signatures([c for _, c in found], coordinates)
+                    for (i, _), k, s in zip(found, band_keys(signatures[:, : bands * rows], bands), sketches(signatures), strict=True):
+                        keys[i], held[i] = k.tolist(), s.tolist()
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(keys, longs), pa.array(held, longs)], names=["doc_id", "text_md5", "_lm_row", "keys", "sketch"])
 
     read = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.encode("text", "UTF-8")).alias("text_md5"), F.monotonically_increasing_id().alias("_lm_row"))
-    rows_ = materialize(read.mapInArrow(signed, "doc_id long, text_md5 string, _lm_row long, keys array<bigint>"), "dart-bands")
+    rows_ = materialize(read.mapInArrow(signed, "doc_id long, text_md5 string, _lm_row long, keys array<bigint>, sketch array<bigint>"), "dart-bands")
     # one representative of each text: the row of least number; a null text is alone
     text_key = F.coalesce("text_md5", F.concat(F.lit("row "), F.col("_lm_row")))
     reps = materialize(rows_.groupBy(text_key.alias("_lm_text")).agg(F.min("_lm_row").alias("id")), "text-classes")
-    members = materialize(rows_.select(F.col("_lm_row").alias("id"), F.col("keys").alias("buckets")).join(reps.select("id"), "id", "left_semi"), "band-members")
+    members = materialize(rows_.select(F.col("_lm_row").alias("id"), F.col("keys").alias("buckets"), "sketch").join(reps.select("id"), "id", "left_semi"), "band-members")
 
     @F.pandas_udf("binary")
     def packed(text):  # noqa: ANN001, ANN202
@@ -183,7 +209,7 @@ def classes(docs: DataFrame, bands: int = 20, rows: int = 5, threshold: float =
         tested: list[DataFrame] = []
 
         def compare(rows: DataFrame, others: DataFrame) -> DataFrame:
-            pairs = rows.join(others, "bucket").where("comp <> x_comp").select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
+            pairs = rows.join(others, "bucket").where(f"comp <> x_comp and {differing(-(-coordinates // 16))} <= {most}").select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
             for done in tested:
                 pairs = pairs.join(done, ["a", "b"], "left_anti")
             pairs = materialize(pairs, "pairs")
@@ -197,7 +223,7 @@ def classes(docs: DataFrame, bands: int = 20, rows: int = 5, threshold: float =
 
         return compare
 
-    comps = link(members, prepare)
+    comps = link(members, prepare, carry=("sketch",))
     named = rows_.select("doc_id", "text_md5", "_lm_row", text_key.alias("_lm_text")).join(reps, "_lm_text").join(comps, F.col("id") == F.col("node"), "left")
     named = materialize(named.select("doc_id", "text_md5", "_lm_row", F.coalesce("comp", "id").alias("_lm_class")), "near-classes")
     first = named.groupBy("_lm_class").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_lm_row")).getField("_lm_row").alias("_lm_first"))
