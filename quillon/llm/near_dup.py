@@ -150,7 +150,7 @@ def differing(words: int) -> str:
     return " + ".join(terms)
 
 
-def classes(docs: DataFrame, bands: int = 20, rows: int = 5, threshold: float = 0.8, words: int = 5, coordinates: int = 200) -> DataFrame:
+def classes(docs: DataFrame, bands: int = 20, rows: int = 5, threshold: float = 0.8, words: int = 5, coordinates: int = 320) -> DataFrame:
     """Per row: doc_id, text_md5, class_id (the least doc_id of the class) and kept (true for one row of each class).
 
     Bands use the first bands * rows of the coordinates. Members of a bucket whose sketches (four bits a coordinate) agree in fewer

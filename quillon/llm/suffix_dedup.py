@@ -268,10 +268,10 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 64, chunk: in
             return pa.RecordBatch.from_arrays(columns, names=list(schema))
 
         held: pa.Table | None = None
-        for batch in batches:
-            new = pa.Table.from_batches([batch])
+        # a few thousand anchors at a time: each brings up to 337 windows of some ten numbers
+        for new in (pa.Table.from_batches([batch.slice(k, chunk)]) for batch in batches for k in range(0, batch.num_rows, chunk)):
             held = new if held is None else pa.concat_tables([held, new])
-            if held.num_rows >= 3 * chunk:
+            if held.num_rows >= chunk:
                 g, s = held.column("gram").to_numpy(), held.column("salt").to_numpy()
                 whole = np.flatnonzero((g[1:] != g[:-1]) | (s[1:] != s[:-1]))
                 if len(whole):
