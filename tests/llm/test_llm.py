@@ -228,7 +228,7 @@ def test_decontamination_against_brute_force(spark):
     for size in (4_000_000, 60):  # one block, and several
         got = {r.doc_id: r for r in decontaminate.contamination(df, bench, piece_chars=8, block_chars=size).collect()}
         for i, t in rows:
-            want = sorted((n for n, b in items if (b := decontaminate.normal(b)) and edits(b, decontaminate.normal(t)) <= max(0, len(b) // 8 - 1)), key=lambda n: (n is not None, n))
+            want = sorted((n for n, b in items if (c := decontaminate.normal(b)) and edits(c, decontaminate.normal(t)) <= max(0, len(c) // 8 - 1)), key=lambda n: (n is not None, n))
             assert got[i].item_ids == want and got[i].contaminated == bool(want), (i, t)
 
 
