@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillon.operators.graph import connected_components
 from quillon.session import materialize, shared_dir
 
-__all__ = ["connected_components", "crc32_utf8", "materialize", "partitions", "shared_dir", "table"]
+__all__ = ["connected_components", "crc32_utf8", "materialize", "partitions", "shared_dir", "small_batches", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,3 +24,10 @@ def crc32_utf8(text: Column) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts go to Python in batches of at most so many rows: the usual 10,000 take hundreds of MB a worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)

@@ -19,6 +19,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.common import small_batches
+
 Item = tuple[int | None, str, int]  # item_id, text, error budget
 
 
@@ -128,6 +130,7 @@ def matches(text: Column, block: list[Item], name: str) -> Column:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, piece_chars: int = 16, block_chars: int = 4_000_000) -> DataFrame:
     """``docs`` with contaminated (boolean), item_ids (sorted) and distance (least number of edits; null if clean)."""
+    small_batches(docs.sparkSession)
     out, run, columns = docs, uuid.uuid4().hex, []
     for k, block in enumerate(blocks(benchmark, piece_chars, block_chars)):
         columns.append(f"_lm_hits_{k}")

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.common import small_batches
+
 DIMS = 4096
 UNKNOWN = "und"
 _letters: list[np.ndarray] = []
@@ -121,6 +123,7 @@ def fit(labelled: DataFrame, per_language: int = 250, per_centroid: int = 4) ->
 
 def predict(docs: DataFrame, model: Model, max_distance: float | None = None) -> DataFrame:
     """All columns of docs, with lang_pred and score (cosine of the nearest centroid) in place of any so named."""
+    small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
 
     @F.pandas_udf("lang string, score double")

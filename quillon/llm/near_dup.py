@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize
+from quillon.llm.common import materialize, small_batches
 from quillon.llm.linking import bitmap, link, maybe_in
 
 U = np.uint64
@@ -156,6 +156,7 @@ def classes(docs: DataFrame, bands: int = 20, rows: int = 5, threshold: float =
     Bands use the first bands * rows of the coordinates. Members of a bucket whose sketches (four bits a coordinate) agree in fewer
     coordinates than a pair at the threshold does, less 3.3 standard deviations, are not looked at further: one true pair in 2000.
     """
+    small_batches(docs.sparkSession)
     agree = threshold + (1 - threshold) / 16
     most = math.floor(coordinates * (1 - agree) + 3.3 * math.sqrt(coordinates * agree * (1 - agree)))
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize, partitions
+from quillon.llm.common import materialize, partitions, small_batches
 from quillon.llm.linking import bitmap, maybe_in
 from quillon.llm.near_dup import BASE, U, mix, powers
 
@@ -289,6 +289,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 64, chunk: in
 
 def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 64) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (merged, null where none or all is removed)."""
+    small_batches(docs.sparkSession)
     spans = materialize(repeated_spans(docs, length, gram).groupBy("key", "n").agg(F.collect_list(F.struct("begin", "end")).alias("parts")), "spans-by-text")
     texts = docs.where("text is not null").select("doc_id", text_key(F.col("text")).alias("key"), F.octet_length("text").alias("n"), "text")
     groups = texts.where(F.col("n") >= length).groupBy("key", "n").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"))
