@@ -478,6 +478,20 @@ def test_lines_against_every_character_shingles(spark, texts):
     assert removed_by_stage(spark, rows) == removed_by_every_character(rows)
 
 
+def test_lines_that_differ_at_word_starts_are_linked(spark):
+    """Long words, lines without spaces and ends of lines: alike at most characters, at few word starts."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    rows = []
+    for k in range(60):
+        long = word(150)
+        rows += [(10 * k, long), (10 * k + 1, "Q" + long[1:])]
+        last = word(90)
+        rows += [(10 * k + 2, f"x y {last}"), (10 * k + 3, f"u v {last}")]
+    want = removed_by_every_character(rows)
+    assert len(want) == 120 and removed_by_stage(spark, rows) == want
+
+
 def test_lines_hard(spark):
     out = line_dedup.dedup_lines(hard(spark), counts=True)
     rows = out.collect()
