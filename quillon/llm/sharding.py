@@ -12,12 +12,13 @@ order. An empty table gives an empty result. Columns of the input with other nam
 
 from __future__ import annotations
 
+import uuid
 from collections import deque
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import crc32_utf8, materialize
+from quillon.llm.common import crc32_utf8, materialize, shared_dir
 
 Flow = tuple[int, int, int]
 
@@ -99,20 +100,41 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int = 8, block_rows: int
 
     named = named.withColumn("_lm_b", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
     tie = "_lm_old, _lm_b order by doc_id, _lm_crc, _lm_size"
-    inside = named.selectExpr("*", f"sum(_lm_size) over (partition by {tie} rows between unbounded preceding and current row) - _lm_size as _lm_in")
     sizes = named.groupBy("_lm_old", "_lm_b").agg(F.sum("_lm_size").alias("_lm_n"))
     starts = sizes.selectExpr("_lm_old", "_lm_b", "coalesce(sum(_lm_n) over (partition by _lm_old order by _lm_b rows between unbounded preceding and 1 preceding), 0) as _lm_before")
-    placed = inside.join(starts, ["_lm_old", "_lm_b"]).withColumn("_lm_at", F.col("_lm_before") + F.col("_lm_in"))
-    placed = placed.join(moves, "_lm_old").where("_lm_at + shiftright(_lm_size, 1) >= _lm_from and _lm_at + shiftright(_lm_size, 1) < _lm_to")
-    placed = materialize(placed.drop("_lm_from", "_lm_to", "_lm_before", "_lm_in"), "resharded")
 
-    held = placed.groupBy("_lm_shard", "_lm_old", "_lm_b").agg(F.count("*").alias("_lm_n"))
-    base = held.selectExpr("_lm_shard", "_lm_old", "_lm_b", "coalesce(sum(_lm_n) over (partition by _lm_shard order by _lm_old, _lm_b rows between unbounded preceding and 1 preceding), 0) as _lm_base")
-    ranked = placed.selectExpr("*", "row_number() over (partition by _lm_shard, _lm_old, _lm_b order by _lm_at) - 1 as _lm_rank").join(base, ["_lm_shard", "_lm_old", "_lm_b"])
+    def place(rows: DataFrame) -> DataFrame:
+        inside = rows.selectExpr("*", f"sum(_lm_size) over (partition by {tie} rows between unbounded preceding and current row) - _lm_size as _lm_in", f"row_number() over (partition by {tie}) as _lm_rank")
+        placed = inside.join(starts, ["_lm_old", "_lm_b"]).withColumn("_lm_at", F.col("_lm_before") + F.col("_lm_in"))
+        placed = placed.join(moves, "_lm_old").where("_lm_at + shiftright(_lm_size, 1) >= _lm_from and _lm_at + shiftright(_lm_size, 1) < _lm_to")
+        return placed.drop("_lm_from", "_lm_to", "_lm_before", "_lm_in")
+
+    # the counts come from the keys alone; the other columns are then moved once
+    keys = materialize(place(named.select("doc_id", "_lm_size", "_lm_crc", "_lm_old", "_lm_b")), "resharded")
+    held = keys.groupBy("_lm_shard", "_lm_old", "_lm_b").agg(F.count("*").alias("_lm_n"), F.min("_lm_rank").alias("_lm_least"))
+    base = held.selectExpr("_lm_shard", "_lm_old", "_lm_b", "_lm_least", "coalesce(sum(_lm_n) over (partition by _lm_shard order by _lm_old, _lm_b rows between unbounded preceding and 1 preceding), 0) as _lm_base")
+    ranked = (place(named) if carry else keys).join(F.broadcast(materialize(base, "blocks")), ["_lm_shard", "_lm_old", "_lm_b"]).withColumn("_lm_rank", F.col("_lm_rank") - F.col("_lm_least"))
     added = {"size": F.col("_lm_size"), "text_crc32": F.col("_lm_crc"), "law": F.lit("bytes"), "shard": F.col("_lm_shard"), "slot": (F.col("_lm_base") + F.col("_lm_rank")).cast("long"), "grown_shard": F.lit(None).cast("int"), "old_shard": F.col("_lm_old"), "moved": F.col("_lm_moved")}
     return ranked.select(*[F.col(f"`{c}`") for c in carried if c.lower() not in added], *[v.alias(k) for k, v in added.items()])
 
 
+def reshard_files(docs: DataFrame, old_shard: Column, shards: int = 8, block_rows: int = 4_000) -> DataFrame:
+    """``reshard`` with all columns, and the affected shards rewritten as files in the shared folder; the result is read back from them.
+
+    The rows of unaffected shards lie where they lay, and come from the input.
+    """
+    spark = docs.sparkSession
+    placed = reshard(docs, old_shard, shards, block_rows)
+    path = f"{shared_dir(spark).rstrip('/')}/shards-{uuid.uuid4().hex}"
+    affected = rewrite_affected(placed, path)
+    if not affected:
+        return placed
+    files = spark.read.schema(placed.schema).parquet(path).select(*[F.col(f"`{c}`") for c in placed.columns])
+    if len(affected) == shards:
+        return files
+    return files.unionByName(placed.where(~F.col("shard").isin(affected)))
+
+
 def rewrite_affected(resharded: DataFrame, path: str) -> list[int]:
     """Write each new shard that gains or loses documents to ``path/shard=j`` and leave the others' files alone.
 
@@ -122,7 +144,6 @@ def rewrite_affected(resharded: DataFrame, path: str) -> list[int]:
     by = resharded.groupBy("old_shard", "shard").agg(F.max("moved").alias("moved")).collect()
     left = {r["old_shard"] for r in by if r["moved"]}
     affected = sorted({r["shard"] for r in by if r["moved"] or r["old_shard"] in left})
-    spark = resharded.sparkSession
-    (resharded.where(F.col("shard").isin(affected)).repartition(F.col("shard"), F.pmod(F.col("slot"), F.lit(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))))
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path))
+    # a task has the blocks of an old shard that it placed, so a shard gets a file a task and no row moves again
+    resharded.where(F.col("shard").isin(affected)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
     return affected

@@ -1,6 +1,7 @@
 """The corpus operators against brute force, round trips and held-out accuracy, and on hard cases."""
 
 import hashlib
+import pathlib
 import random
 import re
 import zlib
@@ -123,6 +124,22 @@ def test_resharding_hard_and_rewrite(spark, tmp_path):
     assert sharding.reshard(empty(spark), F.lit(0)).count() == 0
 
 
+def test_resharding_rewrites_files(spark, docs):
+    from quillon.session import shared_dir
+
+    written = lambda: {p for p in pathlib.Path(shared_dir(spark).removeprefix("file://")).glob("shards-*")}
+    before = written()
+    rows = queries.op1_resharding(spark, SF).collect()
+    (path,) = written() - before
+    got = spark.read.parquet(str(path))
+    at = {r.doc_id: (r.shard, r.slot) for r in rows}
+    texts = {r.doc_id: tuple(r) for r in docs.collect()}
+    own = got.collect()
+    assert set(docs.columns) <= set(got.columns) and all(tuple(r[c] for c in docs.columns) == texts[r.doc_id] and at[r.doc_id] == (r.shard, r.slot) for r in own)
+    affected = {r.shard for r in own}
+    assert sorted(r.doc_id for r in own) == sorted(r.doc_id for r in rows if r.shard in affected) and affected >= {r.shard for r in rows if r.moved}
+
+
 # --- 2 ---------------------------------------------------------------------------------------------------------------------------
 
 
