@@ -416,20 +416,14 @@ def test_language_hard(spark):
 
 
 def removed_by_brute_force(rows, width=12, threshold=0.8):
-    """(doc, place) of the lines to remove, of rows (doc_id, text) with different ids."""
+    """(doc, place) of the lines to remove, of rows (doc_id, text) with different ids: by the shingles at every character."""
     places = [(i, k, line) for i, t in rows for k, line in enumerate((t or "").split("\n")) if re.search(r"[^ \t\n\x0b\f\r]", line)]
-    lines, sets, owners = sorted({p[2] for p in places}), Sets(), defaultdict(set)
-
-    def shingles(line):
-        dense = len(line.encode()) >= 2 * len(line)
-        pattern = rf"(?s){'' if dense else '[ \t\n\x0b\f\r]'}(?=([^ \t\n\x0b\f\r].{{{width - 1}}}))"
-        return set(re.findall(pattern, line if dense else " " + line)) or {line}
-
-    own = {line: shingles(line) for line in lines}
-    for line in lines:
-        for s in own[line]:
+    sets, owners = Sets(), defaultdict(set)
+    own = {line: {line[i : i + width] for i in range(max(1, len(line) - width + 1))} for line in {p[2] for p in places}}
+    for line, found in own.items():
+        for s in found:
             owners[s].add(line)
-    for a, b in {(a, b) for o in owners.values() for a in o for b in o if a < b}:
+    for a, b in {(a, b) for o in owners.values() for a in o for b in o if a < b and min(len(own[a]), len(own[b])) >= threshold * max(len(own[a]), len(own[b]))}:
         both = len(own[a] & own[b])
         if both >= threshold * (len(own[a]) + len(own[b]) - both):
             sets.join(a, b)
@@ -452,24 +446,6 @@ def test_lines_against_brute_force(spark, texts):
     assert all(got[i].text == (t if t.strip() else "") for i, t in want.items()) and sum(r.n_removed for r in got.values()) == len(gone)
 
 
-def removed_by_every_character(rows, width=12, threshold=0.8):
-    """As removed_by_brute_force, by the shingles at every character."""
-    places = [(i, k, line) for i, t in rows for k, line in enumerate((t or "").split("\n")) if re.search(r"[^ \t\n\x0b\f\r]", line)]
-    sets, owners = Sets(), defaultdict(set)
-    own = {line: {line[i : i + width] for i in range(max(1, len(line) - width + 1))} for line in {p[2] for p in places}}
-    for line, found in own.items():
-        for s in found:
-            owners[s].add(line)
-    for a, b in {(a, b) for o in owners.values() for a in o for b in o if a < b and min(len(own[a]), len(own[b])) >= threshold * max(len(own[a]), len(own[b]))}:
-        both = len(own[a] & own[b])
-        if both >= threshold * (len(own[a]) + len(own[b]) - both):
-            sets.join(a, b)
-    first = {}
-    for i, k, line in sorted(places, key=lambda p: p[:2]):
-        first.setdefault(sets.find(line), (i, k))
-    return {(i, k) for i, k, line in places if first[sets.find(line)] != (i, k)}
-
-
 def removed_by_stage(spark, rows):
     found = line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     keys = {r.k: r.doc_id for r in spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", F.xxhash64("doc_id", "text").alias("k")).collect()}
@@ -481,9 +457,10 @@ def test_lines_that_are_alike_at_word_starts_only_stay(spark):
     lines = [
         "https://example.com/a/one", "https://example.com/z/two/three", "Total amount due: 15", "Total amount due: 99", "1001,2024-01-01,alpha,3.50", "1001,2024-01-0x,omega,7.25,and,much,more",
         "aGVsbG8gd29ybGQgYWxsIHRoZSB3YXk=", "aGVsbG8gd29yeHh4eHh4eHh4eHh4eHg=", "日本語の mostly ascii text follows here one", "日本語の mostly ascii text follows here, another end of it",
+        "section number 1", "section number 2", "https://example.org/one", "https://example.org/two-different", "INTERNATIONALIZATION-A 7", "INTERNATIONALIZATION-B 9", "Total price 10", "Total price 99",
     ]
     rows = list(enumerate(lines))
-    assert removed_by_every_character(rows) == set() == removed_by_stage(spark, rows)
+    assert removed_by_brute_force(rows) == set() == removed_by_stage(spark, rows)
 
 
 def test_lines_against_every_character_shingles(spark, texts):
@@ -492,7 +469,7 @@ def test_lines_against_every_character_shingles(spark, texts):
         line = t.split("\n")[0]
         at = rng.randrange(max(1, len(line)))
         rows.append((6000 + k, line[:at] + "Z" + line[at + 1 :]))
-    assert removed_by_stage(spark, rows) == removed_by_every_character(rows)
+    assert removed_by_stage(spark, rows) == removed_by_brute_force(rows)
 
 
 def test_lines_that_differ_at_word_starts_are_linked(spark):
@@ -505,7 +482,7 @@ def test_lines_that_differ_at_word_starts_are_linked(spark):
         rows += [(10 * k, long), (10 * k + 1, "Q" + long[1:])]
         last = word(90)
         rows += [(10 * k + 2, f"x y {last}"), (10 * k + 3, f"u v {last}")]
-    want = removed_by_every_character(rows)
+    want = removed_by_brute_force(rows)
     assert len(want) == 120 and removed_by_stage(spark, rows) == want
 
 
