@@ -4,7 +4,8 @@ A bucket (a band's value) holds items that may be alike. At first every bucket n
 all its buckets, and its members are compared with that pivot alone, so work is in proportion to the members, whatever the size of the bucket. Links join items into components; a bucket whose
 members are one component is finished. In the others, up to ``pivots`` members outside the bucket's largest component are the next
 pivots, compared with everything that is not yet theirs: a stray that has been a pivot is settled. What is still open after ``rounds``
-of these is settled at once, strays against the members of other components.
+of these is settled at once, strays against the members of other components. With ``refine`` they meet in finer buckets for that:
+many items may share a bucket by a common passage alone, and those seldom share a finer one.
 """
 
 from __future__ import annotations
@@ -20,12 +21,13 @@ from quillon.llm.common import connected_components, materialize
 BITS = 1 << 24
 
 
-def link(members: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame, DataFrame], DataFrame]], rounds: int = 1, pivots: int = 8, carry: tuple[str, ...] = ()) -> DataFrame:
+def link(members: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame, DataFrame, bool], DataFrame]], rounds: int = 1, pivots: int = 8, carry: tuple[str, ...] = (), refine: str | None = None) -> DataFrame:
     """members: rows (id, buckets), a long and a list of different longs. Returns (node, comp) for the ids that have a link.
 
     ``prepare`` gets all (bucket, id) that share a bucket, and returns the comparison: of rows (bucket, id, comp) with rows
-    (bucket, x, x_comp) of the same bucket and another component it returns the linked (a, b). Columns of members that ``carry`` names
-    come along, as they are and with x_ before their names.
+    (bucket, x, x_comp) of the same bucket and another component it returns the linked (a, b). Its third argument is true in the last
+    round, where all strays are compared, so that it may rule out by bounds what it would else compare. Columns of members that ``carry`` names
+    come along, as they are and with x_ before their names. ``refine`` is SQL over these for an item's finer buckets, an array.
     """
     flat = members.select("id", F.explode("buckets").alias("bucket"), *carry)
     shared = materialize(flat.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "shared-buckets")
@@ -36,7 +38,7 @@ def link(members: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame,
     open_ = materialize(open_.join(degrees, "id"), "bucket-degrees")
     first = open_.groupBy("bucket").agg(F.max(F.struct("degree", "id", *carry)).alias("p"))
     first = materialize(first.select("bucket", F.col("p.id").alias("x"), F.col("p.id").alias("x_comp"), *[F.col(f"p.{c}").alias(f"x_{c}") for c in carry]), "pivots")
-    edges = materialize(compare(open_.select("bucket", "id", F.col("id").alias("comp"), *carry), first), "edges")
+    edges = materialize(compare(open_.select("bucket", "id", F.col("id").alias("comp"), *carry), first, False), "edges")
     used = first.select("bucket", F.col("x").alias("id"))
     open_ = open_.where("n > 2").select("bucket", "id", "degree", *carry)
     comps = connected_components(edges)
@@ -51,7 +53,10 @@ def link(members: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame,
         strays = materialize(strays, "strays")
         if strays.isEmpty():
             break
-        found = materialize(compare(named, strays.select("bucket", *[F.col(c).alias(n) for c, n in [("id", "x"), *[(c, f"x_{c}") for c in ("comp", *carry)]]])), "edges")
+        rows, pivots_ = named, strays
+        if refine and k == rounds:
+            rows, pivots_ = finer(named, strays, refine, carry)
+        found = materialize(compare(rows, pivots_.select("bucket", *[F.col(c).alias(n) for c, n in [("id", "x"), *[(c, f"x_{c}") for c in ("comp", *carry)]]]), k == rounds), "edges")
         used, open_ = used.union(strays.select("bucket", "id")), named.select("bucket", "id", "degree", *carry)
         if not found.isEmpty():
             edges = edges.union(found)
@@ -59,6 +64,16 @@ def link(members: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame,
     return comps
 
 
+def finer(named: DataFrame, strays: DataFrame, refine: str, carry: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """The rows (bucket, id, comp) of the finer buckets that hold a stray and another component, and the strays among them."""
+    items = named.select("id", "comp", *carry).dropDuplicates(["id"]).join(strays.select("id", F.lit(True).alias("stray")).distinct(), "id", "left")
+    items = materialize(items.withColumn("stray", F.coalesce("stray", F.lit(False))), "open-items")
+    flat = items.select("id", "comp", "stray", F.explode(F.expr(refine)).alias("bucket"))
+    mixed = flat.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("stray").alias("any")).where("lo < hi and any").select("bucket")
+    rows = materialize(flat.join(mixed, "bucket"), "finer-buckets").join(items.select("id", *carry), "id")
+    return rows, rows.where("stray")
+
+
 def bitmap(keys: DataFrame, key: str) -> DataFrame:
     """The set of a long column's values, hashed to a fixed number of bits: at most 512 rows (_lm_bucket, _lm_words).
 

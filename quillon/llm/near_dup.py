@@ -133,32 +133,28 @@ def band_keys(signatures: np.ndarray, bands: int) -> np.ndarray:
 
 
 def sketches(signatures: np.ndarray) -> np.ndarray:
-    """Four bits of each coordinate, 16 coordinates to a 64-bit number."""
+    """Four bits of each coordinate by planes: for every 64 coordinates four 64-bit numbers, of the first bits, the second and so on."""
     n, k = signatures.shape
-    nibbles = np.zeros((n, -(-k // 16) * 16), U)
-    nibbles[:, :k] = signatures & U(15)
-    return (nibbles.reshape(n, -1, 16) << (U(4) * np.arange(16, dtype=U))).sum(axis=2, dtype=U).view(np.int64)
+    padded = np.zeros((n, -(-k // 64) * 64), U)
+    padded[:, :k] = signatures & U(15)
+    groups = padded.reshape(n, -1, 1, 64) >> np.arange(4, dtype=U)[None, None, :, None] & U(1)
+    return (groups << np.arange(64, dtype=U)).sum(axis=3, dtype=U).reshape(n, -1).view(np.int64)
 
 
 def differing(words: int) -> str:
-    """SQL for the number of coordinates in which the sketches ``sketch`` and ``x_sketch`` differ."""
-    terms = []
-    for i in range(words):
-        z = f"(sketch[{i}] ^ x_sketch[{i}])"
-        pairs = f"({z} | shiftrightunsigned({z}, 1))"
-        terms.append(f"bit_count(({pairs} | shiftrightunsigned({pairs}, 2)) & 1229782938247303441)")  # the low bit of every nibble
-    return " + ".join(terms)
+    """SQL for the number of coordinates in which the sketches ``sketch`` and ``x_sketch`` differ. Every number is read once: a longer expression would not be compiled."""
+    return " + ".join("bit_count(" + " | ".join(f"(sketch[{k}] ^ x_sketch[{k}])" for k in range(i, i + 4)) + ")" for i in range(0, words, 4))
 
 
 def classes(docs: DataFrame, bands: int = 20, rows: int = 5, threshold: float = 0.8, words: int = 5, coordinates: int = 320) -> DataFrame:
     """Per row: doc_id, text_md5, class_id (the least doc_id of the class) and kept (true for one row of each class).
 
     Bands use the first bands * rows of the coordinates. Members of a bucket whose sketches (four bits a coordinate) agree in fewer
-    coordinates than a pair at the threshold does, less 3.3 standard deviations, are not looked at further: one true pair in 2000.
+    coordinates than a pair at the threshold does, less 4.5 standard deviations, are not looked at further: one true pair in 100,000.
     """
     small_batches(docs.sparkSession)
     agree = threshold + (1 - threshold) / 16
-    most = math.floor(coordinates * (1 - agree) + 3.3 * math.sqrt(coordinates * agree * (1 - agree)))
+    most = math.floor(coordinates * (1 - agree) + 4.5 * math.sqrt(coordinates * agree * (1 - agree)))
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,6 +185,10 @@ def classes(docs: DataFrame, bands: int = 20, rows: int = 5, threshold: float =
     def packed(text):  # noqa: ANN001, ANN202
         return text.map(lambda t: cells(t, words).tobytes())
 
+    @F.pandas_udf("array<bigint>")
+    def cell_list(cells_):  # noqa: ANN001, ANN202
+        return cells_.map(lambda c: np.frombuffer(c, np.int64))
+
     @F.pandas_udf("double")
     def similarity(x, y):  # noqa: ANN001, ANN202
         import pandas as pd
@@ -209,8 +209,21 @@ def classes(docs: DataFrame, bands: int = 20, rows: int = 5, threshold: float =
         held = materialize(texts.select("id", packed("text").alias("cells")).dropDuplicates(["id"]), "shingles")
         tested: list[DataFrame] = []
 
-        def compare(rows: DataFrame, others: DataFrame) -> DataFrame:
-            pairs = rows.join(others, "bucket").where(f"comp <> x_comp and {differing(-(-coordinates // 16))} <= {most}").select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
+        def bounded(rows: DataFrame) -> DataFrame:
+            """(id, cells_n, shared_n): how many cells an item has, and how many of them another item of ``rows`` has too."""
+            ids = rows.select("id").distinct()
+            own = materialize(maybe_in(held, "id", bitmap(ids, "id")).join(ids, "id").select("id", F.explode(cell_list("cells")).alias("cell")), "open-cells")
+            twice = own.groupBy("cell").agg(F.count("*").alias("c")).where("c > 1").select("cell", F.lit(1).alias("again"))
+            return materialize(own.join(twice, "cell", "left").groupBy("id").agg(F.count("*").alias("cells_n"), F.count("again").alias("shared_n")), "open-bounds")
+
+        def compare(rows: DataFrame, others: DataFrame, last: bool) -> DataFrame:
+            test = f"comp <> x_comp and {differing(4 * -(-coordinates // 64))} <= {most}"
+            if last:  # every stray meets every member: cells that no other item has cannot be common, so most pairs need no comparison
+                bounds = bounded(rows)
+                rows = rows.join(bounds, "id")
+                others = others.join(bounds.selectExpr("id as x", "cells_n as x_cells_n", "shared_n as x_shared_n"), "x")
+                test += f" and least(shared_n, x_shared_n) >= {threshold} * (cells_n + x_cells_n - least(shared_n, x_shared_n))"
+            pairs = rows.join(others, "bucket").where(test).select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
             for done in tested:
                 pairs = pairs.join(done, ["a", "b"], "left_anti")
             pairs = materialize(pairs, "pairs")
@@ -224,7 +237,10 @@ def classes(docs: DataFrame, bands: int = 20, rows: int = 5, threshold: float =
 
         return compare
 
-    comps = link(members, prepare, carry=("sketch",))
+    # eight coordinates each make 40 bands, in one of which a pair at the threshold meets but for one in 5000
+    planes = ", ".join(f"shiftrightunsigned(sketch[4 * (i div 8) + {p}], 8 * (i % 8)) & 255" for p in range(4))
+    finer = f"transform(sequence(0, {coordinates // 8 - 1}), i -> xxhash64(i, {planes}))"
+    comps = link(members, prepare, carry=("sketch",), refine=finer)
     named = rows_.select("doc_id", "text_md5", "_lm_row", text_key.alias("_lm_text")).join(reps, "_lm_text").join(comps, F.col("id") == F.col("node"), "left")
     named = materialize(named.select("doc_id", "text_md5", "_lm_row", F.coalesce("comp", "id").alias("_lm_class")), "near-classes")
     first = named.groupBy("_lm_class").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_lm_row")).getField("_lm_row").alias("_lm_first"))

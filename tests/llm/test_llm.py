@@ -385,7 +385,7 @@ def test_links_of_strays_are_found(spark):
     edges = spark.createDataFrame([(min(p), max(p)) for p in linked], "a long, b long")
 
     def prepare(_):
-        return lambda rows, others: rows.join(others, "bucket").where("comp <> x_comp").select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct().join(edges, ["a", "b"], "left_semi")
+        return lambda rows, others, last: rows.join(others, "bucket").where("comp <> x_comp").select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct().join(edges, ["a", "b"], "left_semi")
 
     for pivots in (1, 8):
         got = {r.node: r.comp for r in linking.link(members, prepare, pivots=pivots).collect()}
