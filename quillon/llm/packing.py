@@ -2,10 +2,11 @@
 
 Lengths are whole numbers up to the capacity, so the program has at most ``capacity`` rows whatever the number of documents,
 and only the histogram reaches the driver. Its columns are configurations (what one sequence holds). Multiplicative weights
-solve it: each round prices the best configuration by an unbounded-knapsack dynamic program over the capacity, then lowers
-the weights of the lengths it serves. The fractional solution is rounded down; what is left over is placed by best fit
-decreasing, on counts, not on items. Pieces then find their places by arithmetic: the i-th piece of a length goes to the
-sequence and offset that the plan gives to that number.
+solve it: a round prices all rooms by an unbounded-knapsack dynamic program, adds configurations priced within ``tolerance`` of
+the best, and lowers the weights of the lengths that they cover. Weights over the best price are a dual solution, and so a
+lower bound. The fractional solution is rounded with the remainder carried from one configuration to the next; what is left over
+is placed by best fit decreasing, on counts, not on items. Pieces then find their places by arithmetic: the i-th piece of a length
+goes to the sequence and offset that the plan gives to that number.
 
 Null and empty texts give one piece holding the end id. Repeated rows are separate documents. Other columns are not read.
 An empty table gives an empty result.
@@ -13,9 +14,11 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -47,68 +50,121 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def best_configuration(weights: np.ndarray, capacity: int) -> Pattern:
-    """The configuration of greatest weight: unbounded knapsack over the capacity. weights[l] is that of length l."""
+def knapsack(weights: np.ndarray, capacity: int) -> np.ndarray:
+    """The greatest weight that each room up to the capacity can hold, any length any number of times. weights[l] is that of length l."""
     lengths = np.flatnonzero(weights > 0)
-    value, choice = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    worth = weights[lengths]
-    for c in range(1, capacity + 1):
-        k = int(np.searchsorted(lengths, c, "right"))
-        value[c], choice[c] = value[c - 1], 0
-        if k:
-            sums = worth[:k] + value[c - lengths[:k]]
-            at = int(np.argmax(sums))
-            if sums[at] > value[c]:
-                value[c], choice[c] = sums[at], lengths[at]
-    held: dict[int, int] = defaultdict(int)
-    c = capacity
-    while c > 0:
-        if choice[c]:
-            held[int(choice[c])] += 1
-            c -= int(choice[c])
-        else:
-            c -= 1
-    return tuple(sorted(held.items(), reverse=True))
-
-
-def solve(counts: dict[int, int], capacity: int, rounds: int = 100, step: float = 0.25) -> list[tuple[Pattern, int]]:
-    """Configurations and how often each is used, together holding every item exactly once.
-
-    Work and memory depend on the capacity and ``rounds``, not on the counts.
+    worth, value = weights[lengths], np.zeros(capacity + 1)
+    for room in range(1, capacity + 1):
+        k = int(np.searchsorted(lengths, room, "right"))
+        value[room] = max(value[room - 1], (worth[:k] + value[room - lengths[:k]]).max()) if k else value[room - 1]
+    return value
+
+
+class Program(NamedTuple):
+    """A fractional solution: how often each configuration is used, how far its price is below the best, and a lower bound of any solution."""
+
+    used: dict[Pattern, float]
+    gap: dict[Pattern, float]
+    bound: float
+
+
+def configuration_program(need: np.ndarray, capacity: int, rounds: int = 16, step: float = 0.34, rate: float = 0.25, tolerance: float = 0.02) -> Program:
+    """Cover need[l] items of each length l by as few sequences as can be.
+
+    A round covers at most the share ``step`` of a length's need, so that no length is covered far ahead of the others. Every length
+    starts configurations of its own; the rest of the room goes to lengths with need left in this round, by their weight and by
+    the value of the room that they leave. It ends when all is covered or a round adds nothing.
     """
-    left = np.zeros(capacity + 1, np.int64)
-    for length, n in counts.items():
-        left[length] = n
-    plan: list[tuple[Pattern, int]] = []
-    if left[capacity]:
-        plan.append((((capacity, 1),), int(left[capacity])))
-        left[capacity] = 0
-    need = left.astype(float)
-    # Multiplicative weights on the covering program: cover[l] >= need[l] for each length at the least number of sequences.
-    # A round uses its configuration as far as one of its lengths gains ``step`` of its need; weights fall as cover grows.
-    cover, used = np.zeros(capacity + 1), defaultdict(float)
-    alive = need > 0
-    size = np.arange(capacity + 1) / capacity
-    for _ in range(rounds if alive.any() else 0):
-        share = np.where(alive, cover / np.maximum(need, 1), 0)
-        weights = np.where(alive & (share < 1), size * np.exp(-share / 4), 0)
-        if not weights.any():
+    some, size = need > 0, np.arange(capacity + 1) / capacity
+    cover, bound = np.zeros(capacity + 1), 0.0
+    used: dict[Pattern, float] = defaultdict(float)
+    gap: dict[Pattern, float] = {}
+    for _ in range(rounds):
+        share = np.where(some, cover / np.maximum(need, 1), 0)
+        weights = np.where(some, size * np.exp(-rate * share), 0)
+        value = knapsack(weights, capacity)
+        best = value[capacity]
+        if best > 0:
+            bound = max(bound, float((need * weights).sum() / best))
+        left = np.where(some, np.minimum(step * need, need - cover), 0)
+        alive, before = np.flatnonzero(left > 1e-9)[::-1], sum(used.values())
+        for length in alive.tolist():
+            while left[length] > 1e-9:
+                held: dict[int, int] = defaultdict(int)
+                held[length], room = 1, capacity - length
+                alive = alive[left[alive] > 1e-9]
+                while len(fit := alive[np.searchsorted(-alive, -room) :]):
+                    take = int(fit[np.argmax(weights[fit] + value[room - fit])])
+                    held[take] += 1
+                    room -= take
+                below = 1 - sum(weights[k] * n for k, n in held.items()) / best
+                if below > tolerance:
+                    break
+                config = tuple(sorted(held.items(), reverse=True))
+                amount = min(left[k] / n for k, n in config)
+                used[config] += amount
+                gap[config] = min(below, gap.get(config, below))
+                for k, n in config:
+                    left[k] -= amount * n
+                    cover[k] += amount * n
+        if sum(used.values()) <= before:
             break
-        config = best_configuration(weights, capacity)
-        amount = min(need[length] * max(step, 1 - share[length]) / n for length, n in config)
-        used[config] += amount
-        for length, n in config:
-            cover[length] += amount * n
-    for config, amount in sorted(used.items(), key=lambda x: (-x[1], x[0])):
-        times = min([int(amount), *(int(left[length]) // n for length, n in config)])
+    return Program(used, gap, bound)
+
+
+def rounded(program: Program, left: np.ndarray, most: float) -> list[tuple[Pattern, int]]:
+    """Whole uses of the configurations, best priced first, as far as items are left and until ``most`` sequences are placed; ``left`` is lowered by them."""
+    plan, carried, placed = [], 0.0, 0
+    for config, amount in sorted(program.used.items(), key=lambda x: (round(program.gap[x[0]], 4), -x[1], x[0])):
+        if placed >= most:
+            break
+        carried = min(carried + amount, amount + 1)
+        times = min([int(carried + 1e-9), *(int(left[length]) // n for length, n in config)])
         if times > 0:
+            carried -= times
+            placed += times
             plan.append((config, times))
             for length, n in config:
                 left[length] -= n * times
-    plan += best_fit_decreasing(left, capacity)
     return plan
 
 
+class Plan(NamedTuple):
+    """Configurations and how often each is used, together holding every item once; how many sequences the program placed; the lower bound."""
+
+    configs: list[tuple[Pattern, int]]
+    placed: int
+    bound: int
+
+
+def solve(counts: dict[int, int], capacity: int) -> Plan:
+    """Work and memory depend on the capacity, not on the counts.
+
+    The program places all that it can first, then less of it, down to somewhat more than half of the bound, until the plan meets the
+    bound; else the best of these plans is taken. Best fit places the rest.
+    """
+    need = np.zeros(capacity + 1, np.int64)
+    for length, n in counts.items():
+        need[length] = n
+    full = [(((capacity, 1),), int(need[capacity]))] if need[capacity] else []
+    need[capacity] = 0
+    program = configuration_program(need.astype(float), capacity)
+    least = math.ceil(program.bound - 1e-6)
+    best: tuple[int, list[tuple[Pattern, int]], int] | None = None
+    for share in (1.0, 0.8, 0.65, 0.55):
+        left = need.copy()
+        plan = rounded(program, left, share * program.bound)
+        placed = sum(times for _, times in plan)
+        plan += best_fit_decreasing(left, capacity)
+        total = sum(times for _, times in plan)
+        if best is None or total < best[0]:
+            best = (total, plan, placed)
+        if total <= least:
+            break
+    more = sum(times for _, times in full)
+    return Plan(full + best[1], best[2] + more, least + more)
+
+
 def best_fit_decreasing(left: np.ndarray, capacity: int) -> list[tuple[Pattern, int]]:
     """Best fit decreasing for counts: open sequences of equal content are one group, so the cost follows the distinct lengths."""
     open_by_room: list[dict[Pattern, int]] = [defaultdict(int) for _ in range(capacity + 1)]
@@ -151,7 +207,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     buckets = max(1, -(-cut.count() // bucket_rows))
     cut = cut.withColumn("_lm_b", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
     counts = materialize(cut.groupBy("length", "_lm_b").count(), "piece-counts")
-    plan = solve({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}, capacity)
+    plan = solve({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}, capacity).configs
 
     by_length: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
     reach: dict[int, int] = defaultdict(int)
