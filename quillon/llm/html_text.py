@@ -1,13 +1,15 @@
 """Main text of web pages by line-block distribution.
 
-A page is laid out as lines, one a block element. A line inside boilerplate (navigation, header, footer, sidebar, notice,
-advert, form, comments: by element, role, class or id) and a line that is mostly links have length zero. The lengths are
-summed over a sliding window of lines; the text starts at a surge, where the sum rises from nothing, and ends at a dive, where
-it falls back; the lines with text between are kept. On a page with <article> or <main> elements only lines in them count;
-elsewhere a stretch must also reach ``least`` characters.
+A page is laid out as lines, one a block element; markup goes, and with it what an element, role, class or id says is boilerplate
+(navigation, header, footer, sidebar, notice, advert, form, comments). What says nothing is judged by the distribution of text: a
+line's length is its characters outside links, or zero if most are in links, and on a page with <article> or <main> elements zero
+for lines outside them. The lengths are summed over a sliding window of lines. The text starts at a surge, a line of its own text
+where the sum rises from nothing, and ends at a dive, where the sum falls back to nothing; all lines between are kept. So a list of
+links as long as the window goes, in an article too, and a line of links between paragraphs stays. On a page without <article> and
+<main> a stretch whose sums stay below ``least`` goes too, unless the page has no stronger one.
 
 A null or empty page, and one without any main text, gives the empty string. Repeated rows are separate pages. Other columns
-are not read. Unclosed and truncated markup is read as far as it goes.
+are not read. Unclosed and truncated markup is read as far as it goes; <body> ends a head that was not closed.
 """
 
 from __future__ import annotations
@@ -55,6 +57,8 @@ class Lines(HTMLParser):
             self.parts.append(" ")
         if tag in VOID:
             return
+        if tag == "body" and any(x[0] == "head" for x in self.open):
+            self.handle_endtag("head")
         marks = {w for k, v in attrs if v and k in ("class", "id", "role") for w in WORD.findall(v.lower())} if attrs else ()
         header = self.main > 0 and (tag == "header" or "header" in marks)
         drops = not header and tag not in ("html", "body", *MAIN) and (tag in DROPPED or any(w in MARKS for w in marks) or ("hidden", "") in attrs or ("hidden", None) in attrs)
@@ -87,19 +91,20 @@ class Lines(HTMLParser):
                 self.links += len(data.strip())
 
 
-def stretches(lengths: list[int], window: int, least: int) -> list[tuple[int, int]]:
-    """Stretches [surge, dive) of lines: where the sum over the next ``window`` lines is above zero, if its peak reaches ``least``."""
+def stretches(lengths: list[int], window: int) -> list[tuple[int, int, int]]:
+    """(surge, dive, peak): from a line with a length, where the sum over ``window`` lines from it on rises from nothing, to where it is nothing again."""
     found, start, peak = [], None, 0
-    sums = [sum(lengths[i : i + window]) for i in range(len(lengths))] + [0]
-    for i, total in enumerate(sums):
-        if total and start is None:
+    total = sum(lengths[: window - 1])
+    for i in range(len(lengths) + 1):
+        total += lengths[i + window - 1] if i + window - 1 < len(lengths) else 0
+        if start is None and total and lengths[i]:
             start, peak = i, 0
         if start is not None:
             peak = max(peak, total)
             if not total:
-                if peak >= least:
-                    found.append((start, i))
+                found.append((start, i, peak))
                 start = None
+        total -= lengths[i] if i < len(lengths) else 0
     return found
 
 
@@ -111,8 +116,10 @@ def main_text(html: str | None, window: int = 3, least: int = 80) -> str:
     page.close()
     page.end_line()
     inside = any(main for _, _, main in page.lines)
-    lengths = [0 if (inside and not main) or (not main and 2 * links > len(text)) else len(text) for text, links, main in page.lines]
-    kept = [page.lines[i][0] for a, b in stretches(lengths, window, 1 if inside else least) for i in range(a, b) if lengths[i]]
+    lengths = [0 if (inside and not main) or 2 * links > len(text) else len(text) - links for text, links, main in page.lines]
+    found = stretches(lengths, window)
+    enough = 0 if inside else min(least, max((peak for _, _, peak in found), default=0))
+    kept = [page.lines[i][0] for surge, dive, peak in found if peak >= enough for i in range(surge, dive) if page.lines[i][2] or not inside]
     return "\n\n".join(kept)
 
 
