@@ -1,13 +1,17 @@
 """Language identification by the nearest of several centroids a language.
 
-A text is the vector of its hashed letter n-grams (one to three letters of a word, its edges marked), weighted by term frequency
-and inverse document frequency and normalised. Each language has a few centroids, clustered from a bounded sample of labelled
-documents: ``per_language`` of them, those with the least hash of their id. A text goes to the language of the centroid of
-greatest cosine; a text without letters, and with ``max_distance`` one farther from every centroid than that, is rejected
-(``und``). The sample bounds the fit only; every document is judged, on its whole text.
+A text is the vector of its letter n-grams (one to three letters of a word, its edges marked), weighted by term frequency and inverse
+document frequency and normalised. The ``DIMS`` n-grams that most sampled documents have are its coordinates; the others count in
+its length, as much on average as these, so that a text of a script that was never learned lies far from every centroid however long it
+is. Each language has a few centroids, clustered from a bounded sample of labelled documents: ``per_language`` of them, those with the
+least hash of their id. A text goes to the language of the centroid of greatest cosine; a text without letters, and with
+``max_distance`` one farther from every centroid than that, is rejected (``und``). ``Model.limit`` is a distance learned for this: half
+the least cosine of a sampled document. The sample bounds the fit only; every document is judged, on its whole text.
 
 Null text is rejected. Documents with null lang are never learned from. A null doc_id counts as the empty string for the hash
-of the fold. Repeated rows are judged alike. With nothing to learn from, all are rejected. Other columns are not read.
+of the fold. Repeated rows are judged alike. With nothing to learn from, all are rejected. Other columns are not read. A text of more
+than ``CHUNK`` characters is read in chunks cut at spaces where there are any; a cut elsewhere counts as the end of a word. More than
+``max_languages`` labels are an error, since each has its share of the sample on the driver.
 """
 
 from __future__ import annotations
@@ -25,6 +29,9 @@ from pyspark.sql import functions as F
 from quillon.llm.common import small_batches
 
 DIMS = 4096
+#: n-grams are hashed to so many numbers before the coordinates are chosen.
+SLOTS = 1 << 20
+CHUNK = 1 << 18
 UNKNOWN = "und"
 _letters: list[np.ndarray] = []
 
@@ -35,9 +42,19 @@ def letters() -> np.ndarray:
     return _letters[0]
 
 
-def counts(text: str | None) -> np.ndarray:
-    """How often each hashed n-gram occurs in the whole text; all zero if it has no letter."""
-    codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), "<u4")
+def chunks(text: str) -> Iterator[str]:
+    at = 0
+    while len(text) - at > CHUNK:
+        cut = text.rfind(" ", at + 1, at + CHUNK)
+        cut = cut if cut > at else at + CHUNK
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
+def slots(text: str) -> np.ndarray:
+    """The hashed n-grams of a chunk, each as often as it occurs."""
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
     codes = np.where(letters()[codes], codes, 0).astype(np.uint64) if len(codes) else codes.astype(np.uint64)
     codes = np.concatenate([[0], codes, [0]]).astype(np.uint64)
     keep = np.ones(len(codes), bool)
@@ -50,18 +67,26 @@ def counts(text: str | None) -> np.ndarray:
     grams = np.concatenate([singles, pairs if inner.any() else pairs[:0], triples])
     grams ^= grams >> np.uint64(29)
     grams *= np.uint64(0xBF58476D1CE4E5B9)
-    return np.bincount((grams >> np.uint64(40)).astype(np.int64) % DIMS, minlength=DIMS)
+    return (grams >> np.uint64(44)).astype(np.int64)
 
 
 class Model(NamedTuple):
+    table: np.ndarray  # the coordinate of each slot, DIMS if it has none
     idf: np.ndarray
     centroids: np.ndarray
     languages: list[str]
+    limit: float
 
     def vector(self, text: str | None) -> np.ndarray | None:
-        x = np.log1p(counts(text)) * self.idf
+        """The unit vector, shorter by what the coordinates leave out; null if the text has no letter."""
+        n = np.zeros(DIMS + 1, np.int64)
+        for chunk in chunks(text or ""):
+            n += np.bincount(self.table[slots(chunk)], minlength=DIMS + 1)
+        if not (total := n.sum()):
+            return None
+        x = np.log1p(n[:DIMS]) * self.idf
         norm = np.sqrt(x @ x)
-        return x / norm if norm else None
+        return x / norm * np.sqrt(1 - n[DIMS] / total) if norm else x
 
     def judge(self, text: str | None, max_distance: float | None) -> tuple[str, float]:
         x = self.vector(text)
@@ -92,39 +117,56 @@ def fold(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")), F.lit(0)) % 5
 
 
-def fit(labelled: DataFrame, per_language: int = 250, per_centroid: int = 4) -> Model:
-    """Learn from columns doc_id, text, lang. per_language bounds the sample, and with it what reaches the driver."""
+def fit(labelled: DataFrame, per_language: int = 250, per_centroid: int = 4, max_languages: int = 500) -> Model:
+    """Learn from columns doc_id, text, lang. per_language and max_languages bound the sample, and with it what reaches the driver."""
     rows = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id").alias("_lm_h"))
     chosen = rows.select("lang", "_lm_h").selectExpr("*", "row_number() over (partition by lang order by _lm_h) as _lm_r").where(F.col("_lm_r") <= per_language).select("lang", "_lm_h").distinct()
     sample = rows.join(F.broadcast(chosen), ["lang", "_lm_h"]).dropDuplicates(["lang", "_lm_h"])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [counts(x.as_py()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x.astype("<u4").tobytes() for x in found], pa.binary())], names=["lang", "_lm_h", "counts"])
-
-    got = sorted(sample.select("lang", "text", "_lm_h").mapInArrow(vectors, "lang string, _lm_h long, counts binary").collect(), key=lambda r: (r[0], r[1]))
+            found = [np.unique(np.concatenate([slots(c) for c in chunks(x.as_py())]), return_counts=True) for x in batch.column(1)]
+            columns = [pa.array([x[k].astype("<u4").tobytes() for x in found], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=["lang", "_lm_h", "slots", "counts"])
+
+    got = sample.select("lang", "text", "_lm_h").mapInArrow(vectors, "lang string, _lm_h long, slots binary, counts binary").limit(per_language * max_languages + 1).collect()
+    if len(got) > per_language * max_languages:
+        raise ValueError(f"more than {max_languages} languages: raise max_languages if the driver has room for their samples")
+    got = sorted(got, key=lambda r: (r[0], r[1]))
+    table = np.full(SLOTS, DIMS, np.int16)
     if not got:
-        return Model(np.ones(DIMS), np.zeros((0, DIMS)), [])
-    x = np.array([np.frombuffer(r["counts"], "<u4") for r in got]).astype(np.float64)
+        return Model(table, np.ones(DIMS), np.zeros((0, DIMS)), [], 1.0)
+    own = [(np.frombuffer(r["slots"], "<u4"), np.frombuffer(r["counts"], "<u4")) for r in got]
+    seen = np.zeros(SLOTS, np.int64)
+    for s, _ in own:
+        seen[s] += 1
+    common = np.argsort(-seen, kind="stable")[: min(DIMS, int((seen > 0).sum()))]
+    table[common] = np.arange(len(common))
+    x = np.zeros((len(own), DIMS + 1))
+    for k, (s, n) in enumerate(own):
+        np.add.at(x[k], table[s], n)
+    known = 1 - x[:, DIMS] / np.maximum(x.sum(axis=1), 1)
+    x = x[:, :DIMS]
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1
     x = np.log1p(x) * idf
     norms = np.linalg.norm(x, axis=1)
     langs = np.array([r["lang"] for r in got])
     centroids, names = [], []
     for lang in dict.fromkeys(langs.tolist()):
-        own = x[(langs == lang) & (norms > 0)] / norms[(langs == lang) & (norms > 0), None]
-        if len(own):
-            found = cluster(own, per_centroid)
+        rows_ = x[(langs == lang) & (norms > 0)] / norms[(langs == lang) & (norms > 0), None]
+        if len(rows_):
+            found = cluster(rows_, per_centroid)
             centroids += list(found)
             names += [lang] * len(found)
-    return Model(idf.astype(np.float32), np.array(centroids, np.float32).reshape(-1, DIMS), names)
+    held = np.array(centroids, np.float32).reshape(-1, DIMS)
+    cosines = (x[norms > 0] / norms[norms > 0, None] * np.sqrt(known[norms > 0, None]) @ held.T).max(axis=1) if len(held) else np.zeros(1)
+    return Model(table, idf.astype(np.float32), held, names, float(1 - cosines.min() / 2))
 
 
-def predict(docs: DataFrame, model: Model, max_distance: float | None = None) -> DataFrame:
-    """All columns of docs, with lang_pred and score (cosine of the nearest centroid) in place of any so named."""
+def predict(docs: DataFrame, model: Model, max_distance: float | None = None, into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of docs, and the language and score (cosine of the nearest centroid) under the names ``into``, in place of any so named."""
     small_batches(docs.sparkSession)
-    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    kept = [c for c in docs.columns if c.lower() not in into]
 
     @F.pandas_udf("lang string, score double")
     def judged(texts):  # noqa: ANN001, ANN202
@@ -132,4 +174,4 @@ def predict(docs: DataFrame, model: Model, max_distance: float | None = None) ->
 
         return pd.DataFrame([model.judge(t, max_distance) for t in texts], columns=["lang", "score"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept], judged(F.col("text")).alias("_lm_j")).select(*[F.col(f"`{c}`") for c in kept], F.col("_lm_j.lang").alias("lang_pred"), F.col("_lm_j.score").alias("score"))
+    return docs.select(*[F.col(f"`{c}`") for c in kept], judged(F.col("text")).alias("_lm_j")).select(*[F.col(f"`{c}`") for c in kept], F.col("_lm_j.lang").alias(into[0]), F.col("_lm_j.score").alias(into[1]))
