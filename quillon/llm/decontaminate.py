@@ -6,8 +6,8 @@ finds exact piece hits, and each hit's surroundings are verified by Myers' bit-p
 lower case with runs of white space as one space. The budget is a ``piece_chars``-th of the item's length, less one (none for
 items shorter than two pieces), so pieces have at least ``piece_chars`` characters, but for items shorter than that.
 
-The benchmark goes to the executors in blocks of at most ``block_chars`` characters; a larger benchmark makes more passes in one
-plan. Null or blank items match nothing; null and empty texts hold nothing. Repeated items count each by its item_id; a null item_id
+The benchmark goes to the executors in blocks of at most ``block_chars`` characters, ``blocks_a_plan`` of them at a time; a larger
+benchmark makes more passes, whose hits are written to the shared folder, so that neither driver nor worker holds it whole. Null or blank items match nothing; null and empty texts hold nothing. Repeated items count each by its item_id; a null item_id
 shows as null in the list. An empty benchmark leaves all clean. Columns of the input are carried on.
 """
 
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import small_batches
+from quillon.llm.common import materialize, small_batches
 
 Item = tuple[int | None, str, int]  # item_id, text, error budget
 
@@ -98,7 +98,18 @@ class Matcher:
         return found
 
 
+#: The matchers of the plan at work, by block; another plan's are dropped, so a worker never keeps more than one plan's.
 _matchers: dict[str, Matcher] = {}
+_plan: list[str] = []
+
+
+def matcher(plan: str, name: str, block: list[Item]) -> Matcher:
+    if _plan != [plan]:
+        _matchers.clear()
+        _plan[:] = [plan]
+    if name not in _matchers:
+        _matchers[name] = Matcher(block)
+    return _matchers[name]
 
 
 def blocks(benchmark: DataFrame, piece_chars: int, block_chars: int) -> Iterator[list[Item]]:
@@ -115,28 +126,29 @@ def blocks(benchmark: DataFrame, piece_chars: int, block_chars: int) -> Iterator
         yield block
 
 
-def matches(text: Column, block: list[Item], name: str) -> Column:
+def matches(text: Column, block: list[Item], plan: str, name: str) -> Column:
     """An array of structs (item_id, distance) for one block of items."""
 
     @F.pandas_udf("array<struct<item_id: bigint, distance: int>>")
     def found(texts):  # noqa: ANN001, ANN202
-        if name not in _matchers:
-            _matchers[name] = Matcher(block)
-        own = _matchers[name]
+        own = matcher(plan, name, block)
         return texts.map(lambda t: [{"item_id": block[k][0], "distance": d} for k, d in own.find(t).items()])
 
     return found(text)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, piece_chars: int = 16, block_chars: int = 4_000_000) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, piece_chars: int = 16, block_chars: int = 4_000_000, blocks_a_plan: int = 2) -> DataFrame:
     """``docs`` with contaminated (boolean), item_ids (sorted) and distance (least number of edits; null if clean)."""
     small_batches(docs.sparkSession)
-    out, run, columns = docs, uuid.uuid4().hex, []
+    none = F.expr("cast(array() as array<struct<item_id: bigint, distance: int>>)")
+    out, plan, columns = docs.withColumn("_lm_hits", none), uuid.uuid4().hex, []
     for k, block in enumerate(blocks(benchmark, piece_chars, block_chars)):
+        if len(columns) == blocks_a_plan:  # what these blocks found is written down, and they are let go
+            out = materialize(out.withColumn("_lm_hits", F.concat("_lm_hits", *columns)).drop(*columns), "benchmark-hits")
+            plan, columns = uuid.uuid4().hex, []
         columns.append(f"_lm_hits_{k}")
-        out = out.withColumn(columns[-1], matches(F.col("text"), block, f"{run}-{k}"))
-    hits = F.concat(*columns) if columns else F.expr("cast(array() as array<struct<item_id: bigint, distance: int>>)")
-    out = out.withColumn("_lm_hits", hits).drop(*columns)
+        out = out.withColumn(columns[-1], matches(F.col("text"), block, plan, columns[-1]))
+    out = out.withColumn("_lm_hits", F.concat("_lm_hits", *columns)).drop(*columns)
     added = {"contaminated": F.size("_lm_hits") > 0, "item_ids": F.sort_array(F.col("_lm_hits.item_id")), "distance": F.array_min(F.col("_lm_hits.distance"))}
     return out.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in added], *[v.alias(k) for k, v in added.items()])
 
