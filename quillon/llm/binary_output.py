@@ -4,7 +4,8 @@ File format: a folder of Parquet part files whose rows are self-contained blocks
 the ids of whole documents back to back (unsigned 16- or 32-bit little-endian) and the documents' end offsets as an
 Elias-Fano sequence: each offset's low bits packed at a fixed width, its high bits as unary gaps in a bit vector, and the
 position of every 64th set bit so that ``select`` starts near its answer. That is about 2 + log2(ids/documents) bits a
-document and no 64-bit offset table; the only 64-bit number is one base a block. Spark's committer writes the files, so a
+document and no 64-bit offset table. The documents' ids ascend, and are such a sequence too, above the block's first. The only
+64-bit numbers are two bases a block. Readers take offsets and ids by ``select``. Spark's committer writes the files, so a
 lost executor costs a task, and any store Spark can write will do.
 
 Empty text gives the end id alone, and so does null text. Null doc_ids come first. Repeated rows are separate documents, in
@@ -28,7 +29,9 @@ from quillon.llm.common import partitions, shared_dir
 from quillon.llm.tokens import encoder
 
 SAMPLE = 64
-BLOCK_SCHEMA = "part int, block int, part_base long, n_ids long, doc_ids array<bigint>, width int, ids binary, low_bits int, low binary, high binary, samples binary"
+BLOCK_SCHEMA = "part int, block int, part_base long, n_ids long, n_docs int, n_null int, id_base long, id_bits int, id_low binary, id_high binary, id_samples binary, width int, ids binary, low_bits int, low binary, high binary, samples binary"
+#: A block's document ids lie within this of its first.
+ID_RANGE = 1 << 62
 
 
 class EliasFano:
@@ -82,25 +85,34 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, base = TaskContext.get().partitionId(), 0, 0
         own, end = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
-        ids, chunks, size = [], [], 0
+        ids, chunks, size, low = [], [], 0, None
 
         def block() -> pa.RecordBatch:
             ends = np.cumsum([len(c) // 4 for c in chunks])
             joined = np.frombuffer(b"".join(chunks), "<u4")
             width = 2 if not len(joined) or joined.max() < 1 << 16 else 4
             ef = EliasFano.encode(ends, int(ends[-1]))
-            row = {"part": part, "block": number, "part_base": base, "n_ids": size, "doc_ids": ids, "width": width, "ids": joined.astype(f"<u{width}").tobytes(), "low_bits": ef.low_bits, "low": ef.low, "high": ef.high, "samples": ef.samples}
+            known = [i for i in ids if i is not None]
+            first = known[0] if known else 0
+            near = np.array([i - first for i in known], np.int64)
+            own_ids = EliasFano.encode(near, int(near[-1]) if known else 0)
+            row = {"part": part, "block": number, "part_base": base, "n_ids": size, "n_docs": len(ids), "n_null": len(ids) - len(known), "id_base": first, "id_bits": own_ids.low_bits, "id_low": own_ids.low, "id_high": own_ids.high, "id_samples": own_ids.samples, "width": width, "ids": joined.astype(f"<u{width}").tobytes(), "low_bits": ef.low_bits, "low": ef.low, "high": ef.high, "samples": ef.samples}
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
-        schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("part_base", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("width", pa.int32()), ("ids", pa.binary()), ("low_bits", pa.int32()), ("low", pa.binary()), ("high", pa.binary()), ("samples", pa.binary())])
+        kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+        schema = pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in BLOCK_SCHEMA.split(", "))])
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if low is not None and doc_id - low >= ID_RANGE:  # known ids come after the nulls
+                    yield block()
+                    base, number, ids, chunks, size, low = base + size, number + 1, [], [], 0, None
+                low = doc_id if low is None else low
                 chunks.append(own.ids(text.as_py()) + end)
                 ids.append(doc_id)
                 size += len(chunks[-1]) // 4
                 if size >= block_ids:
                     yield block()
-                    base, number, ids, chunks, size = base + size, number + 1, [], [], 0
+                    base, number, ids, chunks, size, low = base + size, number + 1, [], [], 0, None
         if ids:
             yield block()
 
@@ -121,14 +133,17 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                n = len(row["doc_ids"])
-                ends = EliasFano(n, row["low_bits"], row["low"], row["high"], row["samples"]).all()
+                n, nulls = row["n_docs"], row["n_null"]
+                bounds = EliasFano(n, row["low_bits"], row["low"], row["high"], row["samples"])
+                own_ids = EliasFano(n - nulls, row["id_bits"], row["id_low"], row["id_high"], row["id_samples"])
+                ends = np.array([bounds.select(i) for i in range(n)], np.int64)
+                doc_ids = [None] * nulls + [row["id_base"] + own_ids.select(i) for i in range(n - nulls)]
                 starts = np.concatenate([[0], ends[:-1]])
                 joined = memoryview(np.frombuffer(row["ids"], f"<u{row['width']}").astype("<u4").tobytes())
                 crc = [zlib.crc32(joined[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(starts + row["base"], pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(starts + row["base"], pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    framed = blocks.join(F.broadcast(bases), "part").select("doc_ids", "width", "ids", "low_bits", "low", "high", "samples", (F.col("base") + F.col("part_base")).alias("base"))
+    framed = blocks.join(F.broadcast(bases), "part").select("n_docs", "n_null", "id_base", "id_bits", "id_low", "id_high", "id_samples", "width", "ids", "low_bits", "low", "high", "samples", (F.col("base") + F.col("part_base")).alias("base"))
     return framed.mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
