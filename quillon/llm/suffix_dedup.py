@@ -29,7 +29,8 @@ from quillon.llm.common import materialize, partitions, small_batches
 from quillon.llm.linking import bitmap, maybe_in
 from quillon.llm.near_dup import BASE, U, mix, powers
 
-POSITION_BITS = 28
+#: Bits of a place in a text: Spark's strings have less than 2 GiB.
+POSITION_BITS = 31
 SECOND = U(0xA24BAED4963EE407)
 
 
@@ -288,7 +289,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 64, chunk: in
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 64) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (merged, null where none or all is removed)."""
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeats (n_removed is above 0) and spans (merged, null where none or all is removed)."""
     small_batches(docs.sparkSession)
     spans = materialize(repeated_spans(docs, length, gram).groupBy("key", "n").agg(F.collect_list(F.struct("begin", "end")).alias("parts")), "spans-by-text")
     texts = docs.where("text is not null").select("doc_id", text_key(F.col("text")).alias("key"), F.octet_length("text").alias("n"), "text")
@@ -318,4 +319,4 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 64) -> DataFr
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text_key(text).alias("key"), F.octet_length(text).alias("n"), F.sha2(F.encode(text, "UTF-8"), 256).alias("_lm_sha"))
     zero = F.lit(0).cast("long")
-    return rows.join(changed, ["key", "n"], "left").select("doc_id", F.col("n").cast("long").alias("n_bytes"), F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("sha", "_lm_sha").alias("kept_sha256"), "spans")
+    return rows.join(changed, ["key", "n"], "left").select("doc_id", F.col("n").cast("long").alias("n_bytes"), F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("sha", "_lm_sha").alias("kept_sha256"), (F.coalesce("n_removed", zero) > 0).alias("repeats"), "spans")
