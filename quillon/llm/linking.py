@@ -21,18 +21,22 @@ from quillon.llm.common import connected_components, materialize
 BITS = 1 << 24
 
 
-def link(members: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame, DataFrame, bool], DataFrame]], rounds: int = 1, pivots: int = 8, carry: tuple[str, ...] = (), refine: str | None = None) -> DataFrame:
+Compare = Callable[[DataFrame, DataFrame, bool], DataFrame]
+Viable = Callable[[DataFrame], tuple[DataFrame, tuple[str, ...]]]
+
+
+def link(members: DataFrame, prepare: Callable[[DataFrame], tuple[Compare, Viable | None]], rounds: int = 1, pivots: int = 8, carry: tuple[str, ...] = (), refine: str | None = None) -> DataFrame:
     """members: rows (id, buckets), a long and a list of different longs. Returns (node, comp) for the ids that have a link.
 
     ``prepare`` gets all (bucket, id) that share a bucket, and returns the comparison: of rows (bucket, id, comp) with rows
-    (bucket, x, x_comp) of the same bucket and another component it returns the linked (a, b). Its third argument is true in the last
-    round, where all strays are compared, so that it may rule out by bounds what it would else compare. Columns of members that ``carry`` names
-    come along, as they are and with x_ before their names. ``refine`` is SQL over these for an item's finer buckets, an array.
+    (bucket, x, x_comp) of the same bucket and another component it returns the linked (a, b). Before the last round, where all strays
+    are compared, what ``prepare`` also returns gets the rows that are left and says which ids may be linked with any of them, with columns
+    of bounds that the last comparison (its third argument is true then) can use. Columns of members that ``carry`` names come along, as they are and with x_ before their names. ``refine`` is SQL over these for an item's finer buckets, an array.
     """
     flat = members.select("id", F.explode("buckets").alias("bucket"), *carry)
     shared = materialize(flat.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "shared-buckets")
     open_ = materialize(maybe_in(flat, "bucket", bitmap(shared, "bucket")).join(shared, "bucket"), "bucket-members")
-    compare = prepare(open_)
+    compare, viable = prepare(open_)
     # what others were copied from meets most of them, while two copies may each be too far from the other: it is the best pivot
     degrees = open_.groupBy("id").agg(F.sum("n").alias("degree"))
     open_ = materialize(open_.join(degrees, "id"), "bucket-degrees")
@@ -46,6 +50,9 @@ def link(members: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame,
         named = open_.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         mixed = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
         named = materialize(named.join(mixed, "bucket"), "mixed-buckets")
+        if viable and k == rounds:
+            bounds, extra = viable(named)
+            named, carry = materialize(named.join(bounds, "id"), "viable-members"), (*carry, *extra)
         largest = named.groupBy("bucket", "comp").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "comp")).getField("comp").alias("large"))
         strays = named.join(largest, "bucket").where("comp <> large").select("bucket", "id", "comp", "degree", *carry).join(used, ["bucket", "id"], "left_anti")
         if k < rounds:

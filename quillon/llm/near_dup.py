@@ -38,19 +38,31 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2**64."""
+    """Powers of the base and of its inverse, modulo 2**64. Those up to 2**20 are kept for the next call, and no more of them."""
     if not _powers or len(_powers[0]) < n:
         n = max(n, 1 << 16)
         inverse = pow(int(BASE), -1, 1 << 64)
-        _powers[:] = [np.cumprod(np.concatenate([[U(1)], np.full(n, b, U)]), dtype=U) for b in (BASE, U(inverse))]
+        found = [np.cumprod(np.concatenate([[U(1)], np.full(n, b, U)]), dtype=U) for b in (BASE, U(inverse))]
+        if n > 1 << 20:
+            return found[0], found[1]
+        _powers[:] = found
     return _powers[0], _powers[1]
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """A hash of each word, from prefix sums of a polynomial over the UTF-8 bytes."""
+def word_hashes(text: str, chunk: int = 1 << 20) -> np.ndarray:
+    """A hash of each word, from prefix sums of a polynomial over the UTF-8 bytes; a long text goes in chunks that end between words."""
     b = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)
-    if not len(b):
-        return np.zeros(0, U)
+    out, at = [], 0
+    while at < len(b):
+        end = min(at + chunk, len(b))
+        while end < len(b) and not SPACES[b[end]]:
+            end += 1
+        out.append(hashes_of(b[at:end]))
+        at = end
+    return np.concatenate(out) if out else np.zeros(0, U)
+
+
+def hashes_of(b: np.ndarray) -> np.ndarray:
     space = np.concatenate([[True], SPACES[b], [True]])
     starts, ends = np.flatnonzero(space[:-2] & ~space[1:-1]), np.flatnonzero(~space[1:-1] & space[2:]) + 1
     up, down = powers(len(b) + 1)
@@ -162,7 +174,7 @@ def classes(docs: DataFrame, bands: int = 20, rows: int = 5, threshold: float =
             at = 0
             while at < len(texts):
                 found, size = [], 0
-                while at < len(texts) and size < 1_000_000:
+                while at < len(texts) and size < 250_000:
                     if len(c := cells(texts[at].as_py(), words)):
                         found.append((at, c))
                         size += len(c)
@@ -209,19 +221,17 @@ def classes(docs: DataFrame, bands: int = 20, rows: int = 5, threshold: float =
         held = materialize(texts.select("id", packed("text").alias("cells")).dropDuplicates(["id"]), "shingles")
         tested: list[DataFrame] = []
 
-        def bounded(rows: DataFrame) -> DataFrame:
-            """(id, cells_n, shared_n): how many cells an item has, and how many of them another item of ``rows`` has too."""
+        def viable(rows: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
+            """How many cells an item has, and how many of them another item of ``rows`` has too: no more can be common. Items with too few of these go."""
             ids = rows.select("id").distinct()
             own = materialize(maybe_in(held, "id", bitmap(ids, "id")).join(ids, "id").select("id", F.explode(cell_list("cells")).alias("cell")), "open-cells")
             twice = own.groupBy("cell").agg(F.count("*").alias("c")).where("c > 1").select("cell", F.lit(1).alias("again"))
-            return materialize(own.join(twice, "cell", "left").groupBy("id").agg(F.count("*").alias("cells_n"), F.count("again").alias("shared_n")), "open-bounds")
+            bounds = own.join(twice, "cell", "left").groupBy("id").agg(F.count("*").alias("cells_n"), F.count("again").alias("shared_n"))
+            return bounds.where(f"shared_n >= {threshold} * cells_n"), ("cells_n", "shared_n")
 
         def compare(rows: DataFrame, others: DataFrame, last: bool) -> DataFrame:
             test = f"comp <> x_comp and {differing(4 * -(-coordinates // 64))} <= {most}"
-            if last:  # every stray meets every member: cells that no other item has cannot be common, so most pairs need no comparison
-                bounds = bounded(rows)
-                rows = rows.join(bounds, "id")
-                others = others.join(bounds.selectExpr("id as x", "cells_n as x_cells_n", "shared_n as x_shared_n"), "x")
+            if last:
                 test += f" and least(shared_n, x_shared_n) >= {threshold} * (cells_n + x_cells_n - least(shared_n, x_shared_n))"
             pairs = rows.join(others, "bucket").where(test).select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
             for done in tested:
@@ -235,7 +245,7 @@ def classes(docs: DataFrame, bands: int = 20, rows: int = 5, threshold: float =
             with_a = pairs.join(own.select(F.col("id").alias("a"), F.col("cells").alias("p")), "a")
             return with_a.join(own.select(F.col("id").alias("b"), F.col("cells").alias("q")), "b").where(similarity("p", "q") >= threshold).select("a", "b")
 
-        return compare
+        return compare, viable
 
     # eight coordinates each make 40 bands, in one of which a pair at the threshold meets but for one in 5000
     planes = ", ".join(f"shiftrightunsigned(sketch[4 * (i div 8) + {p}], 8 * (i % 8)) & 255" for p in range(4))
