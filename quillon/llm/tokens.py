@@ -34,14 +34,19 @@ def encoder(path: str) -> "WordEncoder":
 
 
 class WordEncoder:
-    def __init__(self, path: str, most: int = 800_000):
-        """most: entries kept in each of the two caches; a full cache is emptied, which changes speed only."""
+    def __init__(self, path: str, most: int = 100_000):
+        """most: entries of each of the two caches before they become the older ones, which are kept as long again.
+
+        An older entry that is met again is a new one, so common words stay. Words over 64 characters are not kept.
+        """
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.tokens: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.older_tokens: dict[str, bytes] = {}
+        self.older_words: dict[str, bytes] = {}
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for word, i in vocab.items() if word.endswith(END_OF_WORD)]] = True
@@ -58,14 +63,26 @@ class WordEncoder:
             return b"".join([known[w] for w in words])
         except KeyError:
             self._learn(words)
-            return b"".join([self.tokens[w] for w in words])
+            found = b"".join([self.tokens[w] for w in words])
+            for held in (self.tokens, self.words):
+                for w in [w for w in words if len(w) > 64]:
+                    held.pop(w, None)
+            return found
 
     def _learn(self, words: list[str]) -> None:
         if len(self.tokens) > self.most:
-            self.tokens = {}
+            self.tokens, self.older_tokens = {}, self.tokens
         if len(self.words) > self.most:
-            self.words = {}
-        parts = {w: PIECES.findall(w) for w in set(words) if w not in self.tokens}
+            self.words, self.older_words = {}, self.words
+        missing = {w for w in words if w not in self.tokens}
+        parts = {}
+        for w in missing:
+            if (ids := self.older_tokens.get(w)) is not None:
+                self.tokens[w] = ids
+            else:
+                parts[w] = PIECES.findall(w)
+        for piece in [p for ps in parts.values() for p in ps if p not in self.words and p in self.older_words]:
+            self.words[piece] = self.older_words[piece]
         new = list(dict.fromkeys(p for ps in parts.values() for p in ps if p not in self.words))
         if new:
             ids = np.asarray(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, dtype="<u4")
