@@ -7,34 +7,52 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.session import materialize
+from quillon.session import broadcast_if_small, materialize
 
 
-def ranked(df: DataFrame, group: list[str], order: list[Column], partitions: int | None = None) -> DataFrame:
+def ranked(df: DataFrame, group: list[str], order: list[Column], partitions: int | None = None, weight: str | None = None) -> DataFrame:
     """``df`` with idx (from 0, by ``order`` within ``group``) and n (rows of the group).
 
     The rows are dealt by ranges of (group, order), so a group with most of the rows spreads over many tasks; each task numbers its
-    own rows, and an offset per (range, group) is added: a table as small as the ranges, so its window is cheap.
+    own rows, and an offset per (range, group) is added. With ``weight``, a column of whole numbers, a row counts so often: idx is
+    the weight of the rows before it and n the weight of the group.
     """
     spark = df.sparkSession
     many = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = df.repartitionByRange(many, *[F.col(g) for g in group], *order).withColumn("_range", F.spark_partition_id())
     dealt = materialize(dealt, "ranked")
     keys = ["_range", *group]
-    sizes = dealt.groupBy(*keys).agg(F.count("*").alias("_size"))
+    sizes = dealt.groupBy(*keys).agg((F.sum(weight) if weight else F.count("*")).alias("_size"))
     by = f"partition by {', '.join(group)} " if group else ""
     offsets = sizes.selectExpr(*keys, f"coalesce(sum(_size) over ({by}order by _range rows between unbounded preceding and 1 preceding), 0) as _before", f"sum(_size) over ({by.strip()}) as n")
-    from pyspark.sql import Window
-
-    own = dealt.withColumn("_row", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    offsets = broadcast_if_small(materialize(offsets, "offsets"))
+    window = Window.partitionBy(*keys).orderBy(*order)
+    before = F.sum(weight).over(window.rowsBetween(Window.unboundedPreceding, 0)) - F.col(weight) if weight else F.row_number().over(window) - 1
+    own = dealt.withColumn("_row", before)
     same = own["_range"] == offsets["_range"]
     for g in group:
         same = same & own[g].eqNullSafe(offsets[g])
-    joined = own.join(F.broadcast(offsets), same)  # at most ranges x groups, and groups are types
-    return joined.select(*[own[c] for c in df.columns], (F.col("_before") + F.col("_row") - 1).cast("bigint").alias("idx"), offsets["n"].cast("bigint").alias("n"))
+    return own.join(offsets, same).select(*[own[c] for c in df.columns], (F.col("_before") + F.col("_row")).cast("bigint").alias("idx"), offsets["n"].cast("bigint").alias("n"))
+
+
+def weighed(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """(group, value, _w, idx, n): the different known values of each group in order, and how often each is there."""
+    return ranked(df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_w")), group, [F.col(value)], weight="_w")
+
+
+def medians(df: DataFrame, group: list[str], value: str, name: str = "median") -> DataFrame:
+    """A row per group with a known value: the mean of the middle two. Without a group one row, null if nothing is known."""
+    at = lambda pos: F.max(F.when((F.col("idx") <= pos) & (pos < F.col("idx") + F.col("_w")), F.col(value)))
+    middle = (at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2.0
+    return weighed(df, group, value).groupBy(*group).agg(middle.alias(name))
+
+
+def share_not_above(df: DataFrame, group: list[str], value: str, name: str) -> DataFrame:
+    """(group, value, name): for each different known value, the share of its group's known values that are not greater."""
+    return weighed(df, group, value).select(*group, value, ((F.col("idx") + F.col("_w")) / F.col("n")).alias(name))
 
 
 def floor_quantiles(df: DataFrame, group: list[str], value: str, ident: str, quantiles: dict[str, float]) -> DataFrame:
@@ -44,30 +62,12 @@ def floor_quantiles(df: DataFrame, group: list[str], value: str, ident: str, qua
     return numbered.groupBy(*group).agg(F.max("n").alias("n"), *picks)
 
 
-def small_floor_quantile(values: Column, q: float) -> Column:
-    """The same within a row, over an array of a bounded group's values; null for an empty one."""
-    kept = F.sort_array(F.filter(values, lambda x: x.isNotNull()))
-    return F.get(kept, F.floor((F.size(kept) - 1) * F.lit(q)).cast("int"))
-
-
-def floor_quantile_of(values: list[float], q: float) -> float:
-    kept = sorted(values)
-    return kept[math.floor((len(kept) - 1) * q)] if kept else 0.0
-
-
 def rank_fraction(df: DataFrame, value: str, ident: str, name: str, count: str = "norm_count") -> DataFrame:
     """``df`` with idx / (n - 1) by (value, ident) over the rows with a value; 1.0 for a single one, null without a value."""
+    df = materialize(df, "to-rank")
     known = ranked(df.where(F.col(value).isNotNull()), [], [F.col(value), F.col(ident)])
     fraction = F.when(F.col("n") == 1, F.lit(1.0)).otherwise(F.col("idx") / (F.col("n") - 1))
     scored = known.withColumn(name, fraction).select(*df.columns, name)
     unknown = df.where(F.col(value).isNull()).withColumn(name, F.lit(None).cast("double"))
     total = df.agg(F.count(value).alias(count))
     return scored.unionByName(unknown).crossJoin(F.broadcast(total))  # one row
-
-
-def median_or_null(value: Column) -> Column:
-    return F.median(value)
-
-
-def median_or_zero(value: Column) -> Column:
-    return F.coalesce(F.median(value), F.lit(0.0))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import scalar as S
+from quillon.functions.quantiles import medians
 
 RING_KEY = ("system_name", "body_name", "ring_name")
 
@@ -29,9 +30,22 @@ def through_funnel(rings: DataFrame) -> tuple[DataFrame, DataFrame]:
     return kept, marked.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).count()
 
 
-def with_distance(rings: DataFrame, systems: DataFrame, anchor: tuple[float, float, float]) -> DataFrame:
+def system_places(systems: DataFrame, order: str | None = None) -> DataFrame:
+    """(_key, p): a place for each system by normalised name. Of several the last by ``order``; without that the greatest, since rows have no order."""
+    placed = systems.withColumn("_key", S.normal_name("system_name")).where("x is not null and y is not null and z is not null")
+    place = F.struct("x", "y", "z")
+    return placed.groupBy("_key").agg((F.max_by(place, F.struct(order, "x", "y", "z")) if order else F.max(place)).alias("p"))
+
+
+def without_place(rings: DataFrame, systems: DataFrame) -> DataFrame:
+    """Counter (reason, count) of the rings that ``with_distance`` leaves out, in the form of ``through_funnel``'s."""
+    known = system_places(systems).select("_key")
+    return rings.withColumn("_key", S.normal_name("system_name")).join(known, "_key", "left_anti").agg(F.lit("missing_coords").alias("reason"), F.count("*").alias("count"))
+
+
+def with_distance(rings: DataFrame, systems: DataFrame, anchor: tuple[float, float, float], order: str | None = None) -> DataFrame:
     """Rings with the distance of their system (by normalised name) from the anchor; those of unknown systems go."""
-    places = systems.select(S.normal_name("system_name").alias("_key"), "x", "y", "z").where("x is not null and y is not null and z is not null").groupBy("_key").agg(F.max(F.struct("x", "y", "z")).alias("p"))
+    places = system_places(systems, order)
     joined = rings.withColumn("_key", S.normal_name("system_name")).join(places, "_key")
     return joined.withColumn("distance", S.distance("p.x", "p.y", "p.z", F.lit(anchor[0]), F.lit(anchor[1]), F.lit(anchor[2]))).drop("_key", "p")
 
@@ -97,7 +111,7 @@ def rank_log(events: DataFrame, sigma_min: float | None = None, dedup: bool = Fa
     if dedup:
         rings = rings.dropDuplicates()
     rings = rings.withColumn("surface_density", S.surface_density_or_zero("mass", S.ring_area_or_zero("inner", "outer")))
-    median = rings.agg(F.median(F.when(F.col("surface_density") > 0, F.col("surface_density"))).alias("median"))
+    median = medians(rings.where("surface_density > 0").select("surface_density"), [], "surface_density")
     scored = rings.crossJoin(F.broadcast(median)).withColumn("sigma_norm", F.coalesce(S.sigma("surface_density", "median"), F.lit(0.0))).drop("median")  # one row
     scored = scored.join(mapped_bodies(events).withColumn("mapped", F.lit(True)), "_key", "left").join(hotspots(events), "_key", "left")
     scored = scored.withColumn("mapped", F.coalesce("mapped", F.lit(False))).fillna(0, ["tritium", "platinum"])
@@ -121,4 +135,13 @@ def unmatched_mapping(events: DataFrame) -> DataFrame:
 
 def class_medians(rings: DataFrame, ring_class: str = "ring_class", density: str = "surface_density") -> DataFrame:
     """Median density and number of rings by sector type; rings with no density count but do not weigh."""
-    return rings.groupBy(S.sector_type(ring_class).alias("type")).agg(F.median(F.when(F.col(density) > 0, F.col(density))).alias("median"), F.count("*").alias("ring_count"))
+    typed = rings.select(S.sector_type(ring_class).alias("type"), F.col(density).alias("_d"))
+    found = medians(typed.where("_d > 0"), ["type"], "_d").withColumnRenamed("type", "_type")
+    counts = typed.groupBy("type").agg(F.count("*").alias("ring_count"))
+    return counts.join(found, F.col("type").eqNullSafe(F.col("_type")), "left").select("type", "median", "ring_count")
+
+
+def of_systems(events: DataFrame, systems: DataFrame) -> DataFrame:
+    """Events of the systems of a sector, by normalised name (StarSystem, else SystemName); events without one go."""
+    names = systems.select(S.normal_name("system_name").alias("_key")).where("_key <> ''").distinct()
+    return events.withColumn("_key", S.normal_name(F.coalesce(F.nullif("StarSystem", F.lit("")), F.nullif("SystemName", F.lit(""))))).join(names, "_key", "left_semi").drop("_key")

@@ -1,8 +1,9 @@
 """Grouped algorithms that go step by step: k-medoids, greedy routes, sequencing with lookahead.
 
-Each group (a subregion of a cohort, a route's points) is worked on by one pandas call; Spark deals the groups out. Cohorts hold a few
-thousand points by their definition. A group may have at most ``limit`` rows, checked before it is gathered: a larger one is an
-error, never a cut.
+Groups of k-medoids (subregions of a cohort) up to ``limit`` rows are worked on by one pandas call each, which Spark deals out; larger
+ones by Spark jobs over blocks of their points, with the same result. Routes and sequences are walked by one call a group, since each
+step depends on the one before: cohorts hold a few thousand points by their definition. There a group may have at most ``limit``
+rows, checked before it is gathered: a larger one is an error, never a cut.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions import scalar as S
+from quillon.session import broadcast_if_small, materialize
+
 EPS = 1e-12
 #: Fixed values: (greatest radius, greatest k) of each band.
 POLICY = {"inner": (8000.0, 3), "mid": (10000.0, 6), "outer": (12000.0, 10)}
@@ -52,7 +56,8 @@ def k_medoids(xyz: np.ndarray, metric: np.ndarray, ids: np.ndarray, centroid: np
     medoids = by_id(chosen)
 
     def assign() -> np.ndarray:
-        return np.argmin(np.stack([squared(xyz, xyz[m]) for m in medoids]), axis=0)
+        d2 = np.stack([squared(xyz, xyz[m]) for m in medoids])
+        return np.argmax(d2 <= d2.min(axis=0) + EPS, axis=0)  # the first, so the least id, of those as near
 
     for _ in range(rounds):
         own, new = assign(), []
@@ -83,14 +88,16 @@ def auto_k(xyz: np.ndarray, metric: np.ndarray, ids: np.ndarray, centroid: np.nd
 MEMBERS = "subregion string, k int, cluster_index int, cluster_id string, medoid_id string, ring_id string, distance double, distance2 double, assign_rank int"
 
 
-def stage_clusters(points: DataFrame, k: int | None = None, k_map: dict[str, int] | None = None, auto: bool = True, scope: str = "", limit: int = 50_000) -> DataFrame:
+def stage_clusters(points: DataFrame, k: int | None = None, k_map: dict[str, int] | None = None, auto: bool = True, scope: str = "", limit: int = 20_000, only: list[str] | None = None) -> DataFrame:
     """Clusters of each subregion (columns subregion, band, ring_id, x, y, z, moi): a row a member, ranked in its cluster.
 
-    k comes from ``k_map``, else ``k``, else the search by radius if ``auto``, else 1.
+    k comes from ``k_map``, else ``k``, else the search by radius if ``auto``, else 1. ``only`` names the subregions to work on.
     """
     import hashlib
 
-    bounded_groups(points, ["subregion"], limit)
+    rows = points.select("subregion", "band", "ring_id", *XYZ, "moi")
+    if only is not None:
+        rows = rows.where(F.col("subregion").isin(*only))
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ring_id", kind="stable").reset_index(drop=True)
@@ -110,7 +117,104 @@ def stage_clusters(points: DataFrame, k: int | None = None, k_map: dict[str, int
         out["assign_rank"] = out.groupby("cluster_index").cumcount() + 1
         return out[[c.split()[0] for c in MEMBERS.split(", ")]]
 
-    return points.select("subregion", "band", "ring_id", *XYZ, "moi").groupBy("subregion").applyInPandas(work, MEMBERS)
+    large = [r["subregion"] for r in rows.groupBy("subregion").count().where(F.col("count") > limit).select("subregion").collect()]
+    small = rows.where(~F.col("subregion").isin(*large)) if large else rows
+    out = small.groupBy("subregion").applyInPandas(work, MEMBERS)
+    for name in large:
+        out = out.unionByName(_large_clusters(materialize(rows.where(F.col("subregion") == name), "subregion"), name, (k_map or {}).get(name, k), auto, scope))
+    return out
+
+
+Medoid = tuple[str, float, float, float]
+
+
+def _pick(rows: DataFrame, score: str) -> Medoid:
+    """The row of least score; of those equal to within EPS, of greatest metric, then least id: two grouped minima."""
+    least = rows.agg(F.min(score)).first()[0]
+    r = rows.where(F.col(score) <= least + EPS).orderBy(F.col("moi").desc_nulls_last(), "ring_id").select("ring_id", *XYZ).first()
+    return (r[0], r[1], r[2], r[3])
+
+
+def _assigned(points: DataFrame, medoids: list[Medoid]) -> DataFrame:
+    """Points with _c, the number of the nearest medoid (the first of those equal to within EPS), and _d2."""
+    far = F.array(*[F.struct(S.distance2("x", "y", "z", *[F.lit(float(v)) for v in m[1:]]).alias("d2"), F.lit(i).alias("c")) for i, m in enumerate(medoids)])
+    least = F.array_min(far).getField("d2")
+    return points.withColumn("_n", F.get(F.filter(far, lambda m: m["d2"] <= least + EPS), 0)).withColumns({"_c": F.col("_n.c"), "_d2": F.col("_n.d2")}).drop("_n")
+
+
+def _costs(assigned: DataFrame, block: int) -> DataFrame:
+    """Points with cost, the sum of their distances to all members of their cluster.
+
+    The members lie in blocks of about ``block`` points; every block of candidates meets every block of members of its cluster once,
+    as two arrays, so no pair of points is a row and no task holds more than two blocks.
+    """
+    n = max(1, -(-assigned.count() // block))
+    blocked = assigned.withColumn("_b", F.pmod(F.xxhash64("ring_id"), F.lit(n)))
+    held = materialize(blocked.groupBy("_c", "_b").agg(F.sort_array(F.collect_list(F.struct("ring_id", *XYZ, "moi"))).alias("own")), "blocks")
+    others = held.select("_c", F.col("_b").alias("_o"), F.transform("own", lambda p: F.array(p["x"], p["y"], p["z"])).alias("members"))
+
+    @F.pandas_udf("array<double>")
+    def sums(own: pd.Series, members: pd.Series) -> pd.Series:
+        def one(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            a, b = np.stack(a), np.stack(b)
+            return np.array([np.sqrt(squared(b, p)).sum() for p in a])
+
+        return pd.Series([one(a, b) for a, b in zip(own, members, strict=True)])
+
+    met = held.join(others, "_c").select("_c", "_b", "own", sums(F.transform("own", lambda p: F.array(p["x"], p["y"], p["z"])), "members").alias("part"))
+    rows = met.select("_c", F.explode(F.arrays_zip("own", "part")).alias("z")).select("_c", "z.own.*", F.col("z.part").alias("part"))
+    return rows.groupBy("_c", "ring_id", *XYZ, "moi").agg(F.sum("part").alias("cost"))
+
+
+def _large_medoids(points: DataFrame, k: int, rounds: int = 10, block: int = 2000) -> list[Medoid]:
+    """``k_medoids`` of one group by Spark jobs; the medoids, k of them at most, are what the driver holds."""
+    center = points.agg(*[F.avg(c) for c in XYZ]).first()
+    first = points.withColumn("_s", sum((F.pow(F.col(c) - F.lit(v), 2) for c, v in zip(XYZ, center, strict=True)), F.lit(0.0)))
+    chosen = [_pick(first, "_s")]
+    while len(chosen) < k:
+        left = _assigned(points, chosen).where(~F.col("ring_id").isin(*[m[0] for m in chosen])).withColumn("_s", -F.col("_d2"))
+        if left.isEmpty():
+            break
+        chosen.append(_pick(left, "_s"))
+    medoids = sorted(chosen)
+    for _ in range(rounds):
+        costs = materialize(_costs(_assigned(points, medoids), block), "medoid-costs")
+        new = []
+        for c, old in enumerate(medoids):
+            own = costs.where(F.col("_c") == c)
+            new.append(old if own.isEmpty() else _pick(own, "cost"))
+        if (new := sorted(set(new))) == medoids:
+            break
+        medoids = new
+    return medoids
+
+
+def _large_clusters(points: DataFrame, name: str, k: int | None, auto: bool, scope: str) -> DataFrame:
+    """``stage_clusters`` of one subregion that is too large for one task."""
+    from quillon.functions.quantiles import ranked
+
+    if k is None and auto:
+        radius, most = POLICY.get(points.first()["band"].lower(), POLICY["outer"])
+        for k in range(1, most + 1):
+            medoids = _large_medoids(points, k)
+            if math.sqrt(_assigned(points, medoids).agg(F.max("_d2")).first()[0]) <= radius + EPS:
+                break
+    else:
+        k = k or 1
+        medoids = _large_medoids(points, k)
+    ids = F.array(*[F.lit(m[0]) for m in medoids])
+    out = _assigned(points, medoids).withColumns({"cluster_index": F.col("_c") + 1, "medoid_id": F.get(ids, F.col("_c")), "k": F.lit(k)})
+    out = out.withColumn("cluster_id", F.sha1(F.concat_ws("|", F.lit(scope), F.lit(name), F.col("cluster_index").cast("string"), "medoid_id")))
+    numbered = ranked(out, ["cluster_index"], [F.col("_d2"), F.col("moi").desc_nulls_last(), F.col("ring_id")])
+    return numbered.select("subregion", "k", "cluster_index", "cluster_id", "medoid_id", "ring_id", F.sqrt("_d2").alias("distance"), F.col("_d2").alias("distance2"), (F.col("idx") + 1).cast("int").alias("assign_rank"))
+
+
+def placed_clusters(clusters: DataFrame, regions: DataFrame, rings: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Clusters (medoid_id and ``keys``) with the place x, y, z of their medoid: from its row of the regions, else from the rings' table."""
+    first = regions.select(*keys, F.col("ring_id").alias("medoid_id"), *[F.col(c).alias(f"_i{c}") for c in XYZ])
+    second = rings.select(F.col("ring_id").alias("medoid_id"), *[F.col(c).alias(f"_r{c}") for c in XYZ])
+    joined = clusters.join(first, [*keys, "medoid_id"], "left").join(second, "medoid_id", "left")
+    return joined.select(*clusters.columns, *[F.coalesce(f"_i{c}", f"_r{c}").alias(c) for c in XYZ])
 
 
 def cluster_stats(members: DataFrame) -> DataFrame:
@@ -176,7 +280,7 @@ def itinerary(summaries: DataFrame, members: DataFrame, group: str, start: tuple
     regions = summaries.select(F.col(group).alias("region"), "centroid_x", "centroid_y", "centroid_z", "radius_max").withColumn("_all", F.lit(1))
     bounded_groups(regions, ["_all"], limit)
     walked = regions.groupBy("_all").applyInPandas(lambda rows: walk(rows), order)
-    met = members.join(F.broadcast(walked), F.col(group) == F.col("region"))  # as many rows as regions, checked above
+    met = members.join(broadcast_if_small(walked), F.col(group) == F.col("region"))
     d = F.sqrt(F.pow(F.col("x") - F.col("from_x"), 2) + F.pow(F.col("y") - F.col("from_y"), 2) + F.pow(F.col("z") - F.col("from_z"), 2))
     entry = met.groupBy("seq", "region", "leg").agg(F.min(F.struct(d.alias("distance"), (-F.coalesce("moi", F.lit(-1e300))).alias("m"), "ring_id")).alias("e"))
     return entry.select("seq", "region", "leg", F.col("e.ring_id").alias("entry_id"), F.col("e.distance").alias("entry_distance"))
@@ -227,14 +331,20 @@ def latest_run(runs: DataFrame, scope: list[str]) -> DataFrame:
     return runs.groupBy(*scope).agg(*[pick(c).alias(c) for c in runs.columns if c not in scope])
 
 
-def export_candidates(clusters: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(clusters by priority, members in cluster order): p90 from the members' distances, else the stored one."""
+def export_candidates(clusters: DataFrame, members: DataFrame, keys: tuple[str, ...] = ("cluster_id",)) -> tuple[DataFrame, DataFrame]:
+    """(clusters by priority, members in cluster order): p90 from the members' distances, else the stored one.
+
+    ``keys`` join clusters and members: all the scope's keys, where the tables hold several versions, cohorts or runs.
+    """
     from pyspark.sql import Window
 
     from quillon.functions.quantiles import floor_quantiles
 
-    own = floor_quantiles(members, ["cluster_id"], "distance", "ring_id", {"own_p90": 0.9}).select("cluster_id", "own_p90")
-    known = clusters.join(own, "cluster_id", "left").withColumn("p90", F.coalesce("own_p90", "radius_p90")).withColumn("priority", F.sqrt("size_n") / (F.col("p90") + 1.0))
-    order = Window.partitionBy("subregion").orderBy(F.col("priority").desc(), F.col("p90"), F.col("size_n").desc(), F.col("cluster_index"))
+    by = list(keys)
+    own = floor_quantiles(members, by, "distance", "ring_id", {"own_p90": 0.9}).select(*by, "own_p90")
+    known = clusters.join(own, by, "left").withColumn("p90", F.coalesce("own_p90", "radius_p90"))
+    known = known.withColumn("priority", S.cluster_priority("size_n", "p90"))
+    scope = [c for c in by if c not in ("cluster_id", "subregion", "cluster_index")]
+    order = Window.partitionBy("subregion", *scope).orderBy(F.col("priority").desc(), F.col("p90"), F.col("size_n").desc(), F.col("cluster_index"))
     out = known.withColumn("cluster_rank", F.row_number().over(order)).drop("own_p90")
-    return out, members.join(out.select("cluster_id", "cluster_rank"), "cluster_id").orderBy("subregion", "cluster_rank", "assign_rank")
+    return out, members.join(out.select(*by, "cluster_rank"), by).orderBy("subregion", "cluster_rank", "assign_rank")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import scalar as S
-from quillon.functions.quantiles import floor_quantiles, rank_fraction
+from quillon.functions.quantiles import floor_quantiles, rank_fraction, share_not_above
+from quillon.session import broadcast_if_small
 
 QUANTILES = {"p95": 0.95, "p99": 0.99, "p99_5": 0.995, "p99_9": 0.999}
 
@@ -51,17 +52,22 @@ def cohort(df: DataFrame, group: list[str], value: str, ident: str, target: int,
     theta = ranked.groupBy(*group).agg(F.max_by(value, "rank_in_cohort").alias("theta_value"), F.max_by(ident, "rank_in_cohort").alias("theta_id"), F.max("rank_in_cohort").alias("_have"))
     if strict and (short := theta.where(F.col("_have") < target).first()):
         raise ValueError(f"{ {g: short[g] for g in group} } has {short['_have']} rows, and {target} are asked for")
-    return ranked.join(F.broadcast(theta.drop("_have")), group)  # one row a group
+    return ranked.join(broadcast_if_small(theta.drop("_have")), group)
 
 
-def best(df: DataFrame, value: str, ident: str, n: int) -> DataFrame:
-    """The n best rows: value descending with nulls last, id ascending."""
-    return df.orderBy(F.col(value).desc_nulls_last(), F.col(ident).asc()).limit(n)
+def best(df: DataFrame, value: str, ident: str, n: int, arrival: str | None = None) -> DataFrame:
+    """The n best rows: value descending with nulls last, then the nearer to arrival, unknown ones last, then id ascending."""
+    near = [F.col(arrival).asc_nulls_last()] if arrival else []
+    return df.orderBy(F.col(value).desc_nulls_last(), *near, F.col(ident).asc()).limit(n)
 
 
 def percentile_of_known(df: DataFrame, group: list[str], value: str, name: str = "percentile") -> DataFrame:
     """The share of the group's known values that are not greater."""
-    return df.where(F.col(value).isNotNull()).withColumn(name, F.cume_dist().over(Window.partitionBy(*group).orderBy(value)))
+    shares = share_not_above(df, group, value, name).select(*[F.col(c).alias(f"_s{i}") for i, c in enumerate([*group, value])], name)
+    same = F.lit(True)
+    for i, c in enumerate([*group, value]):
+        same = same & F.col(c).eqNullSafe(F.col(f"_s{i}"))
+    return df.where(F.col(value).isNotNull()).join(shares, same).drop(*[f"_s{i}" for i in range(len(group) + 1)])
 
 
 #: Percentile buckets, and where each begins.

@@ -28,10 +28,11 @@ class Element:
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
 
     def all(self) -> Iterator["Element"]:
-        for child in self.children:
-            if isinstance(child, Element):
-                yield child
-                yield from child.all()
+        todo = [c for c in reversed(self.children) if isinstance(c, Element)]
+        while todo:
+            e = todo.pop()
+            yield e
+            todo.extend(c for c in reversed(e.children) if isinstance(c, Element))
 
     def named(self, *tags: str) -> list["Element"]:
         return [e for e in self.all() if e.tag in tags]
@@ -99,15 +100,17 @@ def label_values(root: Element) -> dict[str, str]:
     return out
 
 
+#: Fixed value: what is trimmed from a labelled value.
+TRIMMED = " :,-#"
+
+
 def between(text: str, label: str, stops: tuple[str, ...] = LABELS) -> str:
     """The text after a label and before the nearest of the stop labels."""
-    low = text.lower()
-    at = low.find(label.lower())
-    if at < 0:
+    _, found, rest = text.partition(m[0]) if (m := re.search(re.escape(label), text, re.IGNORECASE)) else ("", "", "")
+    if not found:
         return ""
-    at += len(label)
-    ends = [e for e in (low.find(s.lower(), at) for s in stops) if e >= 0]
-    return one_space(text[at : min(ends, default=len(text))]).strip(" :,-#")
+    stop = re.compile("|".join(re.escape(s) for s in stops), re.IGNORECASE)
+    return one_space(stop.split(rest, maxsplit=1)[0]).strip(TRIMMED)
 
 
 def description(root: Element) -> str | None:

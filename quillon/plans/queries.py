@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import scalar as S
-from quillon.functions.quantiles import rank_fraction
+from quillon.functions.quantiles import floor_quantiles, medians, rank_fraction
 from quillon.operators import crosswalk, ranking, routes, scoring, sites, spatial
+from quillon.session import materialize
 from quillon.sources import dump
 from quillon.streaming import live
 
@@ -123,8 +124,8 @@ select p_partkey, round(s1, 9) as sigma, round(s2, 9) as galactic_sigma, round((
   case when s1 >= 3 then 99 when s1 >= 2.5 then 95 when s1 >= 2 then 90 when s1 >= 1.5 then 80 when s1 >= 1 then 50 else trunc(s1 * 50)::int end as percentile from s""")
 def sigma_and_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
-    by_type = part.groupBy("p_type").agg(F.median("p_retailprice").alias("med"), F.count("*").alias("ring_count"))
-    total = part.agg(F.median("p_retailprice").alias("gmed"))
+    by_type = part.groupBy("p_type").agg(F.count("*").alias("ring_count")).join(medians(part.select("p_type", "p_retailprice"), ["p_type"], "p_retailprice", "med"), "p_type")
+    total = medians(part.select("p_retailprice"), [], "p_retailprice", "gmed")
     joined = part.join(by_type, "p_type").crossJoin(F.broadcast(total))  # one row
     s = joined.withColumn("s", S.sigma("p_retailprice", "med")).withColumn("g", S.sigma("p_retailprice", "gmed"))
     return s.select("p_partkey", F.round("s", 9).alias("sigma"), F.round("g", 9).alias("galactic_sigma"), F.round(S.delta_percent("s"), 6).alias("delta_pct"), "ring_count", S.tier(S.delta_percent("g")).alias("tier"), S.sigma_percentile("s").alias("percentile"))
@@ -147,7 +148,7 @@ def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     cls = F.when(F.col("p_size") % 5 == 0, S.LOG_CLASSES["icy"]).when(F.col("p_size") % 5 == 1, S.LOG_CLASSES["metallic"]).when(F.col("p_size") % 5 == 2, S.LOG_CLASSES["metal_rich"]).when(F.col("p_size") % 5 == 3, S.LOG_CLASSES["rocky"]).otherwise("x")
     res = F.when(F.col("p_partkey") % 4 == 0, "PristineResources").when(F.col("p_partkey") % 4 == 1, "MajorResources").when(F.col("p_partkey") % 4 == 2, "Depleted")
-    joined = part.crossJoin(F.broadcast(part.agg(F.median("p_retailprice").alias("m"))))  # one row
+    joined = part.crossJoin(F.broadcast(medians(part.select("p_retailprice"), [], "p_retailprice", "m")))  # one row
     r = joined.withColumn("r", S.recommendation(cls, res, S.sigma("p_retailprice", "m"), F.lit(True), F.lit(False)))
     return r.select("p_partkey", "r.should_scan", F.round("r.priority", 6).alias("priority"), "r.reason")
 
@@ -205,8 +206,11 @@ u as (select category, body_name, greatest(coalesce(db.d, 0), coalesce(jr.d, 0))
 def _two_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_totalprice", "o_orderdate")
     rows = table(spark, sf_dir, "customer").join(orders, "c_custkey").select(F.col("c_mktsegment").alias("category"), F.lit("s").alias("system_name"), F.col("c_name").alias("body_name"), F.lit("r").alias("ring_name"), "o_totalprice", "o_orderdate")
-    best = lambda df: df.groupBy("category", "system_name", "body_name", "ring_name").agg(F.max("o_totalprice").alias("surface_density")).withColumn("distance", F.lit(0.0)).withColumn("mapped", F.lit(False))
-    return best(rows.where("o_orderdate < timestamp'1997-01-01'")), best(rows.where("o_orderdate >= timestamp'1996-01-01'"))
+    early, late = F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp_ntz"), F.col("o_orderdate") >= F.lit("1996-01-01").cast("timestamp_ntz")
+    per = rows.groupBy("category", "system_name", "body_name", "ring_name").agg(F.max(F.when(early, F.col("o_totalprice"))).alias("db"), F.max(F.when(late, F.col("o_totalprice"))).alias("log"))
+    per = materialize(per, "two-sources")  # both sources from one pass over the orders
+    source = lambda c: per.where(F.col(c).isNotNull()).select("category", "system_name", "body_name", "ring_name", F.col(c).alias("surface_density"), F.lit(0.0).alias("distance"), F.lit(False).alias("mapped"))
+    return source("db"), source("log")
 
 
 @query(MERGED + " select category, body_name, surface_density, source from u")
@@ -230,25 +234,116 @@ def validity_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.through_funnel(rings)[1]
 
 
-@query("""
-select c_custkey, exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'F') as mapped,
-  (select count(*) from orders where o_custkey = c_custkey and o_orderpriority like '1%') as tritium from customer""")
+# The log of a survey: an order is a body, its lines are rings; two of three orders are scanned, those of status F mapped.
+LOG = """
+with b as (select o_orderkey, 'O' || o_orderkey as body_name, 'C' || o_custkey as system_name, o_orderkey % 3 <> 0 as scanned, o_orderstatus = 'F' as mapped,
+  case when o_orderpriority like '1%' then 2 when o_orderpriority like '2%' then 1 else 0 end as tritium, case when o_orderpriority like '5%' then 1 else 0 end as platinum, o_orderpriority not like '3%' as pristine from orders),
+r as (select b.*, 'R' || l_linenumber as ring_name, l_extendedprice as mass, case l_returnflag when 'N' then 'icy' when 'A' then 'metallic' else 'rocky' end as type,
+  l_extendedprice / (pi() * ((l_linenumber + l_quantity) * (l_linenumber + l_quantity) - l_linenumber * l_linenumber)) as d from lineitem join b on l_orderkey = o_orderkey where scanned),
+k as (select *, d / (select median(d) from r where pristine and type <> 'rocky') as s, 1.0 + case when mapped then ln(1.0 + tritium) else 0 end as ft, 1.0 + case when mapped then ln(1.0 + platinum) else 0 end as fp from r where pristine and type <> 'rocky'),
+z as (select *, case when type = 'icy' then s else 0.0 end * ft as rt, case when type = 'icy' then 0.0 else s end * fp as rp from k)"""
+
+
+def survey_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in the form of the log, made of orders (bodies) and their lines (rings)."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", F.concat(F.lit("C"), "o_custkey").alias("StarSystem"), F.concat(F.lit("O"), "o_orderkey").alias("BodyName"))
+    kind = F.when(F.col("l_returnflag") == "N", S.LOG_CLASSES["icy"]).when(F.col("l_returnflag") == "A", S.LOG_CLASSES["metallic"]).otherwise(S.LOG_CLASSES["rocky"])
+    ring = F.struct(F.concat(F.lit("R"), "l_linenumber").alias("Name"), kind.alias("RingClass"), F.col("l_extendedprice").alias("MassMT"), F.col("l_linenumber").cast("double").alias("InnerRad"), (F.col("l_linenumber") + F.col("l_quantity")).alias("OuterRad"))
+    rings = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(ring).alias("Rings"))
+    none, key = F.lit(None), F.lit(None).cast("bigint").alias("SystemAddress")
+    scans = o.where("o_orderkey % 3 <> 0").join(rings, "o_orderkey").select(F.lit("Scan").alias("event"), F.lit("t").alias("timestamp"), key, "StarSystem", "BodyName", F.when(~F.col("o_orderpriority").startswith("3"), "PristineResources").alias("ReserveLevel"), "Rings", none.cast("array<struct<Type: string, Count: int>>").alias("Signals"))
+    blank = [none.cast("string").alias("ReserveLevel"), none.cast(scans.schema["Rings"].dataType).alias("Rings")]
+    mapped = o.where("o_orderstatus = 'F'").select(F.lit("SAAScanComplete").alias("event"), F.lit("t").alias("timestamp"), key, "StarSystem", "BodyName", *blank, none.cast("array<struct<Type: string, Count: int>>").alias("Signals"))
+    hot = F.when(F.col("o_orderpriority").startswith("1"), F.array(F.lit("Tritium"), F.lit("Tritium"))).when(F.col("o_orderpriority").startswith("2"), F.array(F.lit("Tritium"))).when(F.col("o_orderpriority").startswith("5"), F.array(F.lit("Platinum")))
+    signals = F.transform(hot, lambda t: F.struct(t.alias("Type"), F.lit(7).alias("Count")))
+    found = o.where(hot.isNotNull()).select(F.lit("SAASignalsFound").alias("event"), F.lit("t").alias("timestamp"), key, "StarSystem", "BodyName", *blank, signals.alias("Signals"))
+    return scans.unionByName(mapped).unionByName(found)
+
+
+@query(LOG + " select system_name, body_name, ring_name, mapped, tritium, platinum, not mapped as dss_required, round(s, 9) as sigma_norm, round(rt, 9) as rmoi_tritium, round(rp, 9) as rmoi_platinum from z")
+def log_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ranking.rank_log(materialize(survey_log(spark, sf_dir), "log"))
+    return out.select("system_name", "body_name", "ring_name", "mapped", "tritium", "platinum", "dss_required", *[F.round(c, 9).alias(c) for c in ("sigma_norm", "rmoi_tritium", "rmoi_platinum")])
+
+
+@query(LOG + " select system_name, body_name, ring_name, round(mass, 4) as mass, round(rt, 9) as rmoi_tritium from z where rt > 0 order by rt desc, mass desc, system_name, body_name, ring_name limit 200")
+def log_tasking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ranking.tasking(ranking.rank_log(materialize(survey_log(spark, sf_dir), "log")), "tritium", 200)
+    return out.select("system_name", "body_name", "ring_name", F.round("mass", 4).alias("mass"), F.round("rmoi_tritium", 9).alias("rmoi_tritium"))
+
+
+@query(LOG + """ select 'C' || o_custkey || '|O' || o_orderkey as body, coalesce(mapped, false) as mapped, tritium, platinum from orders
+ left join (select o_orderkey as k, mapped, tritium, platinum from b) on k = o_orderkey where mapped or tritium + platinum > 0""")
 def mapped_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.bool_or(F.col("o_orderstatus") == "F").alias("mapped"), F.count_if(F.col("o_orderpriority").startswith("1")).alias("tritium"))
-    return table(spark, sf_dir, "customer").select("c_custkey").join(o, "c_custkey", "left").fillna({"mapped": False, "tritium": 0})
+    log = materialize(survey_log(spark, sf_dir), "log")
+    both = ranking.mapped_bodies(log).withColumn("mapped", F.lit(True)).join(ranking.hotspots(log), "_key", "full")
+    return both.select(F.col("_key").alias("body"), F.coalesce("mapped", F.lit(False)).alias("mapped"), F.coalesce("tritium", F.lit(0)).alias("tritium"), F.coalesce("platinum", F.lit(0)).alias("platinum"))
 
 
-@query("select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query(LOG + """ select system_name, body_name as "BodyName", 'SAAScanComplete' as event from b where not (scanned and o_orderkey in (select l_orderkey from lineitem)) and mapped union all select system_name, body_name, 'SAASignalsFound' from b where not (scanned and o_orderkey in (select l_orderkey from lineitem)) and tritium + platinum > 0""")
 def unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select("c_custkey", "c_name").join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    return ranking.unmatched_mapping(materialize(survey_log(spark, sf_dir), "log")).select("system_name", "BodyName", "event")
+
+
+@query(LOG + " select case type when 'rocky' then 'rocky' when 'icy' then 'icy' else 'metal_rich' end as type, round(median(d), 9) as median, count(*) as ring_count from r group by 1")
+def class_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rings = ranking.log_rings(survey_log(spark, sf_dir)).withColumn("surface_density", S.surface_density_or_zero("mass", S.ring_area_or_zero("inner", "outer")))
+    return ranking.class_medians(rings).select("type", F.round("median", 9).alias("median"), "ring_count")
 
 
 @query("""
-select user_id, event_type, max_by(event_id, ts) as event_id, max_by(value, ts) as value, max(ts) as ts from events group by 1, 2""")
+with n as (select distinct user_id from events where event_type = 'signup')
+select event_id, 'U ' || user_id as system_name from events where user_id in (select user_id from n) and event_type = 'view'""")
+def sector_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of the systems of a sector; their names differ in case and spaces."""
+    e = table(spark, sf_dir, "events")
+    log = e.where("event_type = 'view'").select("event_id", F.concat(F.lit("U "), "user_id").alias("StarSystem"), F.lit(None).cast("string").alias("SystemName"))
+    systems = e.where("event_type = 'signup'").select(F.concat(F.lit(" u  "), "user_id").alias("system_name"))
+    return ranking.of_systems(log, systems).select("event_id", F.col("StarSystem").alias("system_name"))
+
+
+DUMP = """
+with r as (select 'C' || o_custkey as system_name, o_custkey as system_address, 'O' || o_orderkey as body_name, 'R' || l_linenumber as ring_name, l_extendedprice as mass, l_linenumber as a, l_linenumber + l_quantity - 5 as b from orders join lineitem on l_orderkey = o_orderkey)"""
+
+
+def dump_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested systems as JSON texts: customers, their orders as bodies and the lines of these as rings; every other system in the other spelling of the keys."""
+    ring = F.struct(F.concat(F.lit("R"), "l_linenumber").alias("name"), F.col("l_extendedprice").alias("massMT"), F.col("l_linenumber").alias("innerRad"), (F.col("l_linenumber") + F.col("l_quantity") - 5).alias("outerRad"))
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(ring).alias("rings"))
+    bodies = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(lines, "o_orderkey").select("o_custkey", F.struct(F.concat(F.lit("O"), "o_orderkey").alias("name"), "rings").alias("body"))
+    systems = bodies.groupBy("o_custkey").agg(F.collect_list("body").alias("bodies"))
+    first = F.to_json(F.struct(F.concat(F.lit("C"), "o_custkey").alias("name"), F.col("o_custkey").alias("id64"), "bodies"))
+    other = F.to_json(F.struct(F.concat(F.lit("C"), "o_custkey").alias("StarSystem"), F.col("o_custkey").alias("SystemAddress"), F.col("bodies").alias("Bodies")))
+    return systems.select(F.when(F.col("o_custkey") % 2 == 0, first).otherwise(other).alias("system"))
+
+
+@query(DUMP + """ select system_name, system_address, body_name, ring_name, round(mass, 4) as mass, case when b > a then b - a end as ring_width, round(case when b > a then pi() * (b * b - a * a) end, 6) as ring_area,
+ round(case when b > a then mass / (pi() * (b * b - a * a)) end, 6) as surface_density, round(case when b > a then mass / (b - a) end, 6) as linear_density from r""")
+def flattened_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dump.flatten(dump_of_orders(spark, sf_dir), "1970-01-01T00:00:00Z")
+    return out.select("system_name", "system_address", "body_name", "ring_name", F.round("mass", 4).alias("mass"), "ring_width", *[F.round(c, 6).alias(c) for c in ("ring_area", "surface_density", "linear_density")])
+
+
+@query(DUMP + " select 'bodies_raw' as payload, count(distinct body_name) as keys from r union all select 'rings_payloads', count(distinct body_name || ring_name) from r union all select 'systems_raw', count(distinct system_name) from r")
+def payload_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dump.payloads(materialize(dump_of_orders(spark, sf_dir), "dump"), "all")
+    out = None
+    for name in sorted(kept):
+        row = kept[name].agg(F.lit(name).alias("payload"), F.count("*").alias("keys"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("""
+with e as (select *, event_id % 3 <> 0 as later from events)
+select user_id, event_type, case when bool_or(later) then max_by(event_id, struct_pack(a := later, b := event_id)) else max(event_id) end as event_id,
+ max_by(value, struct_pack(a := later, b := event_id)) as value from e group by 1, 2""")
 def latest_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value", "ts").withColumn("_ts", F.col("ts"))
-    empty = e.where("false").drop("_ts")
-    return dump.upsert(empty.withColumn("_ts", F.lit(None).cast("timestamp_ntz")), e, ["user_id", "event_type"], "_ts").drop("_ts")
+    """A third of the events is the table as it stands, by key; the others are upserted into it."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value").withColumn("_seq", F.col("event_id"))
+    key, old = ["user_id", "event_type"], e.where("event_id % 3 = 0")
+    stands = dump.upsert(old.where("false"), old, key, "_seq")
+    return dump.upsert(stands, e.where("event_id % 3 <> 0"), key, "_seq").drop("_seq")
 
 
 @query("""
@@ -335,36 +430,134 @@ def kmeans_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def staged_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """k-medoids of each subregion; held against brute force and known cases in the tests."""
-    banded = _banded(spark, sf_dir).withColumn("ring_id", F.format_string("%09d", "vec_id")).withColumn("subregion", F.concat_ws("-", "subregion", F.pmod(F.xxhash64("vec_id"), F.floor(F.col("vec_id") / 1000) + 1)))
+    """k-medoids of each whole subregion; held against brute force and known cases in the tests."""
+    banded = _banded(spark, sf_dir).withColumn("ring_id", F.format_string("%09d", "vec_id"))
     return routes.stage_clusters(banded, k=3).drop("cluster_id").withColumn("distance", F.round("distance", 9)).withColumn("distance2", F.round("distance2", 9))
 
 
-@query()
-def greedy_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy routes through the points of each block of 500 ids; held against brute force in the tests."""
-    p = points(spark, sf_dir).select(F.floor(F.col("vec_id") / 500).cast("string").alias("route"), F.format_string("%09d", "vec_id").alias("ring_id"), "x", "y", "z", "moi")
-    return routes.greedy_route(p)
+GREEDY = "with recursive " + BANDS[5:] + """,
+co as (select quadrant as route, vec_id, x, y, z, moi, row_number() over (partition by quadrant order by moi desc, vec_id) as k from b qualify k <= 60),
+w as (select route, 1 as seq, vec_id, x, y, z, 0.0::double as step, [vec_id] as seen from co where k = 1
+  union all select * exclude (pos) from (select co.route, w.seq + 1 as seq, co.vec_id, co.x, co.y, co.z, sqrt((co.x-w.x)*(co.x-w.x)+(co.y-w.y)*(co.y-w.y)+(co.z-w.z)*(co.z-w.z)) as step, list_append(w.seen, co.vec_id) as seen,
+    row_number() over (partition by co.route order by (co.x-w.x)*(co.x-w.x)+(co.y-w.y)*(co.y-w.y)+(co.z-w.z)*(co.z-w.z), co.moi desc, co.vec_id) as pos from w join co on co.route = w.route and not list_contains(w.seen, co.vec_id)) where pos = 1)"""
 
 
-@query()
+@query(GREEDY + " select route, seq::int as seq, vec_id, round(step, 6) as step, round(sum(step) over (partition by route order by seq rows unbounded preceding), 6) as cumulative from w")
+def greedy_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy routes through the cohort of the 60 best points of each quadrant."""
+    best = scoring.cohort(_banded(spark, sf_dir).select("quadrant", "vec_id", "x", "y", "z", "moi"), ["quadrant"], "moi", "vec_id", 60, strict=False)
+    out = routes.greedy_route(best.select(F.col("quadrant").alias("route"), F.format_string("%09d", "vec_id").alias("ring_id"), "x", "y", "z", "moi"))
+    return out.select("route", "seq", F.col("ring_id").cast("bigint").alias("vec_id"), F.round("step", 6).alias("step"), F.round("cumulative", 6).alias("cumulative"))
+
+
+@query("with recursive " + BANDS[5:] + """,
+g as (select quadrant || '-' || band as region, avg(x) as cx, avg(y) as cy, avg(z) as cz from b group by 1),
+w as (select 0 as seq, 'start' as region, 1.0::double as cx, 0.0::double as cy, 0.0::double as cz, 0.0::double as fx, 0.0::double as fy, 0.0::double as fz, 0.0::double as leg, ['start'] as seen
+  union all select * exclude (pos) from (select w.seq + 1 as seq, g.region, g.cx, g.cy, g.cz, w.cx as fx, w.cy as fy, w.cz as fz, sqrt((g.cx-w.cx)*(g.cx-w.cx)+(g.cy-w.cy)*(g.cy-w.cy)+(g.cz-w.cz)*(g.cz-w.cz)) as leg, list_append(w.seen, g.region) as seen,
+    row_number() over (order by (g.cx-w.cx)*(g.cx-w.cx)+(g.cy-w.cy)*(g.cy-w.cy)+(g.cz-w.cz)*(g.cz-w.cz), g.region) as pos from w join g on not list_contains(w.seen, g.region)) where pos = 1),
+m as (select w.seq, w.region, w.leg, b.vec_id, sqrt((b.x-fx)*(b.x-fx)+(b.y-fy)*(b.y-fy)+(b.z-fz)*(b.z-fz)) as d, row_number() over (partition by w.seq order by (b.x-fx)*(b.x-fx)+(b.y-fy)*(b.y-fy)+(b.z-fz)*(b.z-fz), moi desc, vec_id) as pos from w join b on b.quadrant || '-' || b.band = w.region)
+select seq::int as seq, region, round(leg, 6) as leg, vec_id as entry, round(d, 6) as entry_distance from m where pos = 1""")
 def region_itinerary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy order of the subregions with their entry points; held against known cases in the tests."""
+    """Greedy order of the subregions with their entry points."""
     banded = _banded(spark, sf_dir).withColumn("ring_id", F.format_string("%09d", "vec_id"))
-    return routes.itinerary(spatial.summaries(banded, "subregion", "ring_id", "moi"), banded, "subregion", (1.0, 0.0, 0.0))
+    out = routes.itinerary(spatial.summaries(banded, "subregion", "ring_id", "moi"), banded, "subregion", (1.0, 0.0, 0.0))
+    return out.select("seq", "region", F.round("leg", 6).alias("leg"), F.col("entry_id").cast("bigint").alias("entry"), F.round("entry_distance", 6).alias("entry_distance"))
+
+
+# Clusters for sequencing: the points of a quadrant with one label, about their mean.
+LABELLED = BANDS + """,
+o as (select quadrant as subregion, label as cluster_index, avg(x) as x, avg(y) as y, avg(z) as z, count(*) as size_n from b group by 1, 2),
+e as (select b.vec_id, o.*, sqrt((b.x-o.x)*(b.x-o.x)+(b.y-o.y)*(b.y-o.y)+(b.z-o.z)*(b.z-o.z)) as d from b join o on b.quadrant = o.subregion and b.label = o.cluster_index),
+f as (select *, row_number() over (partition by subregion, cluster_index order by d, vec_id) - 1 as i from e),
+u as (select subregion, cluster_index, any_value(x) as x, any_value(y) as y, any_value(z) as z, any_value(size_n) as size_n, max(case when i = floor((size_n - 1) * 0.9) then d end) as p90, max(d) as radius_max, sum(d) as cost from f group by 1, 2)"""
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(clusters, members) of the points of a quadrant with one label."""
+    p = _banded(spark, sf_dir).select(F.col("quadrant").alias("subregion"), F.col("label").alias("cluster_index"), "vec_id", "x", "y", "z")
+    means = p.groupBy("subregion", "cluster_index").agg(*[F.avg(c).alias(f"c{c}") for c in "xyz"], F.count("*").alias("size_n"))
+    ident = F.concat_ws("/", "subregion", F.col("cluster_index").cast("string"))
+    members = p.join(means.drop("size_n"), ["subregion", "cluster_index"]).select("subregion", "cluster_index", ident.alias("cluster_id"), ident.alias("medoid_id"), F.format_string("%09d", "vec_id").alias("ring_id"), S.distance("x", "y", "z", "cx", "cy", "cz").alias("distance"))
+    members = materialize(members.withColumn("distance2", F.col("distance") * F.col("distance")), "members")
+    stats = routes.cluster_stats(members)
+    clusters = stats.join(means.select("subregion", "cluster_index", *[F.col(f"c{c}").alias(c) for c in "xyz"]), ["subregion", "cluster_index"])
+    return clusters, members
+
+
+@query(LABELLED + " select subregion, cluster_index, size_n, round(p90, 6) as radius_p90, round(radius_max, 6) as radius_max, round(cost, 6) as cost_sum from u")
+def cluster_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clusters, _ = _labelled(spark, sf_dir)
+    return clusters.select("subregion", "cluster_index", "size_n", *[F.round(c, 6).alias(c) for c in ("radius_p90", "radius_max", "cost_sum")])
+
+
+@query("with recursive " + LABELLED[5:] + """,
+w as (select subregion, 0 as sequence, -1 as cluster_index, 'START' as last, 0.0::double as x, 0.0::double as y, 0.0::double as z, 0.0::double as leg, [-1] as seen from (select distinct subregion from u)
+  union all select * exclude (near, pos) from (select *, row_number() over (partition by subregion order by score, leg) as pos from
+   (select u.subregion, w.sequence + 1 as sequence, u.cluster_index, case when w.sequence = 0 then 'START' else w.subregion || '/' || w.cluster_index end as last, u.x, u.y, u.z, sqrt((u.x-w.x)*(u.x-w.x)+(u.y-w.y)*(u.y-w.y)+(u.z-w.z)*(u.z-w.z)) as leg, list_append(w.seen, u.cluster_index) as seen,
+     sqrt((u.x-w.x)*(u.x-w.x)+(u.y-w.y)*(u.y-w.y)+(u.z-w.z)*(u.z-w.z)) + case when sqrt((u.x-w.x)*(u.x-w.x)+(u.y-w.y)*(u.y-w.y)+(u.z-w.z)*(u.z-w.z)) > 0.05 then 100000.0 else 0 end - 250.0 * ln(1.0 + size_n) + 50.0 * p90 as score,
+     row_number() over (partition by u.subregion order by (u.x-w.x)*(u.x-w.x)+(u.y-w.y)*(u.y-w.y)+(u.z-w.z)*(u.z-w.z), u.cluster_index) as near from w join u on u.subregion = w.subregion and not list_contains(w.seen, u.cluster_index)) where near <= 3) where pos = 1)
+select subregion, sequence::int as sequence, cluster_index, last as from_cluster, round(leg, 6) as leg, leg > 0.05 as staging_required from w where sequence > 0""".replace("* exclude (near, pos)", "* exclude (near, pos, score)"))
+def cluster_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clusters, _ = _labelled(spark, sf_dir)
+    out = routes.sequence_clusters(clusters.withColumnRenamed("radius_p90", "p90"), (0.0, 0.0, 0.0), 0.05)
+    return out.select("subregion", "sequence", "cluster_index", "from_cluster", F.round("leg", 6).alias("leg"), "staging_required")
+
+
+@query(LABELLED + """, a as (select *, sqrt(size_n) / (p90 + 1.0) as priority from u)
+select subregion, cluster_index, row_number() over (partition by subregion order by priority desc, p90, size_n desc, cluster_index)::int as cluster_rank, round(priority, 6) as priority from a""")
+def candidate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clusters, members = _labelled(spark, sf_dir)
+    out, _ = routes.export_candidates(clusters, members.withColumn("assign_rank", F.lit(1)), ("subregion", "cluster_index"))
+    return out.select("subregion", "cluster_index", "cluster_rank", F.round("priority", 6).alias("priority"))
+
+
+@query(LABELLED + """, v as (select *, dense_rank() over (partition by subregion order by cluster_index) as sequence from f)
+select subregion, sequence::int as sequence, vec_id, row_number() over (partition by subregion, sequence order by d, vec_id)::int as target_order from v""")
+def sequence_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets of clusters that are visited in the order of their labels."""
+    clusters, members = _labelled(spark, sf_dir)
+    order = clusters.select("subregion", F.dense_rank().over(Window.partitionBy("subregion").orderBy("cluster_index")).cast("int").alias("sequence"), "cluster_id")
+    out = routes.sequence_targets(order, members)
+    return out.select("subregion", "sequence", F.col("ring_id").cast("bigint").alias("vec_id"), "target_order")
+
+
+@query(BANDS + """ select vec_id, case when quadrant in ('E', 'N') then 'region' else 'ring' end as found, round(case when quadrant in ('E', 'N') then x + 1 else x end, 6) as x from b""")
+def medoid_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of medoids: from the regions' table, which has half of them here, else from the rings'."""
+    b = _banded(spark, sf_dir).withColumn("ring_id", F.format_string("%09d", "vec_id"))
+    regions = b.where("quadrant in ('E', 'N')").select("ring_id", (F.col("x") + 1).alias("x"), "y", "z")
+    out = routes.placed_clusters(b.select("vec_id", F.col("ring_id").alias("medoid_id"), "quadrant"), regions, b.select("ring_id", "x", "y", "z"))
+    return out.select("vec_id", F.when(F.col("quadrant").isin("E", "N"), "region").otherwise("ring").alias("found"), F.round("x", 6).alias("x"))
+
+
+@query(POINTS + " select 'l' || label as system_key, count(*) as rings, round(avg(x), 9) as x, round(avg(y), 9) as y, round(avg(z), 9) as z from p group by 1")
+def system_centers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean places of systems whose names come in either case."""
+    p = points(spark, sf_dir).withColumn("system_name", F.concat(F.when(F.col("vec_id") % 2 == 0, "L").otherwise("l"), "label"))
+    out = spatial.system_average(p)
+    return out.select("system_key", "rings", *[F.round(c, 9).alias(c) for c in "xyz"])
 
 
 # --- crosswalk, live -------------------------------------------------------------------------------------------------------------
 
 
-@query("""
-with s as (select n_nationkey as k, n_name, [lower(n_name), cast(n_nationkey as varchar)] as toks from nation),
-m as (select c_custkey, k from customer join s on c_nationkey = k where list_bool_or(list_transform(toks, lambda t: case when regexp_matches(t, '^\\d+$') then regexp_matches(lower(c_name), '\\b' || t || '\\b') else contains(lower(c_name), t) end)))
-select k, count(*) as matches, min(c_custkey) as first_match from m group by 1""")
+@query(r"""
+with s as (select 'u' || s_suppkey as source_url, 's' || s_suppkey as key, ['a ' || (s_suppkey % 7), 'b ' || (s_suppkey % 11)] as toks from supplier),
+r as (select c_custkey as ring_id, 's' || (c_custkey // 15) as key, 'S' || (c_custkey // 15) || ' A ' || (c_custkey % 7) as body, 'Ring B ' || (c_custkey % 11) as ring, case when c_mktsegment = 'BUILDING' then 'Icy' else 'Rocky' end as type, c_acctbal as moi from customer),
+m as (select *, list_bool_or(list_transform(toks, lambda t: contains(lower(body), t))) as inb, list_bool_or(list_transform(toks, lambda t: contains(lower(ring), t))) as inr,
+  list_bool_or(list_transform(toks, lambda t: regexp_matches(lower(body), '\b' || t || '\b'))) as whole from s join r using (key)),
+c as (select *, row_number() over (partition by source_url order by type <> 'Icy', whole desc, inb desc, moi desc, ring_id) as place, count(*) over (partition by source_url) as n from m where inb or inr),
+p as (select ring_id, cume_dist() over (partition by type order by moi) as percentile from r)
+select s.source_url, coalesce(c.n, 0) as matches, case when c.n is null then 'NOT_FOUND' when c.n = 1 then 'MATCHED' else 'MATCHED_MULTIPLE' end as status, c.ring_id as best_ring_id, c.type as best_ring_type, c.moi as best_moi, round(p.percentile, 9) as percentile
+from s left join c on c.source_url = s.source_url and c.place = 1 left join p on p.ring_id = c.ring_id""")
 def token_crosswalk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.array(F.lower("n_name"), F.col("n_nationkey").cast("string")).alias("toks"))
-    met = table(spark, sf_dir, "customer").join(s, F.col("c_nationkey") == F.col("k")).where(S.token_matches(F.col("toks"), "c_name"))
-    return met.groupBy("k").agg(F.count("*").alias("matches"), F.min("c_custkey").alias("first_match"))
+    """Sites made of suppliers, matched to rings made of customers by system and planet tokens."""
+    k, c = F.col("s_suppkey"), F.col("c_custkey")
+    known = table(spark, sf_dir, "supplier").select(F.concat(F.lit("u"), k).alias("source_url"), F.concat(F.lit("s"), k).alias("system_name"), F.concat(F.lit("A"), k % 7, F.lit(" and B"), k % 11, F.lit(" rings")).alias("planets"))
+    system = F.concat(F.lit("S"), F.expr("c_custkey div 15"))
+    rings = table(spark, sf_dir, "customer").select(c.alias("ring_id"), system.alias("system_name"), F.concat(system, F.lit(" A "), c % 7).alias("body_name"), F.concat(F.lit("Ring B "), c % 11).alias("ring_name"), F.when(F.col("c_mktsegment") == "BUILDING", "Icy").otherwise("Rocky").alias("ring_type"), F.col("c_acctbal").alias("moi_final"))
+    out = crosswalk.best_matches(known, rings.select("ring_id", "system_name", "body_name", "ring_name"), rings.select("ring_id", "ring_type", "moi_final"))
+    return out.select("source_url", "matches", "status", "best_ring_id", "best_ring_type", "best_moi", F.round("percentile", 9).alias("percentile"))
 
 
 LIVE = """

@@ -10,6 +10,7 @@ import zipfile
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(name: str = "quillon", **conf: str) -> SparkSession:
@@ -19,9 +20,11 @@ def session(name: str = "quillon", **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new one where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a new one, if all run on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -34,6 +37,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most so many rows, which is checked; else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def settings(flags: dict[str, Any], path: str | None = None, defaults: dict[str, Any] | None = None) -> dict[str, Any]:
     """Settings by precedence: a flag that is set, then the JSON file (ignored if it is not there or not valid), then the default."""
     stored: dict[str, Any] = {}

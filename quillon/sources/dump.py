@@ -29,12 +29,14 @@ def detect_format(path: str) -> str:
 def read_systems(spark: SparkSession, path: str, kind: str = "jsonl", partitions: int | None = None) -> DataFrame:
     """One JSON text a system. Bad lines and what is no object go.
 
-    An array document with one system a line is read by lines, splittable; ``document`` reads whole files and takes the array apart.
+    An array document with one system a line is read by lines, splittable; ``document`` reads whole files and takes the array apart,
+    one task a file, and fails on one that is cut off.
     A gzip file is one partition, so it is dealt out anew at once.
     """
     if kind == "document":
         whole = spark.read.text(path, wholetext=True)
-        rows = whole.select(F.explode(F.from_json("value", "array<string>")).alias("system"))
+        read = F.from_json("value", "array<string>")
+        rows = whole.select(F.explode(F.coalesce(read, F.raise_error(F.lit("an array document is cut off or no JSON")))).alias("system"))
     else:
         line = F.regexp_replace(F.trim("value"), r"^\[\s*|\s*\]$|,$", "")
         rows = spark.read.text(path).select(line.alias("system")).where("system <> ''")
@@ -49,42 +51,50 @@ def _parts(json_text: str, *keys: str) -> Column:
     return F.filter(F.coalesce(arrays, F.array().cast("array<string>")), lambda x: F.ltrim(x).startswith("{"))
 
 
-def primary_star(system: str = "system") -> Column:
-    """Spectral struct of the main star, else of the first star, among the system's bodies."""
+def primary_star(bodies: Column) -> Column:
+    """Spectral struct of the main star, else of the first star, among a system's bodies."""
     kind = lambda b: F.coalesce(first_value(b, "type", "bodyType", "class"), F.lit(""))
-    stars = F.filter(_parts(system, "bodies", "Bodies"), lambda b: F.lower(kind(b)).contains("star") | (F.trim(F.coalesce(first_value(b, "starType", "StarType"), F.lit(""))) != ""))
-    main = F.filter(stars, lambda b: F.coalesce(first_value(b, "mainStar", "isMainStar"), F.lit("false")) == "true")
-    chosen = F.coalesce(F.get(main, 0), F.get(stars, 0))
-    return S.spectral(first_value(chosen, "spectralClass", "SpectralClass", "subType", "starType", "StarType"))
+    stars = F.filter(bodies, lambda b: F.lower(kind(b)).contains("star") | (F.trim(F.coalesce(first_value(b, "starType", "StarType"), F.lit(""))) != ""))
+    main = lambda found: F.filter(found, lambda b: F.coalesce(first_value(b, "mainStar", "isMainStar"), F.lit("false")) == "true")
+    chosen = S.let(stars, lambda found: F.coalesce(F.get(main(found), 0), F.get(found, 0)))
+    return S.let(chosen, lambda star: S.spectral(first_value(star, "spectralClass", "SpectralClass", "subType", "starType", "StarType")))
 
 
 def flatten(systems: DataFrame, updated_at: str, limit: int | None = None) -> DataFrame:
     """A row per ring (schema RINGS_RAW); rings without a name, or of an unnamed body or system, go.
 
-    Alternate key spellings are looked up in order; keys are case-sensitive.
+    Alternate key spellings are looked up in order; keys are case-sensitive. What belongs to a system or a body is read once for it,
+    before its parts are taken apart.
     """
     v = first_value
-    sys_ = systems.select("system", primary_star("system").alias("star"), F.explode(_parts("system", "bodies", "Bodies")).alias("body"))
-    rings = sys_.select("system", "star", "body", F.explode(_parts("body", "rings", "Rings")).alias("ring"))
     coords = lambda c: F.coalesce(F.get_json_object("system", f"$.coords.{c}"), F.when(F.get_json_object("system", "$.coords").isNull(), F.get_json_object("system", f"$.{c}"))).try_cast("double")
-    raw = rings.select(
+    own = systems.select(
         v("system", "name", "systemName", "StarSystem").alias("system_name"),
         S.safe_int(v("system", "id64", "systemAddress", "SystemAddress")).alias("system_address"),
         *[coords(c).alias(c) for c in "xyz"],
-        *[F.col(f"star.{k}").alias(f"primary_star_{k}") for k in ("spectral", "type", "subtype", "luminosity", "class")],
+        _parts("system", "bodies", "Bodies").alias("bodies"),
+    ).where("coalesce(system_name, '') <> ''")
+    above = ["system_name", "system_address", "x", "y", "z", "star"]
+    bodies = own.withColumn("star", primary_star(F.col("bodies"))).select(*above, F.explode("bodies").alias("body")).select(
+        *above,
         v("body", "name", "Name", "bodyName", "BodyName").alias("body_name"),
         S.safe_int(v("body", "bodyId", "BodyID", "id")).alias("body_id"),
         v("body", "type", "bodyType", "class").alias("body_type"),
         v("body", "subType", "subtype", "subClass", "subclass", "planetClass").alias("body_sub_type"),
+        S.safe_float(v("body", "distanceToArrival", "DistanceFromArrivalLS", "distanceFromArrivalLS")).alias("arrival_distance_ls"),
+        S.safe_float(v("body", "gravity", "Gravity", "surfaceGravity", "SurfaceGravity")).alias("parent_body_gravity"),
+        _parts("body", "rings", "Rings").alias("rings"),
+    ).where("coalesce(body_name, '') <> ''")
+    raw = bodies.select(*[c for c in bodies.columns if c != "rings"], F.explode("rings").alias("ring")).select(
+        *[c for c in bodies.columns if c not in ("rings", "star")],
+        *[F.col(f"star.{k}").alias(f"primary_star_{k}") for k in ("spectral", "type", "subtype", "luminosity", "class")],
         v("ring", "name", "Name", "ringName", "RingName").alias("ring_name"),
         v("ring", "ringClass", "RingClass", "type", "class").alias("ring_type"),
         v("ring", "reserveLevel", "ReserveLevel").alias("reserve_level"),
         S.safe_float(v("ring", "massMT", "MassMT", "mass")).alias("mass"),
         v("ring", "innerRad", "InnerRad", "innerRadius", "InnerRadius").alias("_inner"),
         v("ring", "outerRad", "OuterRad", "outerRadius", "OuterRadius").alias("_outer"),
-        S.safe_float(v("body", "distanceToArrival", "DistanceFromArrivalLS", "distanceFromArrivalLS")).alias("arrival_distance_ls"),
-        S.safe_float(v("body", "gravity", "Gravity", "surfaceGravity", "SurfaceGravity")).alias("parent_body_gravity"),
-    ).where("coalesce(system_name, '') <> '' and coalesce(body_name, '') <> '' and coalesce(ring_name, '') <> ''")
+    ).where("coalesce(ring_name, '') <> ''")
     sized = raw.withColumns({"inner_radius": S.safe_float("_inner"), "outer_radius": S.safe_float("_outer")})
     sized = sized.withColumns({"ring_width": S.ring_width("inner_radius", "outer_radius"), "ring_area": S.ring_area("inner_radius", "outer_radius")})
     sized = sized.withColumns({"surface_density": S.surface_density("mass", "ring_area"), "linear_density": S.linear_density("mass", "ring_width")})

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +56,28 @@ def markdown(df: DataFrame, title: str, most: int = 1000) -> str:
     return f"# {title}\n\n" + "\n".join("| " + " | ".join(r) + " |" for r in cells) + "\n"
 
 
+def json_report(df: DataFrame, title: str, most: int = 1000) -> str:
+    """A small table as a JSON report; more than ``most`` rows is an error."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report has at most {most} rows")
+    return json.dumps({"title": title, "rows": [r.asDict(recursive=True) for r in rows]}, indent=2, sort_keys=True, default=str)
+
+
+def dated_name(path: str, date: str | None = None) -> str:
+    """The path with _yyyy-mm-dd before its ending (.sqlite) or after its name; today's date in UTC unless given."""
+    date = date or datetime.now(timezone.utc).date().isoformat()
+    stem, dot, ending = path.rpartition(".")
+    return f"{stem}_{date}.{ending}" if dot and ending.lower() == "sqlite" else f"{path}_{date}"
+
+
+def write_top_tables(top: DataFrame, path: str) -> None:
+    """The ranked rings and their flags, each written whole in place of the last run's: ``path/ranked`` and ``path/flags``."""
+    top.write.mode("overwrite").parquet(f"{path}/ranked")
+    written = top.sparkSession.read.parquet(f"{path}/ranked")
+    written.select("system_name", "body_name", "ring_name", F.col("category").alias("top_category"), F.col("rank").alias("top_rank"), F.lit(1).alias("is_top")).write.mode("overwrite").parquet(f"{path}/flags")
+
+
 def audit(tables: dict[str, DataFrame]) -> list[tuple[str, str, str]]:
     """(table, column, type) of every column."""
     return [(name, c, kind) for name, df in sorted(tables.items()) for c, kind in df.dtypes]

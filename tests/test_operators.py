@@ -2,11 +2,12 @@ import csv
 import math
 import os
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.functions.quantiles import ranked
+from quillon.functions.quantiles import medians, ranked
 from quillon.operators import crosswalk, ranking, routes, scoring, spatial
 from quillon.operators.graph import connected_components
 
@@ -44,6 +45,19 @@ def test_histogram(spark):
     assert sum(r["rows"] for r in scoring.histogram(df.where("false"), "p").collect()) == 0
 
 
+def test_medians_and_shares(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, 1.0, 2.0, 5.0, 7.5])) for _ in range(300)] + [("one", 4.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    own = lambda g: sorted(v for h, v in rows if h == g and v is not None)
+    assert {r.g: r["median"] for r in medians(df, ["g"], "v").collect()} == {g: statistics.median(own(g)) for g in ("a", "b", None, "one")}
+    assert medians(df, [], "v").first()[0] == statistics.median(v for _, v in rows if v is not None) and medians(df.where("g = 'none'"), [], "v").collect() == [(None,)]
+    got = scoring.percentile_of_known(df, ["g"], "v").collect()
+    assert len(got) == sum(v is not None for _, v in rows) and all(abs(r.percentile - sum(x <= r.v for x in own(r.g)) / len(own(r.g))) < 1e-12 for r in got)
+    plan = scoring.percentile_of_known(df, ["g"], "v")._jdf.queryExecution().optimizedPlan().toString()
+    assert "cume_dist" not in plan.lower() and "percentile(" not in plan.lower()
+
+
 def test_ranked_is_a_global_row_number(spark):
     rng = random.Random(1)
     rows = [(rng.choice("ab"), rng.randint(0, 5), i) for i in range(500)]
@@ -115,8 +129,20 @@ def test_medoids(spark):
     assert {r.k for r in got} == {2}
     same = routes.stage_clusters(points(spark, [("a", 0, 0, 0, None), ("b", 0, 0, 0, 9), ("c", 5, 0, 0, 9)]), k=3).collect()
     assert len(same) == 3
-    with pytest.raises(ValueError, match="at most 2"):
-        routes.stage_clusters(points(spark, [("a", 0, 0, 0, 1), ("b", 1, 0, 0, 10), ("c", 2, 0, 0, 1)]), limit=2)
+    assert routes.stage_clusters(points(spark, [("a", 0, 0, 0, 1)]).unionByName(points(spark, [("b", 0, 0, 0, 1)], "h")), only=["h"]).select("ring_id").collect() == [("b",)]
+
+
+@pytest.mark.parametrize("k", [3, None])
+def test_medoids_of_large_groups_are_the_same(spark, monkeypatch, k):
+    """By one call a group, and by jobs over blocks of its points."""
+    rng = random.Random(9)
+    monkeypatch.setattr(routes, "POLICY", {"inner": (9.0, 4), "outer": (9.0, 4)})
+    rows = [(f"p{i:03}", rng.choice([0, 20, 45]) + rng.random() * 8, rng.random() * 8, rng.random(), None if i % 9 == 0 else rng.randint(0, 5)) for i in range(70)]
+    df = points(spark, rows + [("twin", *rows[0][1:4], 3)])
+    costs = routes._costs
+    monkeypatch.setattr(routes, "_costs", lambda assigned, block: costs(assigned, 20))
+    plain = lambda d: sorted((r.ring_id, r.k, r.cluster_index, r.cluster_id, r.medoid_id, r.assign_rank, round(r.distance, 9)) for r in d.collect())
+    assert plain(routes.stage_clusters(df, k=k, scope="s")) == plain(routes.stage_clusters(df, k=k, scope="s", limit=0))
 
 
 def test_route(spark):
@@ -140,6 +166,22 @@ def test_sequence_flags_long_legs(spark):
     assert [(r.cluster_id, r.from_cluster, r.staging_required) for r in rows] == [("c-1", "START", False), ("c-2", "c-1", False), ("c-3", "START", True), ("c-4", "c-3", False)] and rows[2].leg == 12000
 
 
+def test_places_of_medoids_and_systems(spark):
+    clusters = spark.createDataFrame([("E", "m1"), ("E", "m2"), ("E", "m3")], "subregion string, medoid_id string")
+    regions = spark.createDataFrame([("E", "m1", 1.0, 1.0, None), ("N", "m2", 9.0, 9.0, 9.0)], "subregion string, ring_id string, x double, y double, z double")
+    rings = spark.createDataFrame([("m1", 5.0, 5.0, 5.0), ("m2", 6.0, 6.0, 6.0)], "ring_id string, x double, y double, z double")
+    got = {r.medoid_id: (r.x, r.y, r.z) for r in routes.placed_clusters(clusters, regions, rings, ("subregion",)).collect()}
+    assert got == {"m1": (1.0, 1.0, 5.0), "m2": (6.0, 6.0, 6.0), "m3": (None, None, None)}
+    named = spark.createDataFrame([("Sol", 1.0, 0.0, 0.0), ("SOL", 3.0, 0.0, 0.0), ("sol", None, 0.0, 0.0), ("Elsewhere", None, None, None)], "system_name string, x double, y double, z double")
+    assert [tuple(r) for r in spatial.system_average(named).collect()] == [("sol", "SOL", 2.0, 0.0, 0.0, 2)]
+
+
+def test_kmeans_sweep(spark):
+    df = spark.createDataFrame([(f"r{i}", float(10 * (i // 3) + i % 3), 0.0, 0.0, float(-i)) for i in range(9)], "id string, x double, y double, z double, moi double")
+    rows = {r.k: r for r in spatial.kmeans_sweep(df, "id", "moi", [2, 3], near=1.5).collect()}
+    assert (rows[3].size_min, rows[3].size_max, rows[3].radius_max, rows[3].size_ratio, rows[3].within, rows[3].best) == (3, 3, 1.0, 1.0, 9, True) and not rows[2].best and rows[2].n_points == 9
+
+
 def test_latest_run(spark):
     runs = spark.createDataFrame([("s", "r1", "09:00", 1), ("s", "r2", "10:00", 2), ("s", "r0", "10:00", 3)], "scope string, run_id string, created_utc string, k int")
     assert routes.latest_run(runs, ["scope"]).first().run_id == "r2"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillon import schema
 from quillon.operators import ranking, sites
 from quillon.session import settings
-from quillon.sources import dump, logs, sinks
+from quillon.sources import dump, logs, sinks, tail
 from quillon.sources.tail import TailReader, TailSource
 from quillon.streaming import live
 
@@ -33,6 +33,12 @@ def test_flatten(spark, tmp_path, kind):
     assert a.ring_id == hashlib.sha1(b"123456789|5|Test Ring A|1|3").hexdigest() and r.ring_id == hashlib.sha1(b"Alt|7|R|3|2").hexdigest()
 
 
+def test_document_that_is_cut_off_fails(spark, tmp_path):
+    (tmp_path / "d.json").write_text(json.dumps([SYSTEM, ALT])[:-40])
+    with pytest.raises(Exception, match="cut off"):
+        dump.read_systems(spark, str(tmp_path / "d.json"), "document").collect()
+
+
 def test_flatten_limit_and_payloads(spark):
     df = spark.createDataFrame([(json.dumps(SYSTEM),), (json.dumps(ALT),), (json.dumps(SYSTEM),)], "system string")
     assert dump.flatten(df, "now", limit=1).count() == 1
@@ -109,6 +115,19 @@ PAGE = """<html><head><title>Sys | Site</title></head><body><h1>Sys A</h1><div>M
 <p>Material Type Tritium, Platinum Mining Type Laser Overlap # 2 Thanks to: Bob</p></div><p>First words.</p><p>First words.</p><p>Second words.</p><a href="/mining-location/x?y=1">x</a><a href="/p2" rel="next">go</a></body></html>"""
 
 
+def test_deep_pages_and_names_of_outputs(spark, tmp_path):
+    assert sites.site("<div>" * 3000 + "<h1>Deep</h1>")["system_name"] == "Deep"
+    assert sinks.dated_name("/a/b.sqlite", "2026-01-02") == "/a/b_2026-01-02.sqlite" and sinks.dated_name("/a/b.db", "2026-01-02") == "/a/b.db_2026-01-02"
+    top = spark.createDataFrame([("S", "B", "R", "Icy", 1)], "system_name string, body_name string, ring_name string, category string, rank int")
+    sinks.write_top_tables(top, str(tmp_path / "top"))
+    assert spark.read.parquet(str(tmp_path / "top" / "flags")).first().top_rank == 1 and json.loads(sinks.json_report(top, "T"))["rows"][0]["category"] == "Icy"
+    systems = spark.createDataFrame([(" s ", 1.0, 2.0, 3.0, 1), ("S", 4.0, 0.0, 0.0, 2), ("T", None, None, None, 1)], "system_name string, x double, y double, z double, seq int")
+    rings = spark.createDataFrame([("S",), ("T",)], "system_name string")
+    assert [r.distance for r in ranking.with_distance(rings, systems, (0.0, 0.0, 0.0), "seq").collect()] == [4.0] and ranking.without_place(rings, systems).first()["count"] == 1
+    events = spark.createDataFrame([("S", None), (" s", "X"), ("", "S"), (None, None), ("X", "S")], "StarSystem string, SystemName string")
+    assert ranking.of_systems(events, systems).count() == 3
+
+
 def test_sites(spark):
     pages = spark.createDataFrame([("http://h/a?q#z", PAGE), ("http://h/b", None)], "url string, html string")
     rows = {r.source_url: r for r in sites.parse_sites(pages).collect()}
@@ -145,16 +164,28 @@ def test_tail_reader(tmp_path):
     log = tmp_path / "Journal.1.log"
     log.write_text("old\n")
     reader = TailReader({"path": str(tmp_path)})
+    rows = lambda start, end: sorted(r for p in reader.partitions(start, end) for r in reader.read(p))
     at = reader.initialOffset()
     with log.open("a") as f:
         f.write("one\ntw")
-    rows, at2 = reader.read(at)
-    assert list(rows) == [("Journal.1.log", 4, "one")]
+    at2 = reader.latestOffset()
+    assert rows(at, at2) == [("Journal.1.log", 4, "one")]
     with log.open("a") as f:
         f.write("o\n")
     (tmp_path / "Journal.2.log").write_text("three\n")
-    rows, at3 = reader.read(at2)
-    assert sorted(rows) == [("Journal.1.log", 8, "two"), ("Journal.2.log", 0, "three")] and list(reader.readBetweenOffsets(at2, at3)) == [("Journal.1.log", 8, "two"), ("Journal.2.log", 0, "three")]
+    at3 = reader.latestOffset()
+    assert rows(at2, at3) == [("Journal.1.log", 8, "two"), ("Journal.2.log", 0, "three")] and reader.latestOffset() == at3 and rows(at3, at3) == []
+
+
+def test_tail_ranges_split_a_file_between_lines(tmp_path, monkeypatch):
+    text = "".join(f"line {k} {'x' * (k % 7)}\n" for k in range(50))
+    (tmp_path / "Journal.1.log").write_text(text + "half")
+    reader = TailReader({"path": str(tmp_path), "startingOffsets": "earliest"})
+    start, end = reader.initialOffset(), reader.latestOffset()
+    for size in (1, 5, 64, 10_000):
+        monkeypatch.setattr(tail, "RANGE", size)
+        found = [r for p in reader.partitions(start, end) for r in reader.read(p)]
+        assert [v for _, _, v in found] == text.splitlines() and [text[a:].split("\n")[0] for _, a, _ in found] == text.splitlines()
 
 
 def test_stream_equals_batch(spark, tmp_path):
