@@ -38,12 +38,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2**64. Those up to 2**20 are kept for the next call, and no more of them."""
+    """Powers of the base and of its inverse, modulo 2**64. Those up to 2**21 are kept for the next call, and no more of them."""
     if not _powers or len(_powers[0]) < n:
         n = max(n, 1 << 16)
         inverse = pow(int(BASE), -1, 1 << 64)
         found = [np.cumprod(np.concatenate([[U(1)], np.full(n, b, U)]), dtype=U) for b in (BASE, U(inverse))]
-        if n > 1 << 20:
+        if n > 1 << 21:
             return found[0], found[1]
         _powers[:] = found
     return _powers[0], _powers[1]

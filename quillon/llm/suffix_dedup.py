@@ -8,7 +8,7 @@ more than once go on, with the bytes of their own windows around them.
 For each gram the suffixes at its anchors are sorted, rightwards and leftwards: a merge sort whose comparisons find the common
 extension by binary search over prefix polynomial hashes. The neighbours in these orders bound how far an anchor's repeats reach, and
 so which of its windows can repeat; these are matched by their hashes, and every match is verified byte by byte. A gram with many
-anchors is dealt out in chunks; what a chunk cannot settle is settled by counting its windows' 128-bit hashes across chunks.
+anchors is dealt out in chunks; what a chunk cannot settle is settled by counting its windows' 128-bit BLAKE2 digests across chunks.
 
 Texts are UTF-8 bytes, null counts as empty, and no string crosses documents. A text of at least ``length`` bytes that is there more
 than once goes altogether. Texts are known by a 64-bit hash and their length. doc_ids may be null or tie; repeated rows count as
@@ -31,7 +31,6 @@ from quillon.llm.near_dup import BASE, U, mix, powers
 
 #: Bits of a place in a text: Spark's strings have less than 2 GiB.
 POSITION_BITS = 31
-SECOND = U(0xA24BAED4963EE407)
 
 
 def prefix_sums(data: np.ndarray, add: int = 1) -> np.ndarray:
@@ -137,7 +136,7 @@ def repeats(group: np.ndarray, open_: np.ndarray, key: np.ndarray, at: np.ndarra
     """Repeated windows of the anchors, which come in ascending groups.
 
     ``contexts`` are the bytes of each anchor's windows, from the window at ``first`` on. Returns (anchor, begin, end) of stretches of
-    repeated windows, and for open groups, of which other chunks hold a part, (hash, second hash, anchor or -1, window) of each
+    repeated windows, and for open groups, of which other chunks hold a part, (digest in two numbers, anchor or -1, window) of each
     different window: -1 if it repeats here.
     """
     sizes = np.array([len(c) for c in contexts], np.int64)
@@ -151,7 +150,6 @@ def repeats(group: np.ndarray, open_: np.ndarray, key: np.ndarray, at: np.ndarra
     high = np.where(open_, sizes - length, np.minimum(sizes - length, at - first + right - length))
     owner, j = runs(low, high)
     sums = prefix_sums(data)
-    sums2 = np.concatenate([[U(0)], np.cumsum(mix(data.astype(U) + SECOND) * powers(n + 1)[0][:n], dtype=U)])
     down = powers(n + 1)[1]
     p = base[owner] + j
     h = mix((sums[p + length] - sums[p]) * down[p] + group[owner].astype(U) * BASE)
@@ -169,8 +167,11 @@ def repeats(group: np.ndarray, open_: np.ndarray, key: np.ndarray, at: np.ndarra
     found = (o[cut], first[o[cut]] + v[cut], first[o[cut]] + v[to] + length)
     lead = order[np.concatenate([[True], h[order][1:] != h[order][:-1]])] if len(h) else order
     lead = lead[open_[owner[lead]]]
-    whole = [mix((s[p[lead] + length] - s[p[lead]]) * down[p[lead]]) for s in (sums, sums2)]
-    return found, (whole[0].view(np.int64), whole[1].view(np.int64), np.where(again[lead], -1, owner[lead]), first[owner[lead]] + j[lead])
+    # windows meet those of other chunks without their bytes, so by a digest that no two strings are known to share
+    raw = data.tobytes()
+    digests = b"".join([hashlib.blake2b(raw[k : k + length], digest_size=16).digest() for k in p[lead].tolist()])
+    whole = np.frombuffer(digests, "<i8").reshape(-1, 2)
+    return found, (whole[:, 0], whole[:, 1], np.where(again[lead], -1, owner[lead]), first[owner[lead]] + j[lead])
 
 
 def verified(data: np.ndarray, base: np.ndarray, owner: np.ndarray, j: np.ndarray, x: np.ndarray, y: np.ndarray, length: int) -> np.ndarray:

@@ -463,7 +463,7 @@ def test_strays_meet_in_finer_buckets(spark):
 
 def test_workers_keep_little(spark):
     near_dup.powers(3 << 20)
-    assert not near_dup._powers or len(near_dup._powers[0]) <= (1 << 20) + 1
+    assert not near_dup._powers or len(near_dup._powers[0]) <= (1 << 21) + 1
     text = "word " * 300_000 + "x" * 2_000_000
     assert (near_dup.word_hashes(text) == near_dup.word_hashes(text, chunk=1 << 30)).all()
     one, two = [(1, "some item", 0)], [(2, "another", 0)]
