@@ -75,6 +75,23 @@ def test_components(spark):
     assert spatial.sweep(df, "id", [500.0, 2000.0]).orderBy("threshold").select("clusters").collect() == [(6,), (3,)]
 
 
+def test_components_against_all_pairs(spark):
+    """Dense clumps, a chain, points at the threshold and equal points."""
+    rng = random.Random(7)
+    rows = [(k, rng.gauss(3 * (k % 3), 0.4), rng.gauss(0, 0.4), rng.gauss(0, 0.4)) for k in range(240)] + [(300 + k, 20 + k * 0.5, 0.0, 0.0) for k in range(9)] + [(400, 50.0, 0.0, 0.0), (401, 50.5, 0.0, 0.0), (402, 51.00001, 0.0, 0.0), (403, 50.0, 0.0, 0.0)]
+    rows += [(500 + k, 70 + rng.random() * 3, rng.random() * 3, 0.0) for k in range(60)]
+    parent = {r[0]: r[0] for r in rows}
+    find = lambda x: x if parent[x] == x else find(parent[x])
+    for i, p in enumerate(rows):
+        for q in rows[:i]:
+            if sum((u - v) * (u - v) for u, v in zip(p[1:], q[1:], strict=True)) <= 0.25:
+                a, b = find(p[0]), find(q[0])
+                parent[max(a, b)] = min(a, b)
+    df = spark.createDataFrame([*rows, (999, None, 0.0, 0.0)], "id int, x double, y double, z double")
+    got = {r.id: r.comp for r in spatial.components(df, "id", 0.5).collect()}
+    assert got == {i: find(i) for i in parent}
+
+
 def test_graph_components_against_union_find(spark):
     rng = random.Random(2)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)]
