@@ -30,8 +30,9 @@ def link(members: DataFrame, prepare: Callable[[DataFrame], tuple[Compare, Viabl
 
     ``prepare`` gets all (bucket, id) that share a bucket, and returns the comparison: of rows (bucket, id, comp) with rows
     (bucket, x, x_comp) of the same bucket and another component it returns the linked (a, b). Before the last round, where all strays
-    are compared, what ``prepare`` also returns gets the rows that are left and says which ids may be linked with any of them, with columns
-    of bounds that the last comparison (its third argument is true then) can use. Columns of members that ``carry`` names come along, as they are and with x_ before their names. ``refine`` is SQL over these for an item's finer buckets, an array.
+    are compared, what ``prepare`` also returns gets the rows that are left and returns those that may be linked with any other, with columns
+    of bounds that the last comparison (its third argument is true then) can use. Columns of members that ``carry`` names come along, as
+    they are and with x_ before their names. ``refine`` is SQL over these for an item's finer buckets, an array.
     """
     flat = members.select("id", F.explode("buckets").alias("bucket"), *carry)
     shared = materialize(flat.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "shared-buckets")
@@ -51,8 +52,8 @@ def link(members: DataFrame, prepare: Callable[[DataFrame], tuple[Compare, Viabl
         mixed = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
         named = materialize(named.join(mixed, "bucket"), "mixed-buckets")
         if viable and k == rounds:
-            bounds, extra = viable(named)
-            named, carry = materialize(named.join(bounds, "id"), "viable-members"), (*carry, *extra)
+            named, extra = viable(named)
+            named, carry = materialize(named, "viable-members"), (*carry, *extra)
         largest = named.groupBy("bucket", "comp").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "comp")).getField("comp").alias("large"))
         strays = named.join(largest, "bucket").where("comp <> large").select("bucket", "id", "comp", "degree", *carry).join(used, ["bucket", "id"], "left_anti")
         if k < rounds:

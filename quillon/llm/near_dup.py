@@ -227,7 +227,7 @@ def classes(docs: DataFrame, bands: int = 20, rows: int = 5, threshold: float =
             own = materialize(maybe_in(held, "id", bitmap(ids, "id")).join(ids, "id").select("id", F.explode(cell_list("cells")).alias("cell")), "open-cells")
             twice = own.groupBy("cell").agg(F.count("*").alias("c")).where("c > 1").select("cell", F.lit(1).alias("again"))
             bounds = own.join(twice, "cell", "left").groupBy("id").agg(F.count("*").alias("cells_n"), F.count("again").alias("shared_n"))
-            return bounds.where(f"shared_n >= {threshold} * cells_n"), ("cells_n", "shared_n")
+            return rows.join(bounds.where(f"shared_n >= {threshold} * cells_n"), "id"), ("cells_n", "shared_n")
 
         def compare(rows: DataFrame, others: DataFrame, last: bool) -> DataFrame:
             test = f"comp <> x_comp and {differing(4 * -(-coordinates // 64))} <= {most}"

@@ -624,6 +624,29 @@ def test_lines_that_differ_at_word_starts_are_linked(spark):
     assert len(want) == 120 and removed_by_stage(spark, rows) == want
 
 
+@pytest.mark.parametrize("crowd", [0, 100])
+def test_crowded_lines_keep_their_links(spark, monkeypatch, crowd):
+    """A crowd of near copies, links among its strays, and links of crowded lines with lines outside the crowd."""
+    rng = random.Random(21)
+    monkeypatch.setattr(line_dedup, "CROWD", crowd)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    base, lines = [word() for _ in range(60)], []
+    for _ in range(140):
+        own = list(base)
+        for _ in range(rng.randint(1, 6)):
+            own[rng.randrange(60)] = word()
+        lines.append(" ".join(own))
+        if rng.random() < 0.2:
+            own[rng.randrange(60)] = word()
+            lines.append(" ".join(own))
+    for k in range(20):
+        tail = [word() for _ in range(40)]
+        lines += [" ".join(base[:20] + tail), " ".join(base[:20] + tail[:-1] + [word()]), " ".join(tail[:-2] + base[:18])]
+    rows = list(enumerate(dict.fromkeys(lines)))
+    want, got = removed_by_brute_force(rows), removed_by_stage(spark, rows)
+    assert got <= want and len(got) >= 0.99 * len(want)
+
+
 def test_lines_hard(spark):
     out = line_dedup.dedup_lines(hard(spark), counts=True)
     rows = out.collect()
