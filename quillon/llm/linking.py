@@ -2,8 +2,10 @@
 
 A bucket (a band's value) holds items that may be alike. At first every bucket names one pivot, the member that meets most others in
 all its buckets, and its members are compared with that pivot alone, so work is in proportion to the members, whatever the size of the bucket. Links join items into components; a bucket whose
-members are one component is finished. In the others, up to ``pivots`` members outside the bucket's largest component are the next
-pivots, compared with everything that is not yet theirs: a stray that has been a pivot is settled. What is still open after ``rounds``
+members are one component is finished. In the others, up to ``pivots`` members outside the bucket's largest component, the strays, are
+the next pivots, compared with everything that is not yet theirs: a stray that has been a pivot is settled. So are twice as many
+members of the largest component, dealt by hash: a stray that is linked with a part of its members is likely to meet one of these, at a
+cost that follows the strays and not the pairs. What is still open after ``rounds``
 of these is settled at once, strays against the members of other components. With ``refine`` they meet in finer buckets for that:
 many items may share a bucket by a common passage alone, and those seldom share a finer one.
 """
@@ -25,7 +27,7 @@ Compare = Callable[[DataFrame, DataFrame, bool], DataFrame]
 Viable = Callable[[DataFrame], tuple[DataFrame, tuple[str, ...]]]
 
 
-def link(members: DataFrame, prepare: Callable[[DataFrame], tuple[Compare, Viable | None]], rounds: int = 1, pivots: int = 8, carry: tuple[str, ...] = (), refine: str | None = None) -> DataFrame:
+def link(members: DataFrame, prepare: Callable[[DataFrame], tuple[Compare, Viable | None]], rounds: int = 2, pivots: int = 8, carry: tuple[str, ...] = (), refine: str | None = None) -> DataFrame:
     """members: rows (id, buckets), a long and a list of different longs. Returns (node, comp) for the ids that have a link.
 
     ``prepare`` gets all (bucket, id) that share a bucket, and returns the comparison: of rows (bucket, id, comp) with rows
@@ -55,10 +57,13 @@ def link(members: DataFrame, prepare: Callable[[DataFrame], tuple[Compare, Viabl
             named, extra = viable(named)
             named, carry = materialize(named, "viable-members"), (*carry, *extra)
         largest = named.groupBy("bucket", "comp").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "comp")).getField("comp").alias("large"))
-        strays = named.join(largest, "bucket").where("comp <> large").select("bucket", "id", "comp", "degree", *carry).join(used, ["bucket", "id"], "left_anti")
+        strays = named.join(largest, "bucket").withColumn("stray", F.col("comp") != F.col("large")).drop("large", "n")
         if k < rounds:
-            strays = strays.selectExpr("*", "row_number() over (partition by bucket order by degree desc, id) as r").where(F.col("r") <= pivots).drop("r")
-        strays = materialize(strays, "strays")
+            strays = strays.join(used, ["bucket", "id"], "left_anti").withColumn("rank", F.when(F.col("stray"), -F.col("degree")).otherwise(F.xxhash64("id")))
+            strays = strays.selectExpr("*", "row_number() over (partition by bucket, stray order by rank, id) as r").where(F.col("r") <= F.when(F.col("stray"), pivots).otherwise(2 * pivots))
+        else:
+            strays = strays.where("stray").join(used, ["bucket", "id"], "left_anti")
+        strays = materialize(strays.select("bucket", "id", "comp", "degree", *carry), "strays")
         if strays.isEmpty():
             break
         rows, pivots_ = named, strays
