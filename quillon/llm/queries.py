@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import binary_output, decontaminate, html_text, language, line_dedup, near_dup, packing, quality, sharding, suffix_dedup
+from quillon.llm import binary_output, decontaminate, hard_negatives, html_text, language, line_dedup, near_dup, packing, pieces, quality, sharding, suffix_dedup, whitening
 from quillon.llm.common import crc32_utf8, table
 from quillon.llm.tokens import default_tokenizer
 
@@ -64,5 +64,19 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "repeats")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_resharding, op2_packing, op3_quality_rules, op4_decontamination, op5_token_output, op6_html_extraction, op7_near_dedup, op8_language_id, op9_line_dedup, op10_suffix_dedup)}
-ORACLES: dict[str, str] = {"op3_quality_rules": quality.oracle(), "op6_html_extraction": html_text.ORACLE}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return hard_negatives.hard_negatives(rows)
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pieces.encode(table(spark, sf_dir, "documents"), pieces.default_piece_model(), decoded=True)
+    return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_resharding, op2_packing, op3_quality_rules, op4_decontamination, op5_token_output, op6_html_extraction, op7_near_dedup, op8_language_id, op9_line_dedup, op10_suffix_dedup, op11_hard_negatives, op12_sentencepiece, op13_whitening)}
+ORACLES: dict[str, str] = {"op3_quality_rules": quality.oracle(), "op6_html_extraction": html_text.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE}
