@@ -7,11 +7,17 @@ from __future__ import annotations
 
 import math
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.session import broadcast_if_small, materialize
 
+#: Bits that a pass of the selection looks at, groups times places that the driver holds, rows that are left to the last step.
+DIGIT, MOST_PLACES, FEW_ROWS = 16, 50_000, 250_000
+
 
 def ranked(df: DataFrame, group: list[str], order: list[Column], partitions: int | None = None, weight: str | None = None) -> DataFrame:
     """``df`` with idx (from 0, by ``order`` within ``group``) and n (rows of the group).
@@ -43,11 +49,89 @@ def weighed(df: DataFrame, group: list[str], value: str) -> DataFrame:
     return ranked(df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_w")), group, [F.col(value)], weight="_w")
 
 
+def ordered_bits(value: Column) -> Column:
+    """A whole number for each double, in the doubles' order: exponent and fraction as IEEE 754 lays them out, negated below zero.
+
+    Both zeros are 0, NaN is the greatest. The logarithm may be off by one near powers of two, so the exponent is set right after it;
+    all products are by powers of two and exact.
+    """
+    size = F.abs(value)
+    near = F.greatest(F.lit(-1022), F.least(F.lit(1023), F.floor(F.log2(size)).cast("int")))
+    scaled = lambda e: size * F.pow(F.lit(2.0), -e)
+    exponent = F.when(scaled(near) >= 2, near + 1).when((scaled(near) < 1) & (near > -1022), near - 1).otherwise(near)
+    normal = (exponent + 1023).cast("long") * F.lit(1 << 52) + ((scaled(exponent) - 1) * F.lit(float(1 << 52))).cast("long")
+    subnormal = (size * F.lit(2.0**537) * F.lit(2.0**537)).cast("long")
+    bits = F.when(size == float("inf"), F.lit(0x7FF << 52)).when(size < 2.0**-1022, subnormal).otherwise(normal)
+    return F.when(F.isnan(value), F.lit((1 << 63) - 1)).when(value < 0, -bits).otherwise(bits)
+
+
+def _key(df: DataFrame, value: str) -> Column | None:
+    """Whole numbers in the order of a column's values; none for types without such numbers here."""
+    kind = df.schema[value].dataType
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return F.col(value).cast("long")
+    return ordered_bits(F.col(value).cast("double")) if isinstance(kind, (T.FloatType, T.DoubleType)) else None
+
+
+def _same(left: list[str], right: list[str]) -> Column:
+    out = F.lit(True)
+    for a, b in zip(left, right, strict=True):
+        out = out & F.col(a).eqNullSafe(F.col(b))
+    return out
+
+
+def select_places(df: DataFrame, group: list[str], value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """A row per group with a known value: n and, under each name, the value at the place (from 0) that ``places`` gives for n.
+
+    Selection by digits of the ordered bits: a pass counts the rows of each (group, digit) among those that share a wanted place's digits
+    so far, which is a count combined before the shuffle, and takes the digit that holds the place. Passes go on until few rows are left,
+    or all bits are used; then the different values that are left are counted and numbered. No row is shuffled or written before that. The
+    driver holds a row a group and place; with more of them than ``MOST_PLACES``, all rows are dealt by ranges and numbered.
+    """
+    key = _key(df, value)
+    known = df.where(F.col(value).isNotNull()).select(*group, value)
+    cut = [f"_g{i}" for i in range(len(group))]
+    held = T.StructType([T.StructField(c, df.schema[g].dataType) for c, g in zip(cut, group, strict=True)] + [T.StructField("_name", T.StringType())] + [T.StructField(c, T.LongType()) for c in ("_n", "_at", "_digits", "_rows")])
+    if key is None:
+        return _numbered_places(known, group, value, places)
+    keyed, spark = known.withColumn("_key", key), df.sparkSession
+    shift = 64 - DIGIT
+    by = Window.partitionBy(*group)
+    counts = keyed.groupBy(*group, F.shiftright("_key", shift).alias("_digits")).agg(F.count("*").alias("_rows"))
+    counts = counts.withColumns({"_before": F.sum("_rows").over(by.orderBy("_digits")) - F.col("_rows"), "_n": F.sum("_rows").over(by)})
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), place(F.col("_n")).cast("long").alias("at")) for name, place in places.items()]))
+    inside = (F.col("_w.at") >= F.col("_before")) & (F.col("_w.at") < F.col("_before") + F.col("_rows"))
+    first = counts.withColumn("_w", wanted).where(inside).select(*[F.col(g).alias(c) for g, c in zip(group, cut, strict=True)], F.col("_w.name").alias("_name"), "_n", (F.col("_w.at") - F.col("_before")).alias("_at"), "_digits", "_rows")
+    found = first.limit(MOST_PLACES + 1).collect()
+    while True:
+        if len(found) > MOST_PLACES:
+            return _numbered_places(known, group, value, places)
+        targets = F.broadcast(spark.createDataFrame(found, held))
+        cells = F.broadcast(targets.select(*cut, F.col("_digits").alias("_cell")).distinct())
+        left = keyed.join(cells, _same(group, cut) & (F.shiftright("_key", shift) == F.col("_cell"))).drop(*cut)
+        if shift == 0 or sum({(tuple(r[c] for c in cut), r["_digits"]): r["_rows"] for r in found}.values()) <= FEW_ROWS:
+            break
+        shift -= DIGIT
+        counts = left.groupBy(*group, "_cell", F.shiftright("_key", shift).alias("_next")).agg(F.count("*").alias("_many"))
+        counts = counts.withColumn("_before", F.sum("_many").over(Window.partitionBy(*group, "_cell").orderBy("_next")) - F.col("_many"))
+        met = counts.join(targets, _same(group, cut) & (F.col("_cell") == F.col("_digits"))).where((F.col("_at") >= F.col("_before")) & (F.col("_at") < F.col("_before") + F.col("_many")))
+        found = met.select(*cut, "_name", "_n", (F.col("_at") - F.col("_before")).alias("_at"), F.col("_next").alias("_digits"), F.col("_many").alias("_rows")).collect()
+    values = left.groupBy(*group, "_cell", value).agg(F.count("*").alias("_many"))
+    values = values.withColumn("_before", F.sum("_many").over(Window.partitionBy(*group, "_cell").orderBy(value)) - F.col("_many"))
+    met = values.join(targets, _same(group, cut) & (F.col("_cell") == F.col("_digits"))).where((F.col("_at") >= F.col("_before")) & (F.col("_at") < F.col("_before") + F.col("_many")))
+    return met.groupBy(*group).agg(F.max("_n").alias("n"), *[F.max(F.when(F.col("_name") == name, F.col(value))).alias(name) for name in places])
+
+
+def _numbered_places(known: DataFrame, group: list[str], value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """``select_places`` for many groups or other types: different values dealt by ranges and numbered."""
+    at = lambda place: (F.col("idx") <= place) & (place < F.col("idx") + F.col("_w"))
+    return weighed(known, group, value).groupBy(*group).agg(F.max("n").alias("n"), *[F.max(F.when(at(place(F.col("n"))), F.col(value))).alias(name) for name, place in places.items()])
+
+
 def medians(df: DataFrame, group: list[str], value: str, name: str = "median") -> DataFrame:
     """A row per group with a known value: the mean of the middle two. Without a group one row, null if nothing is known."""
-    at = lambda pos: F.max(F.when((F.col("idx") <= pos) & (pos < F.col("idx") + F.col("_w")), F.col(value)))
-    middle = (at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2.0
-    return weighed(df, group, value).groupBy(*group).agg(middle.alias(name))
+    middle = select_places(df, group, value, {"_lower": lambda n: F.floor((n - 1) / 2), "_upper": lambda n: F.floor(n / 2)})
+    return middle.select(*group, ((F.col("_lower") + F.col("_upper")) / 2.0).alias(name))
 
 
 def share_not_above(df: DataFrame, group: list[str], value: str, name: str) -> DataFrame:
@@ -57,9 +141,7 @@ def share_not_above(df: DataFrame, group: list[str], value: str, name: str) -> D
 
 def floor_quantiles(df: DataFrame, group: list[str], value: str, ident: str, quantiles: dict[str, float]) -> DataFrame:
     """A row per group: n and, under each name, the value at floor((n - 1) * q). Nulls in ``value`` are left out."""
-    numbered = ranked(df.where(F.col(value).isNotNull()).select(*group, value, ident), group, [F.col(value), F.col(ident)])
-    picks = [F.max(F.when(F.col("idx") == F.floor((F.col("n") - 1) * F.lit(q)), F.col(value))).alias(name) for name, q in quantiles.items()]
-    return numbered.groupBy(*group).agg(F.max("n").alias("n"), *picks)
+    return select_places(df, group, value, {name: lambda n, q=q: F.floor((n - 1) * F.lit(q)) for name, q in quantiles.items()})
 
 
 def rank_fraction(df: DataFrame, value: str, ident: str, name: str, count: str = "norm_count") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import scalar as S
-from quillon.functions.quantiles import floor_quantiles, rank_fraction, share_not_above
+from quillon.functions.quantiles import floor_quantiles, rank_fraction, share_not_above, weighed
 from quillon.session import broadcast_if_small
 
 QUANTILES = {"p95": 0.95, "p99": 0.99, "p99_5": 0.995, "p99_9": 0.999}
@@ -81,8 +81,14 @@ def bucket(percentile: Column) -> Column:
     return out
 
 
-def histogram(df: DataFrame, percentile: str) -> DataFrame:
-    """Rows per bucket, zeros too; null percentiles are left out."""
+def histogram(df: DataFrame, percentile: str, weight: str | None = None) -> DataFrame:
+    """Rows per bucket, zeros too; null percentiles are left out. With ``weight`` a row counts so often."""
     names = df.sparkSession.createDataFrame([(b,) for b, _ in BUCKETS], "bucket string")
-    counts = df.where(F.col(percentile).isNotNull()).groupBy(bucket(F.col(percentile)).alias("bucket")).count()
+    counts = df.where(F.col(percentile).isNotNull()).groupBy(bucket(F.col(percentile)).alias("bucket")).agg((F.sum(weight) if weight else F.count("*")).alias("count"))
     return F.broadcast(names).join(counts, "bucket", "left").select("bucket", F.coalesce("count", F.lit(0)).cast("bigint").alias("rows"))
+
+
+def percentile_histogram(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """Rows per bucket of the share of their group's known values that are not greater: counted on the different values, so no row is joined."""
+    shares = weighed(df, group, value).withColumn("_share", (F.col("idx") + F.col("_w")) / F.col("n"))
+    return histogram(shares, "_share", "_w")

@@ -113,7 +113,7 @@ with c as (select cume_dist() over (partition by o_orderpriority order by o_tota
 b as (select case when p < 0.5 then '<0.50' when p < 0.8 then '0.50-0.80' when p < 0.95 then '0.80-0.95' when p < 0.99 then '0.95-0.99' else '>=0.99' end as bucket from c)
 select v.bucket, count(b.bucket) as rows from (values ('<0.50'), ('0.50-0.80'), ('0.80-0.95'), ('0.95-0.99'), ('>=0.99')) v(bucket) left join b on b.bucket = v.bucket group by 1""")
 def percentile_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.histogram(scoring.percentile_of_known(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice"), "percentile")
+    return scoring.percentile_histogram(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice")
 
 
 @query("""
