@@ -5,6 +5,7 @@ Computed doubles are rounded alike on both sides. Points are the first three num
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from quillon.functions import scalar as S
 from quillon.functions.quantiles import floor_quantiles, medians, rank_fraction
 from quillon.operators import crosswalk, ranking, routes, scoring, sites, spatial
-from quillon.session import materialize
+from quillon.session import materialize, shared_dir
 from quillon.sources import dump
 from quillon.streaming import live
 
@@ -324,6 +325,19 @@ def flattened_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("system_name", "system_address", "body_name", "ring_name", F.round("mass", 4).alias("mass"), "ring_width", *[F.round(c, 6).alias(c) for c in ("ring_area", "surface_density", "linear_density")])
 
 
+@query("select o_orderkey as order_key, o_custkey as customer, o_orderstatus as status, o_totalprice as price, o_orderpriority as priority from orders")
+def array_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders written as array documents of one line, some 20,000 elements each, and read back by blocks."""
+    orders = table(spark, sf_dir, "orders")
+    files = orders.count() // 20_000 + 1
+    element = F.to_json(F.struct(F.col("o_orderkey").alias("key"), F.struct(F.col("o_custkey").alias("id")).alias("customer"), F.struct(F.col("o_totalprice").alias("price"), F.array("o_orderstatus", "o_orderpriority").alias("marks")).alias("own")))
+    documents = orders.groupBy(F.pmod(F.xxhash64("o_orderkey"), F.lit(files))).agg(F.concat(F.lit("["), F.concat_ws(", ", F.collect_list(element)), F.lit("]")).alias("value"))
+    path = f"{shared_dir(spark).rstrip('/')}/arrays-{uuid.uuid4().hex}"
+    documents.select("value").repartition(files).write.text(path)
+    of = lambda key: F.get_json_object("system", f"$.{key}")
+    return dump.read_systems(spark, path, "document").select(of("key").cast("bigint").alias("order_key"), of("customer.id").cast("bigint").alias("customer"), of("own.marks[0]").alias("status"), of("own.price").cast("double").alias("price"), of("own.marks[1]").alias("priority"))
+
+
 @query(DUMP + " select 'bodies_raw' as payload, count(distinct body_name) as keys from r union all select 'rings_payloads', count(distinct body_name || ring_name) from r union all select 'systems_raw', count(distinct system_name) from r")
 def payload_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dump.payloads(materialize(dump_of_orders(spark, sf_dir), "dump"), "all")

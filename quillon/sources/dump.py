@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import scalar as S
 from quillon.schema import first_value
+from quillon.sources.arrays import read_array
 
 
 def detect_format(path: str) -> str:
@@ -29,14 +30,11 @@ def detect_format(path: str) -> str:
 def read_systems(spark: SparkSession, path: str, kind: str = "jsonl", partitions: int | None = None) -> DataFrame:
     """One JSON text a system. Bad lines and what is no object go.
 
-    An array document with one system a line is read by lines, splittable; ``document`` reads whole files and takes the array apart,
-    one task a file, and fails on one that is cut off.
-    A gzip file is one partition, so it is dealt out anew at once.
+    An array document with one system a line can be read by lines; ``document`` reads arrays of any layout by blocks, many tasks a
+    file, and fails on one that is cut off. A gzip file is one partition, so it is dealt out anew at once.
     """
     if kind == "document":
-        whole = spark.read.text(path, wholetext=True)
-        read = F.from_json("value", "array<string>")
-        rows = whole.select(F.explode(F.coalesce(read, F.raise_error(F.lit("an array document is cut off or no JSON")))).alias("system"))
+        rows = read_array(spark, path)
     else:
         line = F.regexp_replace(F.trim("value"), r"^\[\s*|\s*\]$|,$", "")
         rows = spark.read.text(path).select(line.alias("system")).where("system <> ''")
