@@ -49,28 +49,31 @@ def weighed(df: DataFrame, group: list[str], value: str) -> DataFrame:
     return ranked(df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_w")), group, [F.col(value)], weight="_w")
 
 
-def ordered_bits(value: Column) -> Column:
-    """A whole number for each double, in the doubles' order: exponent and fraction as IEEE 754 lays them out, negated below zero.
+def with_bits(df: DataFrame, value: str, name: str) -> DataFrame:
+    """``df`` with a whole number for each double, in the doubles' order: exponent and fraction as IEEE 754 lays them out, negated below zero.
 
-    Both zeros are 0, NaN is the greatest. The logarithm may be off by one near powers of two, so the exponent is set right after it;
-    all products are by powers of two and exact.
+    Both zeros are 0, NaN is the greatest. The logarithm may be off by one near powers of two, which the scaled number shows; all
+    products are by powers of two and exact. The steps are columns of their own, so each is computed once.
     """
-    size = F.abs(value)
-    near = F.greatest(F.lit(-1022), F.least(F.lit(1023), F.floor(F.log2(size)).cast("int")))
-    scaled = lambda e: size * F.pow(F.lit(2.0), -e)
-    exponent = F.when(scaled(near) >= 2, near + 1).when((scaled(near) < 1) & (near > -1022), near - 1).otherwise(near)
-    normal = (exponent + 1023).cast("long") * F.lit(1 << 52) + ((scaled(exponent) - 1) * F.lit(float(1 << 52))).cast("long")
-    subnormal = (size * F.lit(2.0**537) * F.lit(2.0**537)).cast("long")
-    bits = F.when(size == float("inf"), F.lit(0x7FF << 52)).when(size < 2.0**-1022, subnormal).otherwise(normal)
-    return F.when(F.isnan(value), F.lit((1 << 63) - 1)).when(value < 0, -bits).otherwise(bits)
-
-
-def _key(df: DataFrame, value: str) -> Column | None:
-    """Whole numbers in the order of a column's values; none for types without such numbers here."""
+    v = F.col(value).cast("double")
+    out = df.withColumn("_size", F.abs(v))
+    out = out.withColumn("_near", F.greatest(F.lit(-1022.0), F.least(F.lit(1023.0), F.log2("_size"))).cast("int"))
+    out = out.withColumn("_part", F.col("_size") * F.pow(F.lit(2.0), -F.col("_near")))
+    over, under = F.col("_part") >= 2, (F.col("_part") < 1) & (F.col("_near") > -1022)
+    out = out.withColumn("_step", F.when(over, 1).when(under, -1).otherwise(0))
+    part = F.col("_part") * F.when(F.col("_step") == 1, 0.5).when(F.col("_step") == -1, 2.0).otherwise(1.0)
+    normal = (F.col("_near") + F.col("_step") + 1023).cast("long") * F.lit(1 << 52) + ((part - 1) * F.lit(float(1 << 52))).cast("long")
+    subnormal = (F.col("_size") * F.lit(2.0**537) * F.lit(2.0**537)).cast("long")
+    out = out.withColumn("_bits", F.when(F.isnan("_size"), F.lit((1 << 63) - 1)).when(F.col("_size") == float("inf"), F.lit(0x7FF << 52)).when(F.col("_size") < 2.0**-1022, subnormal).otherwise(normal))
+    return out.withColumn(name, F.when(v < 0, -F.col("_bits")).otherwise(F.col("_bits"))).drop("_size", "_near", "_part", "_step", "_bits")
+
+
+def _keyed(df: DataFrame, value: str, name: str) -> DataFrame | None:
+    """``df`` with whole numbers in the order of a column's values; none for types without such numbers here."""
     kind = df.schema[value].dataType
     if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        return F.col(value).cast("long")
-    return ordered_bits(F.col(value).cast("double")) if isinstance(kind, (T.FloatType, T.DoubleType)) else None
+        return df.withColumn(name, F.col(value).cast("long"))
+    return with_bits(df, value, name) if isinstance(kind, (T.FloatType, T.DoubleType)) else None
 
 
 def _same(left: list[str], right: list[str]) -> Column:
@@ -84,17 +87,21 @@ def select_places(df: DataFrame, group: list[str], value: str, places: dict[str,
     """A row per group with a known value: n and, under each name, the value at the place (from 0) that ``places`` gives for n.
 
     Selection by digits of the ordered bits: a pass counts the rows of each (group, digit) among those that share a wanted place's digits
-    so far, which is a count combined before the shuffle, and takes the digit that holds the place. Passes go on until few rows are left,
-    or all bits are used; then the different values that are left are counted and numbered. No row is shuffled or written before that. The
-    driver holds a row a group and place; with more of them than ``MOST_PLACES``, all rows are dealt by ranges and numbered.
+    so far, which is a count combined before the shuffle, and takes the digit that holds the place. Passes go on while more than
+    ``FEW_ROWS`` rows are left and bits are unused; then the different values that are left are counted and numbered. No row is shuffled
+    or written before that. The driver holds a row a group and place; with more of them than ``MOST_PLACES``, and for types without
+    such bits, the different values are dealt by ranges and numbered.
     """
-    key = _key(df, value)
     known = df.where(F.col(value).isNotNull()).select(*group, value)
+    if known.limit(FEW_ROWS + 1).count() <= FEW_ROWS:
+        values = known.groupBy(*group, value).agg(F.count("*").alias("_w"))
+        by = Window.partitionBy(*group)
+        return _picked(values.withColumns({"idx": F.sum("_w").over(by.orderBy(value)) - F.col("_w"), "n": F.sum("_w").over(by)}), group, value, places)
+    keyed, spark = _keyed(known, value, "_key"), df.sparkSession
     cut = [f"_g{i}" for i in range(len(group))]
     held = T.StructType([T.StructField(c, df.schema[g].dataType) for c, g in zip(cut, group, strict=True)] + [T.StructField("_name", T.StringType())] + [T.StructField(c, T.LongType()) for c in ("_n", "_at", "_digits", "_rows")])
-    if key is None:
-        return _numbered_places(known, group, value, places)
-    keyed, spark = known.withColumn("_key", key), df.sparkSession
+    if keyed is None:
+        return _picked(weighed(known, group, value), group, value, places)
     shift = 64 - DIGIT
     by = Window.partitionBy(*group)
     counts = keyed.groupBy(*group, F.shiftright("_key", shift).alias("_digits")).agg(F.count("*").alias("_rows"))
@@ -105,7 +112,7 @@ def select_places(df: DataFrame, group: list[str], value: str, places: dict[str,
     found = first.limit(MOST_PLACES + 1).collect()
     while True:
         if len(found) > MOST_PLACES:
-            return _numbered_places(known, group, value, places)
+            return _picked(weighed(known, group, value), group, value, places)
         targets = F.broadcast(spark.createDataFrame(found, held))
         cells = F.broadcast(targets.select(*cut, F.col("_digits").alias("_cell")).distinct())
         left = keyed.join(cells, _same(group, cut) & (F.shiftright("_key", shift) == F.col("_cell"))).drop(*cut)
@@ -122,10 +129,10 @@ def select_places(df: DataFrame, group: list[str], value: str, places: dict[str,
     return met.groupBy(*group).agg(F.max("_n").alias("n"), *[F.max(F.when(F.col("_name") == name, F.col(value))).alias(name) for name in places])
 
 
-def _numbered_places(known: DataFrame, group: list[str], value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
-    """``select_places`` for many groups or other types: different values dealt by ranges and numbered."""
+def _picked(values: DataFrame, group: list[str], value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Values at places of (group, value, _w, idx, n), the different values with how often each is there and how many are before it."""
     at = lambda place: (F.col("idx") <= place) & (place < F.col("idx") + F.col("_w"))
-    return weighed(known, group, value).groupBy(*group).agg(F.max("n").alias("n"), *[F.max(F.when(at(place(F.col("n"))), F.col(value))).alias(name) for name, place in places.items()])
+    return values.groupBy(*group).agg(F.max("n").alias("n"), *[F.max(F.when(at(place(F.col("n"))), F.col(value))).alias(name) for name, place in places.items()])
 
 
 def medians(df: DataFrame, group: list[str], value: str, name: str = "median") -> DataFrame:

@@ -18,7 +18,8 @@ def test_bits_are_the_format_s(spark):
     r = random.Random(1)
     values = EDGES + [s * math.ldexp(m, e) for e in range(-1074, 1024) for s, m in ((1, 1.0), (-1, 1.0), (1, 2 - 2.0**-52), (1, 1 + r.random()))] + [struct.unpack("d", r.randbytes(8))[0] for _ in range(3000)]
     values = [v for v in values if not math.isnan(v)]
-    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", quantiles.ordered_bits(F.col("v")).alias("k")).collect()
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    rows = quantiles.with_bits(rows, "v", "k").collect()
     bits = lambda v: struct.unpack("q", struct.pack("d", abs(v)))[0] * (-1 if v < 0 else 1)
     assert [row.k for row in rows] == [bits(row.v) for row in rows] and len(rows) == len(values)
 
