@@ -16,6 +16,7 @@ from quillon.functions.quantiles import floor_quantiles, medians, rank_fraction
 from quillon.operators import crosswalk, ranking, routes, scoring, sites, spatial
 from quillon.session import materialize, shared_dir
 from quillon.sources import dump
+from quillon.sources.versions import VersionedTable
 from quillon.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -360,6 +361,41 @@ def latest_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dump.upsert(stands, e.where("event_id % 3 <> 0"), key, "_seq").drop("_seq")
 
 
+@query("""
+with e as (select *, event_id % 3 <> 0 as later from events)
+select user_id, event_type, case when bool_or(later) then max_by(event_id, struct_pack(a := later, b := event_id)) else max(event_id) end as event_id,
+ max_by(value, struct_pack(a := later, b := event_id)) as value from e group by 1, 2""")
+def merged_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a table in versions: a third of the events is its first version, the others are merged into the files that they meet."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value")
+    new = e.where("event_id % 3 <> 0")
+    first = e.where("event_id % 3 = 0").groupBy("user_id", "event_type").agg(F.max("event_id").alias("event_id"), F.max_by("value", "event_id").alias("value"))
+    held = VersionedTable(spark, f"{shared_dir(spark).rstrip('/')}/versions-{uuid.uuid4().hex}", ["user_id", "event_type"], rows_per_file=50_000)
+    held.overwrite(first)
+    held.upsert(new, "event_id")
+    return held.read()
+
+
+@query("""
+select o_orderkey, o_orderpriority, o_orderstatus, o_totalprice from orders where o_orderpriority not in ('1-URGENT', '5-LOW')
+union all select o_orderkey, o_orderpriority, o_orderstatus, -o_totalprice from orders where o_orderpriority = '1-URGENT' and o_orderstatus = 'F'""")
+def replaced_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two priorities are replaced in one version; for one of them there is nothing new, so it becomes empty."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice")
+    held = VersionedTable(spark, f"{shared_dir(spark).rstrip('/')}/versions-{uuid.uuid4().hex}", ["o_orderpriority", "o_orderkey"], rows_per_file=500_000)
+    held.overwrite(orders)
+    new = orders.where("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'").withColumn("o_totalprice", -F.col("o_totalprice"))
+    held.replace(new, spark.createDataFrame([("1-URGENT",), ("5-LOW",)], "o_orderpriority string"))
+    return held.read()
+
+
+@query("""select event_id, '{"event": {"k": ' || json_extract_string(props, '$.k') || ', "type": "' || event_type || '"}, "ids": [' || event_id || ', {"user": ' || user_id || '}], "text": "\\u00e9' || event_type || '", "value": ' || cast(value as varchar) || '}' as raw_json from events""")
+def canonical_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested JSON with keys out of order, in its canonical form."""
+    text = F.format_string('{"value":%s,"text":"é%s","ids":[%d,{"user":%d}],"event":{"type":"%s","k":%s}}', F.col("value").cast("string"), "event_type", "event_id", "user_id", "event_type", F.get_json_object("props", "$.k"))
+    return table(spark, sf_dir, "events").select("event_id", dump.canonical_json(text).alias("raw_json"))
+
+
 @query("""
 with a as (select user_id, event_id, value from events where event_type = 'purchase'), b as (select user_id, event_id, value * 2 as value from events where event_type = 'click'),
 x as (select user_id, max(value) as v from a group by 1), y as (select user_id, max(value) as v from b group by 1)

@@ -5,8 +5,10 @@ from __future__ import annotations
 import gzip
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.functions import scalar as S
 from quillon.schema import first_value
@@ -102,8 +104,21 @@ def flatten(systems: DataFrame, updated_at: str, limit: int | None = None) -> Da
     return out.orderBy("ring_id").limit(limit) if limit is not None else out
 
 
+@F.pandas_udf(T.StringType())
+def canonical_json(texts: pd.Series) -> pd.Series:
+    """JSON with its keys sorted at every level, ", " and ": " between, and ASCII only; of equal keys the last. Null where it is none."""
+
+    def canonical(text: str | None) -> str | None:
+        try:
+            return None if text is None else json.dumps(json.loads(text), ensure_ascii=True, sort_keys=True)
+        except (ValueError, RecursionError):
+            return None
+
+    return texts.map(canonical)
+
+
 def payloads(systems: DataFrame, mode: str) -> dict[str, DataFrame]:
-    """Raw JSON kept by mode: none, ring, ring+body or all; one row a key."""
+    """JSON kept by mode, in its canonical form: none, ring, ring+body or all; one row a key."""
     v = first_value
     out: dict[str, DataFrame] = {}
     if mode == "none":
@@ -116,11 +131,14 @@ def payloads(systems: DataFrame, mode: str) -> dict[str, DataFrame]:
         out["bodies_raw"] = bodies.groupBy("system_key", "body_key").agg(F.min("body").alias("raw_json"))
     if mode == "all":
         out["systems_raw"] = named.groupBy("system_key").agg(F.min("system").alias("raw_json"))
-    return out
+    return {name: df.withColumn("raw_json", canonical_json("raw_json")) for name, df in out.items()}
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], order: str) -> DataFrame:
-    """The table with the new rows in place of those of the same key; of several new rows the last by ``order`` counts."""
+    """The table with the new rows in place of those of the same key; of several new rows the last by ``order`` counts.
+
+    A null in the key is equal to no old row's, as for SQL's unique keys: old rows with one stay.
+    """
     last = new.groupBy(*key).agg(*[F.max_by(F.struct(c), order)[c].alias(c) for c in new.columns if c not in key])
     return old.join(last.select(*key), key, "left_anti").unionByName(last, allowMissingColumns=True)
 

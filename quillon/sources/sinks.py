@@ -22,9 +22,20 @@ def write_csv(df: DataFrame, path: str, formats: dict[str, int] | None = None, b
     (writer.partitionBy(*by) if by else writer).csv(path)
 
 
-def replace_scope(df: DataFrame, path: str, scope: list[str]) -> None:
-    """Replace the partitions of the scopes in ``df`` and leave the others: delete and insert in one commit."""
+def replace_scope(df: DataFrame, path: str, scope: list[str], scopes: DataFrame | None = None) -> None:
+    """Replace the partitions of the scopes in ``df``, and of those in ``scopes``, and leave the others.
+
+    A scope of ``scopes`` without a row in ``df`` loses its folder, after the rows are written. What must change in one step is a
+    ``versions.VersionedTable``.
+    """
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*scope).parquet(path)
+    if scopes is not None:
+        spark = df.sparkSession
+        gone = scopes.select(*scope).distinct().join(df.select(*scope).distinct(), [scopes[c].eqNullSafe(df[c]) for c in scope], "left_anti")
+        catalog = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+        for row in gone.toLocalIterator():
+            folder = spark._jvm.org.apache.hadoop.fs.Path("/".join([path.rstrip("/"), *[catalog.getPartitionPathString(c, None if row[c] is None else str(row[c])) for c in scope]]))
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def append_run(spark: SparkSession, path: str, record: dict[str, object]) -> None:
