@@ -7,8 +7,10 @@ from __future__ import annotations
 
 import math
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -146,6 +148,49 @@ def share_not_above(df: DataFrame, group: list[str], value: str, name: str) -> D
     return weighed(df, group, value).select(*group, value, ((F.col("idx") + F.col("_w")) / F.col("n")).alias(name))
 
 
+def shares_at(df: DataFrame, group: list[str], value: str, probes: DataFrame, name: str, most: int = MOST_PLACES) -> DataFrame:
+    """(group, value, name) for the different known values of ``probes``: the share of the group's known values in ``df`` not greater.
+
+    The probes lie sorted in every task, which counts its values between them by binary search; the counts of all tasks are summed, one row
+    a probe, and run up. No value is shuffled. With more than ``most`` probes the values are counted and numbered instead. A probe of a
+    group without known values has no row.
+    """
+    wanted = probes.where(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias(value)).distinct()
+    held = wanted.limit(most + 1).collect()
+    known = df.where(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias(value))
+    if len(held) > most:
+        both = known.withColumn("_w", F.lit(1)).unionByName(wanted.withColumn("_w", F.lit(0))).groupBy(*group, value).agg(F.sum("_w").alias("_w"), F.count_if(F.col("_w") == 0).alias("_probe"))
+        ranks = ranked(both, group, [F.col(value)], weight="_w").where((F.col("_probe") > 0) & (F.col("n") > 0))
+        return ranks.select(*group, value, ((F.col("idx") + F.col("_w")) / F.col("n")).alias(name))
+    sorted_probes: dict[tuple, list[float]] = {}
+    for row in sorted(held, key=lambda r: math.inf if math.isnan(r[value]) else r[value]):
+        sorted_probes.setdefault(tuple(row[g] for g in group), []).append(row[value])
+    kinds = T.StructType([*[df.schema[g] for g in group], T.StructField("_at", T.IntegerType()), T.StructField("_many", T.LongType())])
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: dict[tuple, np.ndarray] = {}
+        for rows in batches:
+            parts = [((), rows)] if not group else rows.groupby(group, dropna=False, sort=False)
+            for key, own in parts:
+                key = tuple(None if pd.isna(k) else k for k in key)
+                if key in sorted_probes:
+                    at = np.searchsorted(sorted_probes[key], own[value].to_numpy(float), side="left")
+                    counts[key] = counts.get(key, 0) + np.bincount(at, minlength=len(sorted_probes[key]) + 1)
+        for key, many in counts.items():
+            at = np.flatnonzero(many)
+            yield pd.DataFrame({**{g: [k] * len(at) for g, k in zip(group, key, strict=True)}, "_at": at.astype("int32"), "_many": many[at]})
+
+    spark = df.sparkSession
+    counted = known.mapInPandas(count, kinds).groupBy(*group, "_at").agg(F.sum("_many").alias("_many"))
+    places = spark.createDataFrame([(*key, v, i) for key, vs in sorted_probes.items() for i, v in enumerate(vs)], T.StructType([*[df.schema[g] for g in group], T.StructField(value, T.DoubleType()), T.StructField("_at", T.IntegerType())]))
+    by = Window.partitionBy(*group)
+    run = counted.unionByName(places.select(*group, "_at", F.lit(0).cast("bigint").alias("_many"))).groupBy(*group, "_at").agg(F.sum("_many").alias("_many"))
+    run = run.withColumns({"_upto": F.sum("_many").over(by.orderBy("_at")), "_n": F.sum("_many").over(by)}).where(F.col("_n") > 0)
+    cut = run.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_at").alias("_place"), "_upto", "_n")
+    met = places.join(cut, _same(group, [f"_g{i}" for i in range(len(group))]) & (F.col("_at") == F.col("_place")))
+    return met.select(*group, value, (F.col("_upto") / F.col("_n")).alias(name))
+
+
 def floor_quantiles(df: DataFrame, group: list[str], value: str, ident: str, quantiles: dict[str, float]) -> DataFrame:
     """A row per group: n and, under each name, the value at floor((n - 1) * q). Nulls in ``value`` are left out."""
     return select_places(df, group, value, {name: lambda n, q=q: F.floor((n - 1) * F.lit(q)) for name, q in quantiles.items()})

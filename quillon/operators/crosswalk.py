@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import scalar as S
-from quillon.operators.scoring import percentile_of_known
+from quillon.functions.quantiles import shares_at
+from quillon.session import broadcast_if_small, materialize
 
 
 def candidates(sites: DataFrame, rings: DataFrame) -> DataFrame:
@@ -27,10 +28,10 @@ def ranked_candidates(matches: DataFrame, scores: DataFrame) -> DataFrame:
 
 def best_matches(sites: DataFrame, rings: DataFrame, scores: DataFrame, icy_core: DataFrame | None = None) -> DataFrame:
     """A row per site: status, number of matches, best candidate, its share of its type's scores not above it, the top three."""
-    known = scores.where("moi_final is not null")
-    shares = percentile_of_known(known.select("ring_id", "ring_type", "moi_final"), ["ring_type"], "moi_final").select("ring_id", "percentile")
     ranked = ranked_candidates(candidates(sites, rings), scores)
-    best = ranked.where("place = 1").join(shares, "ring_id", "left").select("source_url", F.col("ring_id").alias("best_ring_id"), F.col("ring_type").alias("best_ring_type"), F.col("moi_final").alias("best_moi"), "percentile")
+    first = materialize(ranked.where("place = 1"), "best-candidates")
+    shares = shares_at(scores, ["ring_type"], "moi_final", first, "percentile").select(F.col("ring_type").alias("_type"), F.col("moi_final").alias("_score"), "percentile")
+    best = first.join(broadcast_if_small(shares), F.col("ring_type").eqNullSafe(F.col("_type")) & (F.col("moi_final") == F.col("_score")), "left").select("source_url", F.col("ring_id").alias("best_ring_id"), F.col("ring_type").alias("best_ring_type"), F.col("moi_final").alias("best_moi"), "percentile")
     text = F.concat_ws(":", "ring_id", F.coalesce(F.format_string("%.6f", "moi_final"), F.lit("")), F.coalesce("ring_type", F.lit("")))
     top = ranked.where("place <= 3").groupBy("source_url").agg(F.concat_ws("; ", F.transform(F.sort_array(F.collect_list(F.struct("place", text.alias("t")))), lambda x: x["t"])).alias("top_candidates"))
     counts = ranked.groupBy("source_url").agg(F.count("*").alias("matches"))

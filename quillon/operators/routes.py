@@ -161,7 +161,10 @@ def _costs(assigned: DataFrame, block: int) -> DataFrame:
 
         return pd.Series([one(a, b) for a, b in zip(own, members, strict=True)])
 
-    met = held.join(others, "_c").select("_c", "_b", "own", sums(F.transform("own", lambda p: F.array(p["x"], p["y"], p["z"])), "members").alias("part"))
+    # each block goes to the tasks of its pairs of blocks, so that one cluster's pairs spread over many
+    pairs = lambda df, other: df.join(F.broadcast(numbers), "_c").withColumn(other, F.explode("_all"))
+    numbers = held.groupBy("_c").agg(F.collect_list("_b").alias("_all"))  # a row a cluster, a number a block
+    met = pairs(held, "_o").drop("_all").join(pairs(others, "_b").drop("_all"), ["_c", "_b", "_o"]).select("_c", "_b", "own", sums(F.transform("own", lambda p: F.array(p["x"], p["y"], p["z"])), "members").alias("part"))
     rows = met.select("_c", F.explode(F.arrays_zip("own", "part")).alias("z")).select("_c", "z.own.*", F.col("z.part").alias("part"))
     return rows.groupBy("_c", "ring_id", *XYZ, "moi").agg(F.sum("part").alias("cost"))
 

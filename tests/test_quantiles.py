@@ -76,3 +76,18 @@ def test_percentile_histogram_counts_values(spark):
             counts[sum(sum(w <= v for w in own) / len(own) >= e for e in edges)] += 1
     found = percentile_histogram(spark.createDataFrame(rows, "g string, v double"), ["g"], "v")
     assert [x.rows for x in sorted(found.collect(), key=lambda x: ["<0.50", "0.50-0.80", "0.80-0.95", "0.95-0.99", ">=0.99"].index(x.bucket))] == counts
+
+
+@pytest.mark.parametrize("most", [50_000, 2])
+def test_shares_at_probes(spark, most):
+    r = random.Random(most)
+    rows = [(r.choice(["a", "b", None]), r.choice([None, 1.0, 2.0, r.random() * 3])) for _ in range(900)]
+    probes = [(g, v) for g in ("a", "b", None, "c") for v in (0.0, 1.0, 1.5, 9.0, None)]
+    df, asked = (spark.createDataFrame(x, "g string, v double") for x in (rows, probes))
+    got = {(x.g, x.v): x.share for x in quantiles.shares_at(df, ["g"], "v", asked, "share", most).collect()}
+    own = lambda g: [v for h, v in rows if h == g and v is not None]
+    assert got == {(g, v): sum(w <= v for w in own(g)) / len(own(g)) for g, v in probes if v is not None and own(g)}
+    whole = quantiles.shares_at(df, [], "v", asked, "share", most).collect()
+    every = [v for _, v in rows if v is not None]
+    assert {x.v: x.share for x in whole} == {v: sum(w <= v for w in every) / len(every) for v in (0.0, 1.0, 1.5, 9.0)}
+    assert quantiles.shares_at(df, ["g"], "v", asked.limit(0), "share", most).count() == 0
