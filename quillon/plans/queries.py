@@ -472,6 +472,27 @@ def threshold_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.components(points(spark, sf_dir), "vec_id", 0.05).select("vec_id", "comp")
 
 
+SWEEP = (0.05, 0.1, 0.2)
+
+
+@query("with recursive " + POINTS[5:] + """, t as (select unnest([0.05, 0.1, 0.2])::double as threshold),
+e as (select t.threshold, a.vec_id as a, b.vec_id as b from t, p a join p b on (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) <= threshold * threshold),
+r(threshold, a, b) as (select threshold, a, b from e union select r.threshold, r.a, e.b from r join e on e.a = r.b and e.threshold = r.threshold),
+c as (select threshold, a, min(b) as comp from r group by 1, 2), s as (select threshold, comp, count(*) as size from c group by 1, 2)
+select threshold, count(*) as clusters, max(size) as largest, count(*) filter (size = 1) as single from s group by 1""")
+def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.sweep(points(spark, sf_dir), "vec_id", list(SWEEP))
+
+
+@query("with recursive " + POINTS[5:] + """, t as (select unnest([0.05, 0.1, 0.2])::double as threshold, unnest([1, 2, 3]) as level),
+e as (select level, a.vec_id as a, b.vec_id as b from t, p a join p b on (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) <= threshold * threshold),
+r(level, a, b) as (select level, a, b from e union select r.level, r.a, e.b from r join e on e.a = r.b and e.level = r.level),
+c as (select level, a, min(b) as comp from r group by 1, 2 union all select 0, vec_id, vec_id from p)
+select distinct l.comp as node, u.comp as parent, u.level from c l join c u on u.a = l.a and u.level = l.level + 1 where l.comp <> u.comp""")
+def threshold_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.threshold_tree(points(spark, sf_dir), "vec_id", list(SWEEP))
+
+
 @query()
 def kmeans_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deterministic k-means of all points; held against brute force in the tests."""

@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
-import re
-from fnmatch import fnmatch
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,19 +43,15 @@ def file_date(name: Column) -> Column:
     return F.when(long != "", long).when(short != "", F.concat(F.lit("20"), short.substr(1, 2), F.lit("-"), short.substr(3, 2), F.lit("-"), short.substr(5, 2)))
 
 
-def dated_paths(folder: str, start: str) -> list[str]:
-    """The logs to read, by name: those whose date is before ``start`` (yyyy-mm-dd) are left out whole; undated ones stay.
+def read_lines_since(spark: SparkSession, folder: str, start: str) -> DataFrame:
+    """(value, file) of the lines of the folder's logs whose name has no date before ``start`` (yyyy-mm-dd); undated ones are read.
 
-    Listing is the pruning: files left out are never opened. For folders that the driver can list.
+    The condition is on the files' names alone, so Spark leaves files out as it lists them and opens none of those. It works for any path
+    that Spark can list.
     """
-    out = []
-    for name in sorted(os.listdir(folder)):
-        if fnmatch(name, GLOB):
-            m = re.match(r"Journal\.(?:(\d{4}-\d{2}-\d{2})|(\d{2})(\d{2})(\d{2}))", name)
-            date = (m[1] or f"20{m[2]}-{m[3]}-{m[4]}") if m else None
-            if date is None or date >= start[:10]:
-                out.append(os.path.join(folder, name))
-    return out
+    named = spark.read.option("pathGlobFilter", GLOB).text(folder)
+    date = file_date(F.col("_metadata.file_name"))
+    return named.where(date.isNull() | (date >= F.lit(start[:10]))).select("value", F.col("_metadata.file_name").alias("file"))
 
 
 def medians(text: str) -> dict[str, float]:

@@ -3,6 +3,7 @@ import math
 import os
 import random
 import statistics
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,6 +93,22 @@ def test_components_against_all_pairs(spark):
     assert got == {i: find(i) for i in parent}
 
 
+def test_one_tree_answers_all_thresholds(spark):
+    r = random.Random(12)
+    rows = [(k, *[r.choice([r.gauss(0, 0.05), r.random() * 6]) for _ in range(3)]) for k in range(300)] + [(300, None, 0.0, 0.0)]
+    df, levels = spark.createDataFrame(rows, "id int, x double, y double, z double"), [0.2, 0.9]
+    tree = spatial.threshold_tree(df, "id", levels).collect()
+    assert len({t.node for t in tree}) == len(tree) < 300
+    comp = {k: k for k, x, *_ in rows if x is not None}
+    swept = {x.threshold: x for x in spatial.sweep(df, "id", levels).collect()}
+    for level, threshold in enumerate(levels, start=1):
+        up = {t.node: t.parent for t in tree if t.level == level}
+        comp = {k: up.get(c, c) for k, c in comp.items()}
+        assert comp == {x.id: x.comp for x in spatial.components(df, "id", threshold).collect()}
+        sizes = Counter(comp.values())
+        assert (swept[threshold].clusters, swept[threshold].largest, swept[threshold].single) == (len(sizes), max(sizes.values()), sum(v == 1 for v in sizes.values()))
+
+
 def test_graph_components_against_union_find(spark):
     rng = random.Random(2)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)]

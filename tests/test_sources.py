@@ -10,7 +10,7 @@ from quillon.operators import ranking, sites
 from quillon.session import settings
 from quillon.sources import dump, logs, sinks, tail
 from quillon.sources.tail import TailReader, TailSource
-from quillon.streaming import live
+from quillon.streaming import live, runner
 
 SYSTEM = {"name": "Test System", "id64": 123456789, "coords": {"x": 10, "y": 20, "z": 30}, "bodies": [{"name": "Test System A", "type": "Star", "spectralClass": "K4 VI", "bodyId": 1}, {"name": "Test System A 1", "bodyId": 5, "type": "Planet", "distanceToArrival": 500.0, "gravity": 0.2, "rings": [{"name": "Test Ring A", "ringClass": "eRingClass_Icy", "reserveLevel": "Pristine", "massMT": 100, "innerRad": 1, "outerRad": 3}, {"ringClass": "x"}]}]}
 ALT = {"StarSystem": "Alt", "x": "1", "y": 2, "z": 3, "Bodies": [{"Name": "Alt 1", "BodyID": None, "id": 7, "Rings": [{"RingName": "R", "RingClass": None, "class": "Rocky", "mass": "5", "innerRadius": 3, "outerRadius": 2}]}]}
@@ -69,14 +69,29 @@ def test_log_ranking(spark, tmp_path):
     assert ranking.rank_log(events, sigma_min=1.0).count() == 1
 
 
-def test_dated_paths(spark, tmp_path):
-    for n in ("Journal.2025-12-31T00.log", "Journal.260102000000.01.log", "Journal.log", "x.txt"):
-        (tmp_path / n).write_text("")
-    assert [p.rsplit("/", 1)[1] for p in logs.dated_paths(str(tmp_path), "2026-01-01")] == ["Journal.260102000000.01.log"]
+def test_dated_logs_are_pruned_by_name(spark, tmp_path):
+    names = ["Journal.251231000000.01.log", "Journal.260102000000.01.log", "Journal.2026-01-01T000000.01.log", "Journal.2025-12-31T000000.01.log", "Journal.odd.log", "other.log"]
+    for name in names:
+        (tmp_path / name).write_text(name + "\n")
+    read = logs.read_lines_since(spark, f"file://{tmp_path}", "2026-01-01T10:00:00")
+    assert sorted(r.value for r in read.collect()) == sorted(names[1:3] + names[4:5]) and all(r.value == r.file for r in read.collect())
+    scan = next(p for p in _nodes(read) if "Scan" in p.nodeName())
+    scan.execute().count()  # the metric is set when the scan runs
+    assert scan.metrics().apply("numFiles").value() == 3
     r = spark.range(1).select(logs.file_date(F.lit("Journal.260102000000.01.log")).alias("a"), logs.file_date(F.lit("x")).alias("b")).first()
     assert (r.a, r.b) == ("2026-01-02", None)
 
 
+def _nodes(df):
+    """The nodes of the physical plan, by Spark's own objects."""
+    todo, out = [df._jdf.queryExecution().sparkPlan()], []
+    while todo:
+        out.append(todo.pop())
+        children = out[-1].children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return out
+
+
 def test_medians():
     full = {k: {"ring_type": k, "baseline_median": 1.5, "method": "m", "source_date": "d", "provenance_notes": "p"} for k in logs.TYPES}
     assert logs.medians(json.dumps(full))["Icy"] == 1.5 and logs.medians(json.dumps({k: v for k, v in full.items() if k != "Icy"})) == {} and logs.medians("x") == {}
@@ -215,3 +230,42 @@ def test_stream_equals_batch(spark, tmp_path):
         else:
             table.pop(c.ring_key, None)
     assert table == {"2:A": "black"} and [c.change for c in changes].count("cleared") == 1
+
+
+def test_bad_lines_and_events_come_once_each(spark, tmp_path, monkeypatch):
+    """A query that dies between its two sinks, and one that goes on from its checkpoint."""
+    folder, log, out, checkpoint = tmp_path / "logs", tmp_path / "logs" / "Journal.1.log", str(tmp_path / "out"), str(tmp_path / "cp")
+    folder.mkdir()
+    spark.dataSource.register(TailSource)
+    lines = lambda: spark.readStream.format("tail").option("startingOffsets", "earliest").load(str(folder))
+    good = [json.dumps({"event": "FSDJump", "StarSystem": f"S{k}"}) for k in range(5)]
+    bad = {"{bad": "malformed", "  ": "blank", "[1]": "no object", '{"a":1}': "no event", '"event"': "no object"}
+    log.write_text("\n".join([*good, *bad]) + "\n")
+
+    real = runner.put
+
+    def dies(df, path, batch):
+        if path.endswith("bad"):
+            raise RuntimeError("killed")
+        real(df, path, batch)
+
+    def finish(query):
+        until = time.time() + 60
+        while query.isActive and time.time() < until:
+            time.sleep(0.2)
+        query.stop()
+
+    monkeypatch.setattr(runner, "put", dies)
+    finish(runner.run_events(lines(), out, checkpoint, every="1 second"))  # dies in its first batch
+    assert runner.taken(spark, f"{out}/events").count() == 5
+    monkeypatch.setattr(runner, "put", real)
+    with log.open("a") as f:
+        f.write("{worse\n" + good[0] + "\n")
+    query = runner.run_events(lines(), out, checkpoint, every="1 second")
+    until = time.time() + 60
+    while time.time() < until and query.isActive and (query.lastProgress is None or not (tmp_path / "out" / "bad" / "batch=1").exists()):
+        time.sleep(0.3)
+    query.processAllAvailable()
+    query.stop()
+    assert sorted(r.StarSystem for r in runner.taken(spark, f"{out}/events").collect()) == sorted([*[f"S{k}" for k in range(5)], "S0"])
+    assert sorted((r.value, r.reason) for r in runner.taken(spark, f"{out}/bad").collect()) == sorted([*bad.items(), ("{worse", "malformed")])
