@@ -2,8 +2,8 @@
 
 Groups of k-medoids (subregions of a cohort) up to ``limit`` rows are worked on by one pandas call each, which Spark deals out; larger
 ones by Spark jobs over blocks of their points, with the same result. Routes and sequences are walked by one call a group, since each
-step depends on the one before: cohorts hold a few thousand points by their definition. There a group may have at most ``limit``
-rows, checked before it is gathered: a larger one is an error, never a cut.
+step depends on the one before; routes find their next point in a k-d tree. There a group may have at most ``limit`` rows, checked before
+it is gathered: a larger one is an error, never a cut.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import scalar as S
+from quillon.operators.nearest import Remaining
 from quillon.session import broadcast_if_small, materialize
 
 EPS = 1e-12
@@ -44,6 +45,23 @@ def choose(scores: np.ndarray, metric: np.ndarray, ids: np.ndarray, allowed: np.
     return int(min(tied, key=lambda i: ids[i]))
 
 
+def medoid_costs(points: np.ndarray) -> np.ndarray:
+    """Each point's sum of distances to all, or infinity for points that cannot be of the least sum.
+
+    By the triangle inequality a sum is at least |n d - s|, for the distance d to a point of known sum s. Points are summed from the middle
+    outwards, and those whose bound lies above the least sum so far, by more than ties and rounding, are not summed.
+    """
+    n, least = len(points), math.inf
+    low, costs = np.zeros(n), np.full(n, np.inf)
+    for i in np.argsort(squared(points, points.mean(axis=0)), kind="stable").tolist():
+        if low[i] <= least * (1 + 1e-9) + EPS:
+            d = np.sqrt(squared(points, points[i]))
+            costs[i] = d.sum()
+            least = min(least, costs[i])
+            np.maximum(low, np.abs(n * d - costs[i]), out=low)
+    return costs
+
+
 def k_medoids(xyz: np.ndarray, metric: np.ndarray, ids: np.ndarray, centroid: np.ndarray, k: int, rounds: int = 10) -> tuple[list[int], np.ndarray]:
     """(places of the medoids, each point's medoid by its number among them). A cluster left empty keeps its medoid."""
     n = len(ids)
@@ -66,7 +84,7 @@ def k_medoids(xyz: np.ndarray, metric: np.ndarray, ids: np.ndarray, centroid: np
             if not len(members):
                 new.append(old)
                 continue
-            costs = np.array([np.sqrt(squared(xyz[members], xyz[i])).sum() for i in members])
+            costs = medoid_costs(xyz[members])
             new.append(int(members[choose(costs, metric[members], ids[members], np.ones(len(members), bool))]))
         if (new := by_id(new)) == medoids:
             break
@@ -142,16 +160,35 @@ def _assigned(points: DataFrame, medoids: list[Medoid]) -> DataFrame:
     return points.withColumn("_n", F.get(F.filter(far, lambda m: m["d2"] <= least + EPS), 0)).withColumns({"_c": F.col("_n.c"), "_d2": F.col("_n.d2")}).drop("_n")
 
 
+def _candidates(assigned: DataFrame, pivots: int = 8) -> DataFrame:
+    """``assigned`` with _may, false for points that cannot be of the least cost in their cluster by the triangle inequality (see ``medoid_costs``).
+
+    The pivots are the point nearest to the cluster's mean and some of least hashes; their costs are sums over all points, taken at once.
+    """
+    centers = F.broadcast(assigned.groupBy("_c").agg(*[F.avg(c).alias(f"_m{c}") for c in XYZ], F.count("*").alias("_many")))  # a row a cluster
+    place = F.struct(*XYZ)
+    near = F.min_by(place, S.distance2("x", "y", "z", "_mx", "_my", "_mz"))
+    chosen = assigned.join(centers, "_c").groupBy("_c", "_many").agg(F.array(near, *[F.min_by(place, F.xxhash64("ring_id", F.lit(j))) for j in range(pivots - 1)]).alias("_pivots"))
+    chosen = F.broadcast(materialize(chosen, "pivots"))
+    far = lambda p: S.distance("x", "y", "z", p["x"], p["y"], p["z"])
+    joined = assigned.join(chosen, "_c")
+    sums = joined.groupBy("_c").agg(F.array(*[F.sum(far(F.col("_pivots")[j])) for j in range(pivots)]).alias("_sums"))
+    known = joined.join(F.broadcast(materialize(sums, "pivot-sums")), "_c")
+    bound = F.greatest(*[F.abs(F.col("_many") * far(F.col("_pivots")[j]) - F.col("_sums")[j]) for j in range(pivots)])
+    return known.withColumn("_may", bound <= F.array_min("_sums") * (1 + 1e-9) + EPS).drop("_many", "_pivots", "_sums")
+
+
 def _costs(assigned: DataFrame, block: int) -> DataFrame:
-    """Points with cost, the sum of their distances to all members of their cluster.
+    """Candidates with cost, the sum of their distances to all members of their cluster.
 
     The members lie in blocks of about ``block`` points; every block of candidates meets every block of members of its cluster once,
     as two arrays, so no pair of points is a row and no task holds more than two blocks.
     """
     n = max(1, -(-assigned.count() // block))
-    blocked = assigned.withColumn("_b", F.pmod(F.xxhash64("ring_id"), F.lit(n)))
-    held = materialize(blocked.groupBy("_c", "_b").agg(F.sort_array(F.collect_list(F.struct("ring_id", *XYZ, "moi"))).alias("own")), "blocks")
-    others = held.select("_c", F.col("_b").alias("_o"), F.transform("own", lambda p: F.array(p["x"], p["y"], p["z"])).alias("members"))
+    blocked = _candidates(assigned).withColumn("_b", F.pmod(F.xxhash64("ring_id"), F.lit(n)))
+    held = materialize(blocked.groupBy("_c", "_b").agg(F.sort_array(F.collect_list(F.struct("ring_id", *XYZ, "moi", "_may"))).alias("all")), "blocks")
+    held = held.withColumn("own", F.filter("all", lambda p: p["_may"]))
+    others = held.select("_c", F.col("_b").alias("_o"), F.transform("all", lambda p: F.array(p["x"], p["y"], p["z"])).alias("members"))
 
     @F.pandas_udf("array<double>")
     def sums(own: pd.Series, members: pd.Series) -> pd.Series:
@@ -164,8 +201,8 @@ def _costs(assigned: DataFrame, block: int) -> DataFrame:
     # each block goes to the tasks of its pairs of blocks, so that one cluster's pairs spread over many
     pairs = lambda df, other: df.join(F.broadcast(numbers), "_c").withColumn(other, F.explode("_all"))
     numbers = held.groupBy("_c").agg(F.collect_list("_b").alias("_all"))  # a row a cluster, a number a block
-    met = pairs(held, "_o").drop("_all").join(pairs(others, "_b").drop("_all"), ["_c", "_b", "_o"]).select("_c", "_b", "own", sums(F.transform("own", lambda p: F.array(p["x"], p["y"], p["z"])), "members").alias("part"))
-    rows = met.select("_c", F.explode(F.arrays_zip("own", "part")).alias("z")).select("_c", "z.own.*", F.col("z.part").alias("part"))
+    met = pairs(held.where(F.size("own") > 0).drop("all"), "_o").drop("_all").join(pairs(others, "_b").drop("_all"), ["_c", "_b", "_o"]).select("_c", "_b", "own", sums(F.transform("own", lambda p: F.array(p["x"], p["y"], p["z"])), "members").alias("part"))
+    rows = met.select("_c", F.explode(F.arrays_zip("own", "part")).alias("z")).select("_c", *[F.col(f"z.own.{c}").alias(c) for c in ("ring_id", *XYZ, "moi")], F.col("z.part").alias("part"))
     return rows.groupBy("_c", "ring_id", *XYZ, "moi").agg(F.sum("part").alias("cost"))
 
 
@@ -232,29 +269,36 @@ def cluster_stats(members: DataFrame) -> DataFrame:
 ROUTE = "route string, seq int, ring_id string, x double, y double, z double, step double, cumulative double"
 
 
-def greedy_route(points: DataFrame, start: tuple[float, float, float] | None = None, list_order: bool = False, limit: int = 20_000) -> DataFrame:
+def greedy_route(points: DataFrame, start: tuple[float, float, float] | None = None, list_order: bool = False, limit: int = 2_000_000) -> DataFrame:
     """Routes (columns route, ring_id, x, y, z, moi) that always go to the nearest point left, from ``start`` or the best point.
 
     Of equally near ones the greater metric goes first, then the lesser id; with ``list_order`` the better ranked one, and a
-    missing coordinate counts as no distance.
+    missing coordinate counts as no distance. A step looks the nearest point up in a k-d tree from which visited points go, so a route of n
+    points takes some n log n; with ``list_order`` all points left are compared in each step, and a route may have a hundredth of ``limit``.
     """
-    bounded_groups(points, ["route"], limit)
+    bounded_groups(points, ["route"], limit // 100 if list_order else limit)
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.assign(_m=rows["moi"].astype(float).fillna(-np.inf)).sort_values(["_m", "ring_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
         xyz, ids, metric = rows[XYZ].to_numpy(float), rows["ring_id"].to_numpy(object), rows["_m"].to_numpy()
-        at = np.array(start, float) if start else xyz[0]
-        left, order, steps = np.ones(len(rows), bool), [], []
-        while left.any():
-            d2 = squared(xyz, at)
-            if list_order:
+        at, order, steps = np.array(start, float) if start else xyz[0], [], []
+        if list_order:
+            left = np.ones(len(rows), bool)
+            while left.any():
+                d2 = squared(xyz, at)
                 d2 = np.where(np.isnan(d2), 0.0, d2)
-                i = int(np.flatnonzero(left)[np.argmin(d2[left])])
-            else:
-                i = choose(d2, metric, ids, left)
-            order.append(i)
-            steps.append(math.sqrt(d2[i]))
-            left[i], at = False, xyz[i]
+                order.append(int(np.flatnonzero(left)[np.argmin(d2[left])]))
+                steps.append(math.sqrt(d2[order[-1]]))
+                left[order[-1]], at = False, xyz[order[-1]]
+        else:
+            remaining = Remaining(xyz)
+            for _ in range(len(rows)):
+                near, d2 = remaining.nearest(at, EPS)
+                k = choose(d2, metric[near], ids[near], np.ones(len(near), bool)) if len(near) > 1 else 0
+                order.append(int(near[k]))
+                steps.append(math.sqrt(d2[k]))
+                remaining.remove(order[-1])
+                at = xyz[order[-1]]
         out = rows.iloc[order].assign(seq=range(1, len(order) + 1), step=steps, cumulative=np.cumsum(steps))
         return out[[c.split()[0] for c in ROUTE.split(", ")]]
 

@@ -5,11 +5,12 @@ import random
 import statistics
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions.quantiles import medians, ranked
-from quillon.operators import crosswalk, ranking, routes, scoring, spatial
+from quillon.operators import crosswalk, nearest, ranking, routes, scoring, spatial
 from quillon.operators.graph import connected_components
 
 #: A folder with published point sets, one CSV a quadrant; without it that test is skipped.
@@ -258,3 +259,33 @@ def test_plans(spark):
     df = spark.range(1000).selectExpr("id % 3 as g", "id", "rand(1) as v").withColumn("v", F.col("v"))
     plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan(scoring.top_rows(df, ["g"], [F.col("v").desc()], 3)) and "TakeOrderedAndProject" in plan(scoring.best(df, "v", "id", 5))
+
+
+def test_costs_of_medoids_leave_out_only_what_cannot_be_least():
+    g = np.random.default_rng(3)
+    for points in (g.normal(size=(400, 3)), g.integers(0, 3, size=(200, 3)).astype(float), np.zeros((5, 3)), np.r_[g.normal(size=(300, 3)), g.normal(size=(300, 3)) + 50]):
+        every = np.array([np.sqrt(routes.squared(points, p)).sum() for p in points])
+        costs = routes.medoid_costs(points)
+        summed = np.isfinite(costs)
+        assert (costs[summed] == every[summed]).all() and summed[every <= every.min() + routes.EPS].all()
+    assert np.isfinite(routes.medoid_costs(g.normal(size=(20_000, 3)))).sum() < 2_000
+
+
+def test_remaining_points_against_all_distances():
+    r, g = random.Random(4), np.random.default_rng(4)
+    for xyz in (g.normal(size=(300, 3)), g.integers(0, 4, size=(300, 3)).astype(float), np.ones((50, 3))):
+        tree, left = nearest.Remaining(xyz), set(range(len(xyz)))
+        while left:
+            at = g.normal(size=3) * 2
+            own, d2 = tree.nearest(at, 1e-12)
+            want = {i: float(routes.squared(xyz[i], at)) for i in left}
+            assert sorted(own.tolist()) == sorted(i for i, d in want.items() if d <= min(want.values()) + 1e-12) and all(want[i] == d for i, d in zip(own.tolist(), d2.tolist(), strict=True))
+            gone = r.choice(sorted(left))
+            tree.remove(gone)
+            left.remove(gone)
+
+
+def test_long_route_is_walked(spark):
+    rows = spark.range(60_000).selectExpr("'a' as route", "lpad(cast(id as string), 9, '0') as ring_id", "cast(id % 300 as double) as x", "cast(id div 300 as double) as y", "0D as z", "cast(-id as double) as moi")
+    steps = routes.greedy_route(rows).agg(F.count("*").alias("n"), F.countDistinct("ring_id").alias("k"), F.max("cumulative").alias("length")).first()
+    assert steps.n == steps.k == 60_000 and 59_999 <= steps.length < 70_000
