@@ -77,27 +77,45 @@ class Matcher:
         self.automaton.make_automaton()
 
     def find(self, raw: str | None) -> dict[int, int]:
-        """Item number -> least distance found, for the items within their budgets."""
-        text, found, tried = normal(raw), {}, set()
+        """Item number -> least distance found, for the items within their budgets.
+
+        Around every start that a piece points to lies the window that an item within its budget would fill; windows of an item that
+        overlap are one, in which the distance is worked out once. So a text that repeats itself costs each item one pass at most.
+        """
+        text, found, starts = normal(raw), {}, {}
         for last, where in self.automaton.iter(text):
             for k, end in where:
                 start = last + 1 - end  # of the whole item, if there were no edit before the piece
-                if (k, start) in tried or found.get(k) == 0:
+                if found.get(k) == 0:
                     continue
-                tried.add((k, start))
-                _, item, budget = self.items[k]
-                if text.startswith(item, max(start, 0)) and start >= 0:
+                if start >= 0 and text.startswith(self.items[k][1], start):
                     found[k] = 0
-                    continue
-                if budget:
-                    if self.masks[k] is None:
-                        self.masks[k] = masks_of(item)
-                    d = distance_within(self.masks[k], len(item), text[max(0, start - budget) : start + len(item) + budget])
-                    if d <= budget:
-                        found[k] = min(d, found.get(k, d))
+                    starts.pop(k, None)
+                elif self.items[k][2]:
+                    starts.setdefault(k, set()).add(start)
+        for k, own in starts.items():
+            _, item, budget = self.items[k]
+            if self.masks[k] is None:
+                self.masks[k] = masks_of(item)
+            for low, high in windows(own, len(item), budget):
+                d = distance_within(self.masks[k], len(item), text[low:high])
+                if d <= budget:
+                    found[k] = min(d, found.get(k, d))
         return found
 
 
+def windows(starts: set[int], length: int, budget: int) -> list[tuple[int, int]]:
+    """Where an item that begins near one of the starts can lie, overlapping windows joined."""
+    out: list[tuple[int, int]] = []
+    for start in sorted(starts):
+        low, high = max(0, start - budget), start + length + budget
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], high)
+        else:
+            out.append((low, high))
+    return out
+
+
 #: The matchers of the plan at work, by block; another plan's are dropped, so a worker never keeps more than one plan's.
 _matchers: dict[str, Matcher] = {}
 _plan: list[str] = []

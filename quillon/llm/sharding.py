@@ -115,7 +115,7 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int = 8, block_rows: int
     keys = materialize(place(named.select("doc_id", "_lm_size", "_lm_crc", "_lm_old", "_lm_b")), "resharded")
     held = keys.groupBy("_lm_shard", "_lm_old", "_lm_b").agg(F.count("*").alias("_lm_n"), F.min("_lm_rank").alias("_lm_least"))
     base = held.selectExpr("_lm_shard", "_lm_old", "_lm_b", "_lm_least", "coalesce(sum(_lm_n) over (partition by _lm_shard order by _lm_old, _lm_b rows between unbounded preceding and 1 preceding), 0) as _lm_base")
-    ranked = (place(named) if carry else keys).join(F.broadcast(materialize(base, "blocks")), ["_lm_shard", "_lm_old", "_lm_b"]).withColumn("_lm_rank", F.col("_lm_rank") - F.col("_lm_least"))
+    ranked = (place(named) if carry else keys).join(materialize(base, "blocks"), ["_lm_shard", "_lm_old", "_lm_b"]).withColumn("_lm_rank", F.col("_lm_rank") - F.col("_lm_least"))
     added = {"size": F.col("_lm_size"), "text_crc32": F.col("_lm_crc"), "law": F.lit("bytes"), "shard": F.col("_lm_shard"), "slot": (F.col("_lm_base") + F.col("_lm_rank")).cast("long"), "grown_shard": F.lit(None).cast("int"), "old_shard": F.col("_lm_old"), "moved": F.col("_lm_moved")}
     return ranked.select(*[F.col(f"`{c}`") for c in carried if c.lower() not in added], *[v.alias(k) for k, v in added.items()])
 

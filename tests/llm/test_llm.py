@@ -4,6 +4,7 @@ import hashlib
 import pathlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -284,6 +285,16 @@ def test_decontamination_against_brute_force(spark):
             assert got[i].item_ids == want and got[i].contaminated == bool(want), (i, t)
 
 
+def test_windows_of_a_repetitive_text_are_one():
+    assert decontaminate.windows({0, 5, 300, 40}, 20, 3) == [(0, 28), (37, 63), (297, 323)] and decontaminate.windows(set(), 5, 1) == []
+    item = "ab" * 400
+    text = "x" + "ab" * 30_000 + "y"
+    matcher = decontaminate.Matcher([(1, "ab" * 200 + "c" + "ab" * 199, 24), (2, item, 24)])
+    began = time.process_time()
+    assert matcher.find(text) == {0: 1, 1: 0}
+    assert time.process_time() - began < 10
+
+
 def test_decontamination_hard(spark, docs):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     assert decontaminate.contamination(hard(spark), bench).count() == len(HARD) and decontaminate.contamination(hard(spark), bench.where("false")).where("contaminated").count() == 0
