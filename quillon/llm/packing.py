@@ -3,8 +3,9 @@
 Lengths are whole numbers up to the capacity, so the program has at most ``capacity`` rows whatever the number of documents,
 and only the histogram reaches the driver. Its columns are configurations (what one sequence holds). Multiplicative weights
 solve it: a round prices all rooms by an unbounded-knapsack dynamic program, adds configurations priced within ``tolerance`` of
-the best, and lowers the weights of the lengths that they cover. Weights over the best price are a dual solution, and so a
-lower bound. The fractional solution is rounded with the remainder carried from one configuration to the next; what is left over
+the best, and lowers the weights of the lengths that they cover. What no such configuration covers is covered in further rounds that
+accept twice the tolerance each, so the solution covers everything. Weights over the best price are a dual solution, and so a
+lower bound; how far the solution is above it is stated. The fractional solution is rounded with the remainder carried from one configuration to the next; what is left over
 is placed by best fit decreasing, on counts, not on items. Pieces then find their places by arithmetic: the i-th piece of a length
 goes to the sequence and offset that the plan gives to that number.
 
@@ -61,11 +62,17 @@ def knapsack(weights: np.ndarray, capacity: int) -> np.ndarray:
 
 
 class Program(NamedTuple):
-    """A fractional solution: how often each configuration is used, how far its price is below the best, and a lower bound of any solution."""
+    """A fractional solution: how often each configuration is used, how far its price is below the best, a lower bound of any solution, and what each length is covered by."""
 
     used: dict[Pattern, float]
     gap: dict[Pattern, float]
     bound: float
+    cover: np.ndarray
+
+    @property
+    def excess(self) -> float:
+        """The share by which the solution is above the lower bound."""
+        return sum(self.used.values()) / self.bound - 1 if self.bound else 0.0
 
 
 def configuration_program(need: np.ndarray, capacity: int, rounds: int = 16, step: float = 0.34, rate: float = 0.25, tolerance: float = 0.02) -> Program:
@@ -73,13 +80,15 @@ def configuration_program(need: np.ndarray, capacity: int, rounds: int = 16, ste
 
     A round covers at most the share ``step`` of a length's need, so that no length is covered far ahead of the others. Every length
     starts configurations of its own; the rest of the room goes to lengths with need left in this round, by their weight and by
-    the value of the room that they leave. It ends when all is covered or a round adds nothing.
+    the value of the room that they leave. After ``rounds`` rounds, or one that adds nothing, the tolerance doubles; at 1 every
+    configuration will do, so all is covered a few rounds later.
     """
     some, size = need > 0, np.arange(capacity + 1) / capacity
     cover, bound = np.zeros(capacity + 1), 0.0
     used: dict[Pattern, float] = defaultdict(float)
     gap: dict[Pattern, float] = {}
-    for _ in range(rounds):
+    done = 0
+    while (need - cover > 1e-9 * np.maximum(need, 1)).any():
         share = np.where(some, cover / np.maximum(need, 1), 0)
         weights = np.where(some, size * np.exp(-rate * share), 0)
         value = knapsack(weights, capacity)
@@ -87,12 +96,13 @@ def configuration_program(need: np.ndarray, capacity: int, rounds: int = 16, ste
         if best > 0:
             bound = max(bound, float((need * weights).sum() / best))
         left = np.where(some, np.minimum(step * need, need - cover), 0)
-        alive, before = np.flatnonzero(left > 1e-9)[::-1], sum(used.values())
+        least = 1e-9 * np.maximum(need, 1)
+        alive, before = np.flatnonzero(left > least)[::-1], sum(used.values())
         for length in alive.tolist():
-            while left[length] > 1e-9:
+            while left[length] > least[length]:
                 held: dict[int, int] = defaultdict(int)
                 held[length], room = 1, capacity - length
-                alive = alive[left[alive] > 1e-9]
+                alive = alive[left[alive] > least[alive]]
                 while len(fit := alive[np.searchsorted(-alive, -room) :]):
                     take = int(fit[np.argmax(weights[fit] + value[room - fit])])
                     held[take] += 1
@@ -107,9 +117,10 @@ def configuration_program(need: np.ndarray, capacity: int, rounds: int = 16, ste
                 for k, n in config:
                     left[k] -= amount * n
                     cover[k] += amount * n
-        if sum(used.values()) <= before:
-            break
-    return Program(used, gap, bound)
+        done += 1
+        if done >= rounds or sum(used.values()) <= before:
+            tolerance = min(1.0, 2 * tolerance)
+    return Program(used, gap, bound, cover)
 
 
 def rounded(program: Program, left: np.ndarray, most: float) -> list[tuple[Pattern, int]]:

@@ -207,6 +207,25 @@ def test_packing_bound_holds_against_brute_force():
     assert packing.solve({11: 100}, 20).bound == 100 and packing.solve({}, 20).configs == []
 
 
+def test_the_program_covers_everything_and_beats_best_fit():
+    rng = random.Random(7)
+    hard_for_best_fit = {510: 600, 270: 600, 260: 600, 230: 1200}  # 900 sequences will do
+    for counts in (hard_for_best_fit, {rng.randint(1, 999): rng.randint(1, 10**6) for _ in range(60)}, {rng.randint(1, 400): 1 for _ in range(30)}):
+        need = np.zeros(1001)
+        need[list(counts)] = list(counts.values())
+        program = packing.configuration_program(need, 1000)
+        held = np.zeros(1001)
+        for config, amount in program.used.items():
+            assert sum(length * n for length, n in config) <= 1000
+            for length, n in config:
+                held[length] += amount * n
+        assert np.allclose(held, need, rtol=1e-6) and np.allclose(program.cover, need, rtol=1e-6) and 0 <= program.excess < 0.25
+    plan = packing.solve(hard_for_best_fit, 1000)
+    total = sum(t for _, t in plan.configs)
+    best_fit = sum(t for _, t in packing.best_fit_decreasing(np.bincount(list(hard_for_best_fit), weights=list(hard_for_best_fit.values()), minlength=1001).astype(int), 1000))
+    assert best_fit == 1100 and 900 <= total < 1000 and plan.placed > 0.9 * total
+
+
 def test_the_program_places_most_sequences(spark):
     own, counts = WordEncoder(default_tokenizer()), defaultdict(int)
     for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").toLocalIterator():
