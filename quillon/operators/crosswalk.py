@@ -27,7 +27,10 @@ def ranked_candidates(matches: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def best_matches(sites: DataFrame, rings: DataFrame, scores: DataFrame, icy_core: DataFrame | None = None) -> DataFrame:
-    """A row per site: status, number of matches, best candidate, its share of its type's scores not above it, the top three."""
+    """A row per site: status, number of matches, best candidate, its share of its type's scores not above it, the top three.
+
+    With ``icy_core``, members by ring_id, also whether the best candidate is one, and whether any candidate is.
+    """
     ranked = ranked_candidates(candidates(sites, rings), scores)
     first = materialize(ranked.where("place = 1"), "best-candidates")
     shares = shares_at(scores, ["ring_type"], "moi_final", first, "percentile").select(F.col("ring_type").alias("_type"), F.col("moi_final").alias("_score"), "percentile")
@@ -41,9 +44,20 @@ def best_matches(sites: DataFrame, rings: DataFrame, scores: DataFrame, icy_core
     if icy_core is not None:
         members = icy_core.select(F.col("ring_id").alias("best_ring_id")).distinct().withColumn("in_icy_core", F.lit(True))
         out = out.join(members, "best_ring_id", "left").withColumn("in_icy_core", F.coalesce("in_icy_core", F.lit(False)))
+        some = ranked.join(members.select(F.col("best_ring_id").alias("ring_id")), "ring_id", "left_semi").select("source_url").distinct().withColumn("any_in_icy_core", F.lit(True))
+        out = out.join(some, "source_url", "left").withColumn("any_in_icy_core", F.coalesce("any_in_icy_core", F.lit(False)))
     return out.orderBy("system_name", "planets", "source_url")
 
 
+def report_counts(matched: DataFrame) -> DataFrame:
+    """One row: sites, sites by status, sites with a candidate in the core, and with the best one in it. For matches with ``icy_core``."""
+    state = lambda name: F.count_if(F.col("status") == name)
+    return matched.agg(
+        F.count("*").alias("total_sites"), state("MATCHED").alias("matched"), state("MATCHED_MULTIPLE").alias("matched_multiple"), state("NOT_FOUND").alias("not_found"),
+        F.count_if("any_in_icy_core").alias("in_core"), F.count_if("in_icy_core").alias("best_in_core"),
+    )
+
+
 def status_counts(matched: DataFrame) -> DataFrame:
     return matched.groupBy("status").count()
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import scalar as S
 from quillon.functions.quantiles import medians
+from quillon.session import broadcast_if_small
 
 RING_KEY = ("system_name", "body_name", "ring_name")
 
@@ -84,6 +85,18 @@ def body_key(address: str = "SystemAddress", system: str = "StarSystem", body: s
     return F.concat_ws("|", F.coalesce(F.col(address).cast("string"), F.col(system)), F.col(body))
 
 
+def resolved(rows: DataFrame, column: str, lookup: DataFrame, key: str, name: str, into: str) -> DataFrame:
+    """``rows`` with the lookup's name for what a column says: that name itself if there is one so spelt, else the name of that key, else null.
+
+    Keys are compared as texts. Of several rows of a key, the greatest name counts; nulls are neither names nor keys.
+    """
+    said = F.col(column).cast("string")
+    names = lookup.where(F.col(name).isNotNull()).select(F.col(name).alias("_name")).distinct()
+    keys = lookup.where(F.col(name).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).cast("string").alias("_key")).agg(F.max(name).alias("_of_key"))
+    out = rows.join(broadcast_if_small(names), said == F.col("_name"), "left").join(broadcast_if_small(keys), said == F.col("_key"), "left")
+    return out.withColumn(into, F.coalesce("_name", "_of_key")).drop("_name", "_key", "_of_key")
+
+
 def log_rings(events: DataFrame) -> DataFrame:
     """The rings of Scan events, one row each."""
     scans = events.where("event = 'Scan'").withColumn("_key", body_key())

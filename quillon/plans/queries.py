@@ -601,6 +601,23 @@ def medoid_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", F.when(F.col("quadrant").isin("E", "N"), "region").otherwise("ring").alias("found"), F.round("x", 6).alias("x"))
 
 
+@query(BANDS + " select quadrant, vec_id, round(moi, 9) as moi, row_number() over (partition by quadrant order by moi desc, vec_id) as place, count(*) over (partition by quadrant) as listed from b")
+def quadrant_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every point's place in its quadrant's list."""
+    out = spatial.listed(_banded(spark, sf_dir).select("quadrant", "vec_id", "moi"), "quadrant", "vec_id", "moi")
+    return out.select("quadrant", "vec_id", F.round("moi", 9).alias("moi"), "place", "listed")
+
+
+@query("""with said as (select c_custkey, case when c_custkey % 3 = 0 then n_name when c_custkey % 3 = 1 then c_nationkey::varchar else 'nowhere ' || c_nationkey end as said from customer join nation on c_nationkey = n_nationkey)
+select c_custkey, coalesce(a.n_name, b.n_name) as nation from said left join nation a on said = a.n_name left join nation b on said = b.n_nationkey::varchar""")
+def resolved_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What customers say of their nation, its name, its key or neither, as a name."""
+    nations, k = table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), F.col("c_custkey")
+    named = table(spark, sf_dir, "customer").join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey"))  # a row a nation
+    said = named.select("c_custkey", F.when(k % 3 == 0, F.col("n_name")).when(k % 3 == 1, F.col("c_nationkey").cast("string")).otherwise(F.concat(F.lit("nowhere "), "c_nationkey")).alias("said"))
+    return ranking.resolved(said, "said", nations, "n_nationkey", "n_name", "nation").select("c_custkey", "nation")
+
+
 @query(POINTS + " select 'l' || label as system_key, count(*) as rings, round(avg(x), 9) as x, round(avg(y), 9) as y, round(avg(z), 9) as z from p group by 1")
 def system_centers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean places of systems whose names come in either case."""
@@ -612,23 +629,39 @@ def system_centers(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- crosswalk, live -------------------------------------------------------------------------------------------------------------
 
 
-@query(r"""
+CROSSWALK = r"""
 with s as (select 'u' || s_suppkey as source_url, 's' || s_suppkey as key, ['a ' || (s_suppkey % 7), 'b ' || (s_suppkey % 11)] as toks from supplier),
 r as (select c_custkey as ring_id, 's' || (c_custkey // 15) as key, 'S' || (c_custkey // 15) || ' A ' || (c_custkey % 7) as body, 'Ring B ' || (c_custkey % 11) as ring, case when c_mktsegment = 'BUILDING' then 'Icy' else 'Rocky' end as type, c_acctbal as moi from customer),
 m as (select *, list_bool_or(list_transform(toks, lambda t: contains(lower(body), t))) as inb, list_bool_or(list_transform(toks, lambda t: contains(lower(ring), t))) as inr,
   list_bool_or(list_transform(toks, lambda t: regexp_matches(lower(body), '\b' || t || '\b'))) as whole from s join r using (key)),
 c as (select *, row_number() over (partition by source_url order by type <> 'Icy', whole desc, inb desc, moi desc, ring_id) as place, count(*) over (partition by source_url) as n from m where inb or inr),
 p as (select ring_id, cume_dist() over (partition by type order by moi) as percentile from r)
-select s.source_url, coalesce(c.n, 0) as matches, case when c.n is null then 'NOT_FOUND' when c.n = 1 then 'MATCHED' else 'MATCHED_MULTIPLE' end as status, c.ring_id as best_ring_id, c.type as best_ring_type, c.moi as best_moi, round(p.percentile, 9) as percentile
+"""
+
+
+@query(CROSSWALK + """select s.source_url, coalesce(c.n, 0) as matches, case when c.n is null then 'NOT_FOUND' when c.n = 1 then 'MATCHED' else 'MATCHED_MULTIPLE' end as status, c.ring_id as best_ring_id, c.type as best_ring_type, c.moi as best_moi, round(p.percentile, 9) as percentile
 from s left join c on c.source_url = s.source_url and c.place = 1 left join p on p.ring_id = c.ring_id""")
 def token_crosswalk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sites made of suppliers, matched to rings made of customers by system and planet tokens."""
+    out = crosswalk.best_matches(*_sites_and_rings(spark, sf_dir))
+    return out.select("source_url", "matches", "status", "best_ring_id", "best_ring_type", "best_moi", F.round("percentile", 9).alias("percentile"))
+
+
+@query(CROSSWALK + """, core as (select ring_id from r where type = 'Icy' and moi > 3000),
+w as (select s.source_url, count(m.ring_id) filter (m.inb or m.inr) as n, coalesce(bool_or((m.inb or m.inr) and m.ring_id in (select ring_id from core)), false) as any_in from s left join m using (source_url) group by 1)
+select count(*) as total_sites, count(*) filter (n = 1) as matched, count(*) filter (n > 1) as matched_multiple, count(*) filter (n = 0) as not_found, count(*) filter (any_in) as in_core,
+  (select count(*) from c where place = 1 and ring_id in (select ring_id from core)) as best_in_core from w""")
+def crosswalk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known, rings, scores = _sites_and_rings(spark, sf_dir)
+    return crosswalk.report_counts(crosswalk.best_matches(known, rings, scores, scores.where("ring_type = 'Icy' and moi_final > 3000")))
+
+
+def _sites_and_rings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     k, c = F.col("s_suppkey"), F.col("c_custkey")
     known = table(spark, sf_dir, "supplier").select(F.concat(F.lit("u"), k).alias("source_url"), F.concat(F.lit("s"), k).alias("system_name"), F.concat(F.lit("A"), k % 7, F.lit(" and B"), k % 11, F.lit(" rings")).alias("planets"))
     system = F.concat(F.lit("S"), F.expr("c_custkey div 15"))
     rings = table(spark, sf_dir, "customer").select(c.alias("ring_id"), system.alias("system_name"), F.concat(system, F.lit(" A "), c % 7).alias("body_name"), F.concat(F.lit("Ring B "), c % 11).alias("ring_name"), F.when(F.col("c_mktsegment") == "BUILDING", "Icy").otherwise("Rocky").alias("ring_type"), F.col("c_acctbal").alias("moi_final"))
-    out = crosswalk.best_matches(known, rings.select("ring_id", "system_name", "body_name", "ring_name"), rings.select("ring_id", "ring_type", "moi_final"))
-    return out.select("source_url", "matches", "status", "best_ring_id", "best_ring_type", "best_moi", F.round("percentile", 9).alias("percentile"))
+    return known, rings.select("ring_id", "system_name", "body_name", "ring_name"), rings.select("ring_id", "ring_type", "moi_final")
 
 
 LIVE = """
