@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -234,8 +235,8 @@ def classes(docs: DataFrame, bands: int = 20, rows: int = 5, threshold: float =
             if last:
                 test += f" and least(shared_n, x_shared_n) >= {threshold} * (cells_n + x_cells_n - least(shared_n, x_shared_n))"
             pairs = rows.join(others, "bucket").where(test).select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
-            for done in tested:
-                pairs = pairs.join(done, ["a", "b"], "left_anti")
+            if tested:  # what has been tested goes in one join
+                pairs = pairs.join(reduce(DataFrame.union, tested), ["a", "b"], "left_anti")
             pairs = materialize(pairs, "pairs")
             own = held
             if tested:  # few pairs are left: only their shingles need move
