@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import scalar as S
-from quillon.functions.quantiles import floor_quantiles, medians, rank_fraction
+from quillon.functions.quantiles import medians, rank_fraction
 from quillon.operators import crosswalk, ranking, routes, scoring, sites, spatial
 from quillon.session import materialize, shared_dir
 from quillon.sources import dump

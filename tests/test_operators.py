@@ -60,10 +60,11 @@ def test_medians_and_shares(spark):
     assert "cume_dist" not in plan.lower() and "percentile(" not in plan.lower()
 
 
-def test_ranked_is_a_global_row_number(spark):
+@pytest.mark.parametrize("partitions", [7, None])
+def test_ranked_is_a_global_row_number(spark, partitions):
     rng = random.Random(1)
     rows = [(rng.choice("ab"), rng.randint(0, 5), i) for i in range(500)]
-    got = {r.id: (r.idx, r.n) for r in ranked(spark.createDataFrame(rows, "g string, v int, id int"), ["g"], [F.col("v"), F.col("id")], 7).collect()}
+    got = {r.id: (r.idx, r.n) for r in ranked(spark.createDataFrame(rows, "g string, v int, id int"), ["g"], [F.col("v"), F.col("id")], partitions).collect()}
     for g in "ab":
         own = sorted((v, i) for h, v, i in rows if h == g)
         assert all(got[i] == (k, len(own)) for k, (_, i) in enumerate(own))
