@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from quillon.functions.quantiles import medians, ranked
 from quillon.operators import crosswalk, nearest, ranking, routes, scoring, spatial
-from quillon.operators.graph import connected_components
+from quillon.operators import graph
+from quillon.operators.graph import components_of_links, connected_components
 
 #: A folder with published point sets, one CSV a quadrant; without it that test is skipped.
 PUBLISHED = os.environ.get("PUBLISHED_QUADRANTS", "")
@@ -124,6 +125,24 @@ def test_graph_components_against_union_find(spark):
     assert connected_components(spark.createDataFrame([], "a int, b int")).count() == 0
 
 
+@pytest.mark.parametrize("small", [graph.SMALL_GRAPH, 10])
+def test_components_of_links_in_one_task_or_by_joins(spark, monkeypatch, small):
+    """Texts and numbers as ids, a long chain, repeated and null links, links of a node with itself."""
+    monkeypatch.setattr(graph, "SMALL_GRAPH", small)
+    rng = random.Random(3)
+    edges = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(250)] + [(k + 1, k) for k in range(500, 560)] + [(7, 7), (500, 501)]
+    parent = list(range(600))
+    find = lambda x: x if parent[x] == x else find(parent[x])
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    want = {x: find(x) for a, b in edges if a != b for x in (a, b)}
+    assert {r.node: r.comp for r in components_of_links(spark.createDataFrame([*edges, (None, 3), (4, None)], "a long, b long")).collect()} == want
+    named = spark.createDataFrame([(f"n{a:04d}", f"n{b:04d}") for a, b in edges], "a string, b string")
+    assert {r.node: r.comp for r in components_of_links(named).collect()} == {f"n{a:04d}": f"n{c:04d}" for a, c in want.items()}
+    assert components_of_links(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_kmeans(spark):
     xy = [(0, 0), (1, 0), (0, 1), (100, 100), (101, 100), (100, 101), (200, 0), (201, 0)]
     df = spark.createDataFrame([(f"r{i + 1}", float(a), float(b), 0.0, float(m)) for i, ((a, b), m) in enumerate(zip(xy, [90, 85, 82, 80, 79, 78, 70, 69], strict=True))], "id string, x double, y double, z double, moi double")
