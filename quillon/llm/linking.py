@@ -60,7 +60,9 @@ def link(members: DataFrame, prepare: Callable[[DataFrame], tuple[Compare, Viabl
         strays = named.join(largest, "bucket").withColumn("stray", F.col("comp") != F.col("large")).drop("large", "n")
         if k < rounds:
             strays = strays.join(used, ["bucket", "id"], "left_anti").withColumn("rank", F.when(F.col("stray"), -F.col("degree")).otherwise(F.xxhash64("id")))
-            strays = strays.selectExpr("*", "row_number() over (partition by bucket, stray order by rank, id) as r").where(F.col("r") <= F.when(F.col("stray"), pivots).otherwise(2 * pivots))
+            numbered = strays.selectExpr("*", "row_number() over (partition by bucket, stray order by rank, id) as r")
+            # a constant limit first: Spark applies it below the shuffle, so no task sorts a whole bucket
+            strays = numbered.where(F.col("r") <= 2 * pivots).where(~F.col("stray") | (F.col("r") <= pivots))
         else:
             strays = strays.where("stray").join(used, ["bucket", "id"], "left_anti")
         strays = materialize(strays.select("bucket", "id", "comp", "degree", *carry), "strays")
