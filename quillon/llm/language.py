@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -142,25 +143,40 @@ def fit(labelled: DataFrame, per_language: int = 250, per_centroid: int = 4, max
         seen[s] += 1
     common = np.argsort(-seen, kind="stable")[: min(DIMS, int((seen > 0).sum()))]
     table[common] = np.arange(len(common))
-    x = np.zeros((len(own), DIMS + 1))
+    # of each document only its coordinates are held; one language's documents at a time are whole vectors
+    counts, langs, of = [], [r["lang"] for r in got], defaultdict(list)
+    have = np.zeros(DIMS, np.int64)
     for k, (s, n) in enumerate(own):
-        np.add.at(x[k], table[s], n)
-    known = 1 - x[:, DIMS] / np.maximum(x.sum(axis=1), 1)
-    x = x[:, :DIMS]
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1
-    x = np.log1p(x) * idf
-    norms = np.linalg.norm(x, axis=1)
-    langs = np.array([r["lang"] for r in got])
+        at, inverse = np.unique(table[s], return_inverse=True)
+        counts.append((at, np.bincount(inverse, weights=n, minlength=len(at))))
+        have[at[at < DIMS]] += 1
+        of[langs[k]].append(k)
+        own[k] = None
+    idf = np.log((1 + len(own)) / (1 + have)) + 1
+
+    def unit_rows(lang: str) -> tuple[np.ndarray, np.ndarray]:
+        x = np.zeros((len(of[lang]), DIMS + 1))
+        for row, k in zip(x, of[lang], strict=True):
+            row[counts[k][0]] = counts[k][1]
+        known = 1 - x[:, DIMS] / np.maximum(x.sum(axis=1), 1)
+        x = np.log1p(x[:, :DIMS]) * idf
+        norms = np.linalg.norm(x, axis=1)
+        return x[norms > 0] / norms[norms > 0, None], np.sqrt(known[norms > 0])
+
     centroids, names = [], []
-    for lang in dict.fromkeys(langs.tolist()):
-        rows_ = x[(langs == lang) & (norms > 0)] / norms[(langs == lang) & (norms > 0), None]
+    for lang in of:
+        rows_, _ = unit_rows(lang)
         if len(rows_):
             found = cluster(rows_, per_centroid)
             centroids += list(found)
             names += [lang] * len(found)
     held = np.array(centroids, np.float32).reshape(-1, DIMS)
-    cosines = (x[norms > 0] / norms[norms > 0, None] * np.sqrt(known[norms > 0, None]) @ held.T).max(axis=1) if len(held) else np.zeros(1)
-    return Model(table, idf.astype(np.float32), held, names, float(1 - cosines.min() / 2))
+    least = 1.0 if len(held) else 0.0
+    for lang in of:
+        rows_, known = unit_rows(lang)
+        if len(rows_):
+            least = min(least, float(((rows_ * known[:, None]) @ held.T).max(axis=1).min()))
+    return Model(table, idf.astype(np.float32), held, names, 1 - least / 2)
 
 
 def predict(docs: DataFrame, model: Model, max_distance: float | None = None, into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
