@@ -677,6 +677,13 @@ def test_crowded_lines_keep_their_links(spark, monkeypatch, crowd):
     assert got <= want and len(got) >= 0.99 * len(want)
 
 
+def test_lines_of_few_shingles_that_repeat(spark):
+    """Lines of one repeated shingle have the same set, however long they are."""
+    rows = [(1, "-" * 80 + "\nfirst of its kind"), (2, "-" * 100), (3, "ab" * 40), (4, "ab" * 55), (5, "something else altogether")]
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), counts=True).collect()}
+    assert got == {1: 0, 2: 1, 3: 0, 4: 1, 5: 0}
+
+
 def test_lines_hard(spark):
     out = line_dedup.dedup_lines(hard(spark), counts=True)
     rows = out.collect()
