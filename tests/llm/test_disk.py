@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillon import session
-from quillon.llm import near_dup
+from quillon.llm import line_dedup, near_dup
+from tests.llm.test_llm import removed_by_brute_force, removed_by_stage
 
 
 def tables(spark):
@@ -63,7 +64,7 @@ def test_temporary_tables_go(spark):
     assert len(tables(spark) - before) == 1
 
 
-@pytest.mark.parametrize("made", [near_dup.classes])
+@pytest.mark.parametrize("made", [lambda d: line_dedup.dedup_lines(d, counts=True), near_dup.classes])
 def test_operators_leave_only_what_their_result_reads(spark, copies, made):
     before = tables(spark)
     out = made(copies)
@@ -81,3 +82,14 @@ def test_pipeline_leaves_one_stage(spark, copies, monkeypatch):
     before = tables(spark)
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, "").collect()) == list(range(30, 60))
     assert [t.rsplit("-", 1)[0] for t in tables(spark) - before] == ["pipeline-2"]
+
+
+def test_pairs_of_lines_are_compared_in_parts(spark, monkeypatch):
+    """What one job moves is bounded: with a bound of few bytes, the pairs go in several jobs, with the same result."""
+    rows = [(k, words(k % 40)[:-1] + "klmnop"[k // 40]) for k in range(240)]
+    parts, write = [], line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, name: parts.append(name) or write(df, name))
+    want = removed_by_brute_force(rows)
+    assert len(want) == 200 and removed_by_stage(spark, rows) == want and "edges-of-part" not in parts
+    monkeypatch.setattr(line_dedup, "MOVED", 1)
+    assert removed_by_stage(spark, rows) == want and parts.count("edges-of-part") > 1
