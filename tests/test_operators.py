@@ -173,6 +173,38 @@ def test_proximity(spark, monkeypatch):
         assert {r.id for r in spatial.proximity_top(df, way, "id", "moi", 5.0, 1).collect()} == {"m1", "m3"}
 
 
+def test_long_route_makes_no_pairs(spark, monkeypatch):
+    """Every point finds its stop in trees, in one pass or several: as by broadcast, rows that repeat too, and never by pairs within the radius."""
+    rng = random.Random(4)
+    place = lambda: [rng.randrange(-8, 8) / 4 for _ in range(3)]  # noqa: E731, few places, so stops coincide and tie
+    way = spark.createDataFrame([(2**60 - k, *place()) for k in range(400)] + [(5, None, 0.0, 0.0), (6, math.nan, 0.0, 0.0)], "seq long, x double, y double, z double")
+    points = [(k, *(c + rng.choice([0.0, 0.125]) for c in place()), 1.0) for k in range(300)]
+    df = spark.createDataFrame(points + points[:20] + [(900, 50.0, 0.0, 0.0, 1.0), (901, math.nan, 0.0, 0.0, 1.0)], "id long, x double, y double, z double, moi double")
+    plain = lambda rows: sorted((r.id, r.distance_to_route, r.source_waypoint_seq) for r in rows.collect())
+    want = plain(spatial.proximity(df, way.where("x is not null and not isnan(x)"), "id", "moi", 0.5))
+    assert len({i for i, _, _ in want}) > 200 and len(want) > len({i for i, _, _ in want})
+    monkeypatch.setattr(spatial, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(spatial, "near_pairs", None)
+    for most in (spatial.TREE_ROWS, 100):
+        monkeypatch.setattr(spatial, "TREE_ROWS", most)
+        assert plain(spatial.proximity(df, way, "id", "moi", 0.5)) == want
+    assert spatial.proximity(df, way.where("seq < 0"), "id", "moi", 0.5).count() == 0
+
+
+def test_fixed_points_are_searched_exactly():
+    g = np.random.default_rng(3)
+    for n, step in ((1, 0), (15, 0), (17, 0), (3000, 0), (3000, 0.5), (500, 100)):
+        points, at = g.normal(size=(n, 3)), g.normal(size=(400, 3))
+        if step:  # many equals
+            points, at = np.round(points / step) * step, np.round(at / step) * step
+        every = routes.squared(points[None], at[:, None])
+        least, first = every.min(axis=1), every.argmin(axis=1)
+        for radius in (0.05, 0.4, 1e9):
+            d2, place = nearest.Fixed(points).nearest(at, np.full(400, radius * radius), most=500)
+            near = least <= radius * radius
+            assert (d2[near] == least[near]).all() and (place[near] == first[near]).all() and np.isinf(d2[~near]).all() and (place[~near] == n).all()
+
+
 def points(spark, rows, name="g"):
     return spark.createDataFrame([(name, "inner", *map(str, r[:1]), *[float(v) for v in r[1:4]], None if r[4] is None else float(r[4])) for r in rows], "subregion string, band string, ring_id string, x double, y double, z double, moi double")
 
